@@ -54,7 +54,7 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     if size >= cores * split:
         return df
     return df.repartition(partitions or cores * 2)

@@ -63,19 +63,18 @@ def read_jsonl(spark: SparkSession, path: str, max_bytes: int | None = None) ->
 
 
 def numbered_lines(spark: SparkSession, path: str, only_filled: bool = False) -> DataFrame:
-    """Lines with their 1-based ``line_no`` within their file.
+    """Lines with their 1-based ``line_no`` within their file (blank ones left
+    out of lines and count with ``only_filled``).
 
     Numbers come from per-split counts, summed per file, plus the place inside
     the split.  The tagged lines are persisted so that both uses see the same
     splits; lost blocks are read again from those very splits.
     """
-    tagged = read_lines(spark, path).withColumn("tag", F.monotonically_increasing_id())
+    lines = read_lines(spark, path)
     if only_filled:
-        tagged = tagged.where(strip(F.col("line")) != "")
-        by_place = Window.partitionBy("file", "split_start").orderBy("tag")
-        tagged = tagged.persist(StorageLevel.DISK_ONLY)
-    else:
-        tagged = tagged.persist(StorageLevel.DISK_ONLY)
+        lines = lines.where(strip(F.col("line")) != "")
+    tagged = lines.withColumn("tag", F.monotonically_increasing_id())
+    tagged = tagged.persist(StorageLevel.DISK_ONLY)
     splits = tagged.groupBy("file", "split_start").agg(
         F.min("tag").alias("first_tag"), F.count("*").alias("lines")
     )
@@ -85,10 +84,7 @@ def numbered_lines(spark: SparkSession, path: str, only_filled: bool = False) ->
         "file", "split_start", "first_tag", F.coalesce(before, F.lit(0)).alias("before")
     )
     joined = tagged.join(offsets, ["file", "split_start"])
-    if only_filled:
-        place = F.row_number().over(by_place)
-    else:
-        place = F.col("tag") - F.col("first_tag") + 1
+    place = F.col("tag") - F.col("first_tag") + 1
     return joined.select("file", (F.col("before") + place).alias("line_no"), "line")
 
 

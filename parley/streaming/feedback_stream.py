@@ -91,9 +91,12 @@ class FeedbackStream:
             before.consumed_through,
             before.cycles,
         )
-        if after.pending >= self.threshold:
+        due = after.pending >= self.threshold
+        if due:
             after = self._cycle(after, batch)
         self._save(batch, after)
+        if due:
+            self._tidy(after)
 
     def _cycle(self, state: FeedState, batch: int) -> FeedState:
         taken = range(state.consumed_through + 1, batch + 1)
@@ -109,14 +112,12 @@ class FeedbackStream:
         # The lines count as consumed whether or not any was usable.
         return FeedState(state.lines_total, state.lines_total, batch, state.cycles + 1)
 
-    def tidy(self) -> None:
-        """Drop staging folders already taken into a cycle before the last one."""
-        done = self.state().consumed_through
-        previous = self.snapshots.versions()[:-1]
-        keep_after = previous[-1] if previous else -1
+    def _tidy(self, state: FeedState) -> None:
+        """Drop staging folders of cycles before the last published one."""
+        published = self.snapshots.versions()
+        settled = published[-2] if len(published) > 1 else -1
         for name in self._store.names("staging"):
-            number = int(name.split("=")[1])
-            if number <= min(done, keep_after):
+            if int(name.split("=")[1]) <= min(settled, state.consumed_through):
                 self._store.remove(f"staging/{name}")
 
     # -- running -------------------------------------------------------------
