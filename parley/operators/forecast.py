@@ -24,42 +24,45 @@ def validate_requests(df: DataFrame, json_col: str = "request_json") -> DataFram
     string and a number are told apart from a wrong type.  The first failing
     check names the error.
     """
-    request = F.try_parse_json(json_col)
-
-    def part(name: str) -> Column:
-        return F.try_variant_get(request, f"$.{name}", "variant")
-
-    def kind(name: str) -> Column:
-        return F.coalesce(F.schema_of_variant(part(name)), F.lit("MISSING"))
-
-    def text(name: str) -> Column:
-        return F.try_variant_get(request, f"$.{name}", "string")
+    fields = ("query", "duration", "interval", "format", "targets", "data", "data_dir")
+    # Parsed once, then each field picked once: later columns only look at those.
+    parsed = df.withColumn("_request", F.try_parse_json(json_col))
+    picked = parsed.withColumns(
+        {f"_{name}": F.try_variant_get("_request", f"$.{name}", "variant") for name in fields}
+    )
+    typed = picked.withColumns(
+        {
+            f"_{name}_kind": F.coalesce(F.schema_of_variant(f"_{name}"), F.lit("MISSING"))
+            for name in ("query", "duration", "interval", "format", "targets")
+        }
+    ).withColumns({f"_{name}_text": F.try_variant_get(f"_{name}", "$", "string") for name in fields})
 
     def number(name: str) -> Column:
+        kind, text = F.col(f"_{name}_kind"), F.col(f"_{name}_text")
         return (
-            F.when(kind(name) == "STRING", float_or_null(text(name)))
-            .when(kind(name) == "BOOLEAN", F.when(text(name) == "true", 1.0).otherwise(0.0))
-            .otherwise(F.try_variant_get(request, f"$.{name}", "double"))
+            F.when(kind == "STRING", float_or_null(text))
+            .when(kind == "BOOLEAN", F.when(text == "true", 1.0).otherwise(0.0))
+            .otherwise(F.try_variant_get(f"_{name}", "$", "double"))
         )
 
-    kinds = {name: kind(name) for name in ("query", "duration", "interval", "format", "targets")}
-    read = df.withColumns(
+    query_kind = F.col("_query_kind")
+    read = typed.withColumns(
         {
-            "_is_object": F.coalesce(F.schema_of_variant(request).startswith("OBJECT"), F.lit(False)),
-            **{f"_{name}_kind": column for name, column in kinds.items()},
-            "query": F.when(kinds["query"] == "MISSING", fixed.DEFAULT_QUERY).when(
-                kinds["query"] == "STRING", strip(text("query"))
+            "_is_object": F.coalesce(
+                F.schema_of_variant("_request").startswith("OBJECT"), F.lit(False)
+            ),
+            "query": F.when(query_kind == "MISSING", fixed.DEFAULT_QUERY).when(
+                query_kind == "STRING", strip(F.col("_query_text"))
             ),
             "duration": number("duration"),
             "interval": number("interval"),
-            "format": text("format"),
-            "_targets_text": text("targets"),
+            "format": F.col("_format_text"),
             "targets": F.transform(
-                F.try_variant_get(request, "$.targets", "array<string>"),
+                F.try_variant_get("_targets", "$", "array<string>"),
                 lambda name: F.coalesce(name, F.lit("None")),
             ),
-            "data": text("data"),
-            "data_dir": text("data_dir"),
+            "data": F.col("_data_text"),
+            "data_dir": F.col("_data_dir_text"),
         }
     )
     return _checked(read, df.columns)
@@ -327,7 +330,8 @@ def format_predictions(
     body = df.select(
         *by, F.lit(lines[0][0]).alias("line_kind"), "datetime", lines[0][1].alias("line")
     )
-    groups = df.groupBy(*by).agg(F.count("*").alias("_rows")).where("_rows > 0")
+    # Header lines appear where there is at least one row.
+    groups = df.select(*by).distinct() if by else df.select(F.lit(1)).limit(1)
     for kind, text in front:
         top = groups.select(
             *by,

@@ -47,15 +47,14 @@ def is_repetitive(output: Column, threshold: float = fixed.REPETITION_THRESHOLD)
     return F.coalesce(repetition_score(output) > threshold, F.lit(False))
 
 
-def is_short(output: Column, min_words: int = fixed.MIN_WORDS) -> Column:
-    return word_count(strip(output), min_words) < min_words
+def is_short(stripped: Column, min_words: int = fixed.MIN_WORDS) -> Column:
+    return word_count(stripped, min_words) < min_words
 
 
-def is_gibberish(output: Column) -> Column:
+def is_gibberish(output: Column, stripped: Column) -> Column:
     letters = F.length(F.regexp_replace(output, r"\P{L}+", ""))
     # Only the plain space is left out; line breaks count as characters.
     visible = F.length(F.replace(output, F.lit(" "), F.lit("")))
-    stripped = strip(output)
     return (
         (stripped == "")
         | stripped.isin(fixed.BARE_SCHEMES)
@@ -63,8 +62,7 @@ def is_gibberish(output: Column) -> Column:
     )
 
 
-def is_incomplete(output: Column) -> Column:
-    stripped = strip(output)
+def is_incomplete(stripped: Column) -> Column:
     last = F.substring_index(stripped, " ", -1)
     dangling = (last != stripped) & F.lower(last).isin(fixed.DANGLING_WORDS)
     # A final fragment of one or two letters, leading marks aside, without a
@@ -74,43 +72,60 @@ def is_incomplete(output: Column) -> Column:
     return (stripped != "") & (dangling | (fragment & (word_count(stripped, 4) > 3)))
 
 
-def is_echo(input_text: Column, output: Column) -> Column:
-    asked, said = strip(F.lower(input_text)), strip(F.lower(output))
+def is_echo(asked: Column, said: Column, asked_words: Column, said_words: Column) -> Column:
+    """Both texts lowered and stripped, with their words."""
 
-    def opening(text: Column) -> Column:
-        return F.array_join(F.slice(words(text, 9), 1, 8), " ")
+    def opening(tokens: Column) -> Column:
+        return F.array_join(F.slice(tokens, 1, 8), " ")
 
-    long_enough = (word_count(asked, 4) > 3) & (word_count(said, 4) > 3)
-    first = opening(asked)
+    first = opening(asked_words)
     half = F.substring(first, F.lit(1), F.floor(F.length(first) / 2).cast("int"))
-    starts_alike = long_enough & F.startswith(opening(said), half)
-
-    vocabulary = F.array_distinct(words(asked))
-    known = F.size(vocabulary)
-    shared = F.size(F.array_intersect(vocabulary, words(said)))
+    starts_alike = (
+        (F.size(asked_words) > 3)
+        & (F.size(said_words) > 3)
+        & F.startswith(opening(said_words), half)
+    )
+    known = F.size(F.array_distinct(asked_words))
+    shared = F.size(F.array_intersect(asked_words, said_words))
     overlap = (known > 3) & (shared / F.nullif(known, F.lit(0)) > fixed.ECHO_OVERLAP)
     repeats = (F.length(asked) > 10) & (F.contains(said, asked) | overlap)
     return starts_alike | F.coalesce(repeats, F.lit(False))
 
 
 def score_pairs(df: DataFrame, config: QualityConfig = QualityConfig()) -> DataFrame:
-    """Add ``is_<rule>`` flags, ``issues`` and ``is_valid`` to (input, output) rows."""
+    """Add ``is_<rule>`` flags, ``issues`` and ``is_valid`` to (input, output) rows.
+
+    Stripped texts and word arrays are projected once and shared by the rules;
+    those of a rule switched off are pruned from the plan.
+    """
     asked, said = F.col("input"), F.col("output")
+    prepared = df.withColumns(
+        {
+            "_said": strip(said),
+            "_asked_lower": strip(F.lower(asked)),
+            "_said_lower": strip(F.lower(said)),
+        }
+    ).withColumns(
+        {"_asked_words": words(F.col("_asked_lower")), "_said_words": words(F.col("_said_lower"))}
+    )
     # Rules other than "empty" look at non-empty strings only; whitespace counts.
     has_output = F.coalesce(said != "", F.lit(False))
     has_input = F.coalesce(asked != "", F.lit(False))
+    stripped = F.col("_said")
+    echo = is_echo(*[F.col(f"_{n}") for n in ("asked_lower", "said_lower", "asked_words", "said_words")])
     flags = {
-        "empty": is_empty(said),
+        "empty": F.coalesce(stripped == "", F.lit(True)),
         "repetitive": is_repetitive(said, config.repetition_threshold),
-        "short": has_output & is_short(said, config.min_words),
-        "gibberish": has_output & is_gibberish(said),
-        "incomplete": has_output & is_incomplete(said),
-        "echo": has_output & has_input & is_echo(asked, said),
+        "short": has_output & is_short(stripped, config.min_words),
+        "gibberish": has_output & is_gibberish(said, stripped),
+        "incomplete": has_output & is_incomplete(stripped),
+        "echo": has_output & has_input & echo,
     }
     columns = {
         f"is_{rule}": flags[rule] if config.runs(rule) else F.lit(False) for rule in RULES
     }
-    flagged = df.withColumns(columns)
+    kept = [F.col(name) for name in df.columns]
+    flagged = prepared.select(*kept, *[column.alias(name) for name, column in columns.items()])
     issues = [F.when(F.col(f"is_{rule}"), fixed.ISSUE_TEXT[rule]) for rule in RULES]
     issues += [F.when(rule(asked, said), name) for name, rule in config.extra.items()]
     listed = flagged.withColumn("issues", F.array_compact(F.array(*issues)))
@@ -196,8 +211,10 @@ def problematic_examples(scored: DataFrame, count: int = fixed.EXAMPLE_COUNT) ->
 def quality_report(scored: DataFrame) -> DataFrame:
     """One row: totals, issue map, examples and advice (same columns when empty).
 
-    The handful of example rows is folded in by a union and one more tiny
-    aggregation rather than a cross join.
+    Reads ``scored`` twice, for counters and for the first invalid rows, so at
+    scale pass a written table (see ``jobs.validate``): the first read then takes
+    the boolean columns only, the second the invalid partition.  The handful of
+    example rows is folded in by a union and one more tiny aggregation.
     """
     totals = quality_totals(scored)
     example = F.struct("index", "input", "output", "issues")

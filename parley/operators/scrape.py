@@ -8,6 +8,8 @@ projection with no shuffle.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -76,20 +78,19 @@ def source_of(name: Column) -> Column:
     )
 
 
-def content_type_of(content: Column) -> Column:
-    words = word_count(strip(content), 1000)
+def content_type_of(words: Column) -> Column:
+    """Label by word count (counting to 1,000 is enough)."""
     label = F.lit(None).cast("string")
     for bound, text in reversed(fixed.CONTENT_TYPES):
         label = F.lit(text) if bound is None else F.when(words < bound, text).otherwise(label)
     return label
 
 
-def category_of(content: Column) -> Column:
-    lowered = F.lower(content)
+def category_of(lowered: Column) -> Column:
     category = F.lit(fixed.NO_CATEGORY)
     for name, keywords in reversed(fixed.CATEGORIES):
-        found = lowered.rlike("|".join(re.escape(word) for word in keywords))
-        category = F.when(found, name).otherwise(category)
+        found = [F.contains(lowered, F.lit(word)) for word in keywords]
+        category = F.when(reduce(or_, found), name).otherwise(category)
     return category
 
 
@@ -192,8 +193,11 @@ def describe(
         .withColumn("cleaned", clean_content(content, remove_first_line=True))
         .withColumn("topic", choose_topic(F.col("content_topic"), name))
         .withColumn("source", source_of(name))
-        .withColumn("content_type", content_type_of(F.col("cleaned")))
-        .withColumn("category", category_of(F.col("cleaned")))
+        .withColumn("_words", word_count(F.col("cleaned"), 1000))
+        .withColumn("_lowered", F.lower("cleaned"))
+        .withColumn("content_type", content_type_of(F.col("_words")))
+        .withColumn("category", category_of(F.col("_lowered")))
+        .drop("_words", "_lowered")
         .withColumn("filename", name)
         .withColumn("template_no", choose_template(name, template, randomize, seed))
         .withColumn("prompt", prompt_of(F.col("template_no"), template))

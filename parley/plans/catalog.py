@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from parley.functions.jsontext import extract_json
 from parley.functions.repetition import repetition_score
-from parley.functions.text import strip
+from parley.functions.text import strip, words
 from parley.operators import feedback, forecast, prep, quality, scrape
-from parley.plans import inputs
+from parley.plans import inputs, jobs
 from parley.session import spread, work_folder
 from parley.sources import readers
 from parley.streaming.feedback_stream import FeedbackStream
@@ -74,10 +74,22 @@ def _rule(name: str, rule: Callable[[], F.Column]) -> None:
 
 _rule("empty", lambda: quality.is_empty(F.col("output")))
 _rule("repetitive", lambda: quality.is_repetitive(F.col("output")))
-_rule("short", lambda: quality.is_short(F.col("output")))
-_rule("gibberish", lambda: quality.is_gibberish(F.col("output")))
-_rule("incomplete", lambda: quality.is_incomplete(F.col("output")))
-_rule("echo", lambda: quality.is_echo(F.col("input"), F.col("output")))
+_rule("short", lambda: quality.is_short(strip(F.col("output"))))
+_rule("gibberish", lambda: quality.is_gibberish(F.col("output"), strip(F.col("output"))))
+_rule("incomplete", lambda: quality.is_incomplete(strip(F.col("output"))))
+
+
+@query
+def rule_echo(spark, folder):
+    lowered = inputs.dirty_pairs(spark, folder).select(
+        "row_id",
+        strip(F.lower("input")).alias("asked"),
+        strip(F.lower("output")).alias("said"),
+    )
+    asked, said = F.col("asked"), F.col("said")
+    split = lowered.withColumns({"asked_words": words(asked), "said_words": words(said)})
+    echo = quality.is_echo(asked, said, F.col("asked_words"), F.col("said_words"))
+    return split.select("row_id", echo.alias("echo"))
 
 
 @query
@@ -142,7 +154,7 @@ def filter_valid(spark, folder):
 
 @query
 def quality_report(spark, folder):
-    report = quality.quality_report(_scored(spark, folder))
+    report = jobs.validate(inputs.dirty_pairs(spark, folder), work_folder(spark, "scored"))
     return report.select(
         "total_conversations",
         "valid_conversations",

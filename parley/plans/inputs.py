@@ -94,9 +94,11 @@ MODEL_OUTPUT = """CASE event_id % 6
 
 def requests(spark: SparkSession, folder: str) -> DataFrame:
     """User requests, request bodies and model outputs, one per event."""
-    events = table(spark, folder, "events")
+    events = table(spark, folder, "events").select(
+        "event_id", "user_id", "event_type", "ts", "value"
+    )
     return (
-        events.select("event_id", "user_id", "event_type", "ts", "value")
+        spread(events)
         .withColumn("user_request", F.expr(REQUEST_TEXT))
         .withColumn("body", F.expr(REQUEST_BODY))
         .withColumn("model_output", F.expr(MODEL_OUTPUT))
@@ -120,7 +122,7 @@ PREDICTION_COLUMNS = {
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "events")
+    events = spread(table(spark, folder, "events").select("event_id", "ts", "user_id", "value"))
     return events.select(
         "event_id",
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"),

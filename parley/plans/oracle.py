@@ -218,7 +218,7 @@ def stem(name: str) -> str:
 def topic_from_filename(name: str) -> str:
     spaced = f"replace(replace({stem(name)}, '_', ' '), '-', ' ')"
     bare = rf"regexp_replace(regexp_replace({spaced}, 'https?://', '', 'g'), 'www\.', '', 'g')"
-    tidy = rf"{strip(f'''regexp_replace({bare}, '\s+', ' ', 'g')''')}"
+    tidy = strip(rf"regexp_replace({bare}, '\s+', ' ', 'g')")
     return f"upper(left({tidy}, 1)) || substr({tidy}, 2)"
 
 

@@ -17,6 +17,7 @@ def local_session(name: str = "parley", cpus: int | str = "*") -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", width)
         .config("spark.sql.session.timeZone", "UTC")
