@@ -6,16 +6,16 @@ They are data, not logic, and are kept together here in their natural order.
 
 # Code points treated as whitespace when splitting and stripping text.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
 # The same set as a Java regular-expression class.  The Latin-1 members are spelled
 # one by one and the rest sits behind a range test: that form is twice as fast.
 WHITESPACE_CLASS = (
     r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x20\x85\xa0"
-    r"[ -　&&[  -     　]]]"
+    r"[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]]"
 )
 
 # A text ending in one of these words counts as cut off.

@@ -67,25 +67,34 @@ def float_or_null(text: Column) -> Column:
 
 
 def float_text(value: Column) -> Column:
-    """Shortest text of a double: 20.5, 12345678.0, 1e-05, 1e+16."""
-    plain = value.cast("string")
+    """Shortest text of a double: 20.5, 12345678.0, 1e-05, 1e+16.
+
+    The JVM before version 19 sometimes prints one digit more than needed; the 16-
+    or 17-digit form is taken where it reads back as the same value.
+    """
     size = F.abs(value)
-    exponent = F.regexp_extract(plain, r"E(-?\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_replace(F.regexp_extract(plain, r"^(.*)E", 1), r"\.0$", "")
+    printed = value.cast("string")
+    count = F.length(F.regexp_replace(printed, r"E.*|[^0-9]|^-?0\.0*", ""))
+    long = count > 16
+    exact = F.lower(printed)
+    for places, when in ((17, count > 17), (16, long)):
+        rounded = F.format_string(f"%.{places - 1}e", value)
+        exact = F.when(when & (rounded.try_cast("double") == value), rounded).otherwise(exact)
+    digits = F.rtrim(exact.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
+    spelled = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+    exponent = F.regexp_extract(exact, r"e([+-]?\d+)$", 1).try_cast("int")
+    mantissa = F.regexp_replace(F.regexp_extract(exact, r"^(.*)e", 1), r"\.?0+$", "")
+    power = F.abs(exponent).cast("string")
     scientific = F.concat(
         mantissa,
         F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power),
     )
-    scientific = F.when(F.abs(exponent) > 99, F.concat(
-        mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.abs(exponent).cast("string"),
-    )).otherwise(scientific)
-    digits = F.regexp_replace(value.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
-    spelled = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
     return (
         F.when(F.isnan(value), "nan")
         .when(size == float("inf"), F.when(value < 0, "-inf").otherwise("inf"))
-        .when(~plain.contains("E"), plain)
+        .when(~long & ~printed.contains("E"), printed)
         .when((size >= 1e-4) & (size < 1e16), spelled)
         .otherwise(scientific)
     )

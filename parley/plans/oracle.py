@@ -57,17 +57,26 @@ def flags(source: str, min_words: int = fixed.MIN_WORDS) -> str:
     return rf"""prepared AS (
   SELECT *, {strip('output')} AS o, {strip('lower(input)')} AS asked, {strip('lower(output)')} AS said,
     {words('output')} AS ow, {words('lower(input)')} AS aw, {words('lower(output)')} AS sw FROM {source}),
+joined AS (SELECT row_id, len(sw) AS n, array_to_string(sw, ' ') AS whole,
+    unnest(sw) AS w1, generate_subscripts(sw, 1) AS i FROM prepared),
+placed AS (
+  SELECT *, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3,
+    (sum(length(w1) + 1) OVER (PARTITION BY row_id ORDER BY i))::BIGINT AS after
+  FROM joined WINDOW o AS (PARTITION BY row_id ORDER BY i)),
+repeats AS (
+  SELECT row_id,
+    count(*) FILTER (i <= n - 3 AND
+      contains(substr(whole, after + length(w2) + 2), w1 || ' ' || w2))
+    + 2 * count(*) FILTER (i <= n - 5 AND
+      contains(substr(whole, after + length(w2) + length(w3) + 3), w1 || ' ' || w2 || ' ' || w3)) AS hits
+  FROM placed GROUP BY row_id),
 counted AS (
-  SELECT *,
+  SELECT prepared.*, coalesce(repeats.hits, 0) AS hits,
     greatest(len(sw) - 3, 0) + greatest(len(sw) - 5, 0) AS places,
-    len(list_filter(range(0, len(sw) - 3), lambda i:
-      contains(array_to_string(sw[i + 3:], ' '), sw[i + 1] || ' ' || sw[i + 2])))
-    + 2 * len(list_filter(range(0, len(sw) - 5), lambda i:
-      contains(array_to_string(sw[i + 4:], ' '), sw[i + 1] || ' ' || sw[i + 2] || ' ' || sw[i + 3]))) AS hits,
     array_to_string(aw[1:8], ' ') AS first_asked, array_to_string(sw[1:8], ' ') AS first_said,
     list_distinct(aw) AS vocabulary,
     trim(ow[len(ow)], {text(".,!?;:'" + chr(34) + ")]}")}) AS last_word
-  FROM prepared),
+  FROM prepared LEFT JOIN repeats USING (row_id)),
 measured AS (
   SELECT *, CASE WHEN length(output) < 10 OR places = 0 THEN 0.0::DOUBLE
     ELSE least(1.0, hits::DOUBLE / places) END AS score FROM counted),
