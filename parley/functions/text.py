@@ -69,15 +69,16 @@ def float_or_null(text: Column) -> Column:
 def float_text(value: Column) -> Column:
     """Shortest text of a double: 20.5, 12345678.0, 1e-05, 1e+16.
 
-    The JVM before version 19 sometimes prints one digit more than needed; the 16-
-    or 17-digit form is taken where it reads back as the same value.
+    The JVM before version 19 sometimes prints a digit or two more than needed; the
+    shortest of the rounded forms that reads back as the same value is taken.  Beyond
+    1e16 the last of 16 digits can still differ by one.
     """
     size = F.abs(value)
     printed = value.cast("string")
     count = F.length(F.regexp_replace(printed, r"E.*|[^0-9]|^-?0\.0*", ""))
     long = count > 16
     exact = F.lower(printed)
-    for places, when in ((17, count > 17), (16, long)):
+    for places, when in ((17, count > 17), (16, long), (15, long)):
         rounded = F.format_string(f"%.{places - 1}e", value)
         exact = F.when(when & (rounded.try_cast("double") == value), rounded).otherwise(exact)
     digits = F.rtrim(exact.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
