@@ -137,9 +137,7 @@ def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("content").cast("string")
     return raw.select(
         "path",
-        F.url_decode(F.replace(F.substring_index("path", "/", -1), F.lit("+"), F.lit("%2B"))).alias(
-            "name"
-        ),
+        F.substring_index("path", "/", -1).alias("name"),
         F.when(F.is_valid_utf8(text), unix_newlines(text)).alias("content"),
     )
 
