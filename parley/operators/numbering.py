@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LEVEL_BITS = 16
+# Slices up to this many rows have their key groups broadcast: every group holds
+# at least one row of the slice, so there are never more groups than rows plus two.
+BROADCAST_SLICE = 100_000
 
 
 def _group_offsets(df: DataFrame, key: str) -> DataFrame:
@@ -61,9 +64,12 @@ def with_position(
     if start is not None:
         overlaps = (F.col("before") < start + size) & (F.col("before") + F.col("rows") > start)
         offsets = offsets.where(overlaps)
+    offsets = offsets.select("group", "before")
+    if start is not None and size <= BROADCAST_SLICE:
+        offsets = F.broadcast(offsets)
     grouped = df.withColumn("group", F.shiftright(key, LEVEL_BITS))
     order = Window.partitionBy("group").orderBy(key)
-    placed = grouped.join(offsets.select("group", "before"), "group").withColumn(
+    placed = grouped.join(offsets, "group").withColumn(
         "position", F.col("before") + F.row_number().over(order) - 1
     )
     if start is not None:

@@ -14,6 +14,8 @@ from parley.operators.feedback import parsed_lines
 from parley.sources.files import Store
 
 PAIR_SCHEMA = "input STRING, output STRING"
+# Per-split line offsets are broadcast up to this many splits (some 20 MB), else joined.
+BROADCAST_SPLITS = 100_000
 
 
 def guard_size(spark: SparkSession, path: str, limit: int = fixed.MAX_FILE_BYTES) -> None:
@@ -68,7 +70,8 @@ def numbered_lines(spark: SparkSession, path: str, only_filled: bool = False) ->
 
     Numbers come from per-split counts, summed per file, plus the place inside
     the split.  The tagged lines are persisted so that both uses see the same
-    splits; lost blocks are read again from those very splits.
+    splits; lost blocks are read again from those very splits.  With the offsets
+    broadcast, no line is shuffled.
     """
     lines = read_lines(spark, path)
     if only_filled:
@@ -83,6 +86,8 @@ def numbered_lines(spark: SparkSession, path: str, only_filled: bool = False) ->
     offsets = splits.select(
         "file", "split_start", "first_tag", F.coalesce(before, F.lit(0)).alias("before")
     )
+    if splits.count() <= BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
     joined = tagged.join(offsets, ["file", "split_start"])
     place = F.col("tag") - F.col("first_tag") + 1
     return joined.select("file", (F.col("before") + place).alias("line_no"), "line")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Turns of one conversation handled by one window group.
@@ -19,15 +19,17 @@ def pairs_from_turns(turns: DataFrame, turn_bits: int = TURN_BITS) -> DataFrame:
     down filter.  ``row_id`` orders pairs by conversation, then turn.
     """
     block = F.shiftright("turn", turn_bits)
-    said = F.struct("role", "text")
     rows = turns.select("conv_id", "turn", "role", "text", block.alias("block"))
     within = Window.partitionBy("conv_id", "block").orderBy("turn")
-    linked = rows.withColumn("reply", F.lead(said).over(within))
+    # One lead per column, so that unused texts are pruned from the scan.
+    linked = rows.withColumns(
+        {f"next_{name}": F.lead(name).over(within) for name in ("turn", "role", "text")}
+    )
 
     heads = (
         turns.where(F.col("turn") >= 2**turn_bits)
         .groupBy("conv_id", block.alias("head_block"))
-        .agg(F.min_by(said, "turn").alias("head"))
+        .agg(*[F.min_by(name, "turn").alias(f"head_{name}") for name in ("role", "text")])
     )
     # Narrow rows only: one per block.
     order = Window.partitionBy("conv_id").orderBy("head_block")
@@ -35,14 +37,18 @@ def pairs_from_turns(turns: DataFrame, turn_bits: int = TURN_BITS) -> DataFrame:
         heads.select("conv_id", "head_block")
         .withColumn("block", F.coalesce(F.lag("head_block").over(order), F.lit(0)))
         .join(heads, ["conv_id", "head_block"])
-        .select("conv_id", "block", "head")
+        .select("conv_id", "block", "head_role", "head_text")
     )
     joined = linked.join(previous, ["conv_id", "block"], "left")
-    reply = F.coalesce("reply", "head")
-    return joined.where((F.col("role") == "user") & (reply["role"] == "assistant")).select(
+
+    def following(name: str) -> Column:
+        last = F.col("next_turn").isNull()
+        return F.when(last, F.col(f"head_{name}")).otherwise(F.col(f"next_{name}"))
+
+    return joined.where((F.col("role") == "user") & (following("role") == "assistant")).select(
         (F.shiftleft("conv_id", 32) + F.col("turn")).alias("row_id"),
         "conv_id",
         "turn",
         F.col("text").alias("input"),
-        reply["text"].alias("output"),
+        following("text").alias("output"),
     )
