@@ -1,13 +1,15 @@
 """Text columns: whitespace, words, numbers as text.
 
-All of these are native expressions.  Word arrays take a ``limit`` so that a
+All but the shortest text of a double are native expressions.  Word arrays take a ``limit`` so that a
 rule needing only the first few words never splits a whole document.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from parley.fixed_values import WHITESPACE, WHITESPACE_CLASS
 
@@ -66,39 +68,19 @@ def float_or_null(text: Column) -> Column:
     )
 
 
+@F.pandas_udf(StringType())
+def _shortest(values: pd.Series) -> pd.Series:
+    return pd.Series([repr(value) for value in values.tolist()], dtype="object")
+
+
 def float_text(value: Column) -> Column:
     """Shortest text of a double: 20.5, 12345678.0, 1e-05, 1e+16.
 
-    The JVM before version 19 sometimes prints a digit or two more than needed; the
-    shortest of the rounded forms that reads back as the same value is taken.  Beyond
-    1e16 the last of 16 digits can still differ by one.
+    An Arrow UDF: the JVM before version 19 may print more digits than needed and
+    switches to exponents at other sizes, and undoing both in expressions
+    overflows generated code once a few columns are rendered together.
     """
-    size = F.abs(value)
-    printed = value.cast("string")
-    count = F.length(F.regexp_replace(printed, r"E.*|[^0-9]|^-?0\.0*", ""))
-    long = count > 16
-    exact = F.lower(printed)
-    for places, when in ((17, count > 17), (16, long), (15, long)):
-        rounded = F.format_string(f"%.{places - 1}e", value)
-        exact = F.when(when & (rounded.try_cast("double") == value), rounded).otherwise(exact)
-    digits = F.rtrim(exact.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
-    spelled = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-
-    exponent = F.regexp_extract(exact, r"e([+-]?\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_replace(F.regexp_extract(exact, r"^(.*)e", 1), r"\.?0+$", "")
-    power = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power),
-    )
-    return (
-        F.when(F.isnan(value), "nan")
-        .when(size == float("inf"), F.when(value < 0, "-inf").otherwise("inf"))
-        .when(~long & ~printed.contains("E"), printed)
-        .when((size >= 1e-4) & (size < 1e16), spelled)
-        .otherwise(scientific)
-    )
+    return F.when(value.isNotNull(), _shortest(value))
 
 
 def two_decimals(value: Column) -> Column:

@@ -213,12 +213,17 @@ def scrape_pairs(documents: DataFrame, keep: tuple[str, ...] = (), **options) ->
     )
 
 
+def scrape_counts() -> list[Column]:
+    reason = F.col("skip_reason")
+    return [
+        F.count(F.lit(1)).alias("found"),
+        F.count_if(reason.isNull()).alias("processed"),
+        F.count_if(reason == "too short").alias("too_short"),
+        F.count_if(reason == "unreadable").alias("unreadable"),
+    ]
+
+
 def scrape_stats(documents: DataFrame, min_chars: int = fixed.MIN_DOCUMENT_CHARS) -> DataFrame:
     """Documents found, processed and skipped, in one aggregation."""
-    reason = describe(documents, min_chars=min_chars).select("skip_reason")
-    return reason.agg(
-        F.count("*").alias("found"),
-        F.count_if(F.col("skip_reason").isNull()).alias("processed"),
-        F.count_if(F.col("skip_reason") == "too short").alias("too_short"),
-        F.count_if(F.col("skip_reason") == "unreadable").alias("unreadable"),
-    )
+    described = describe(documents, min_chars=min_chars)
+    return described.select("skip_reason").agg(*scrape_counts())

@@ -341,7 +341,7 @@ def resolve_request(spark, folder):
 
 @query
 def parse_query_string(spark, folder):
-    events = inputs.table(spark, folder, "events")
+    events = spread(inputs.table(spark, folder, "events").select("event_id", "user_id", "event_type", "value"))
     parsed = forecast.parse_query(events.select("event_id", F.expr(inputs.SENSOR_QUERY).alias("query")))
     return parsed.select(
         "event_id",

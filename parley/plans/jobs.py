@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fixed
@@ -18,7 +18,7 @@ from parley.operators.quality import (
     quality_totals,
     score_pairs,
 )
-from parley.operators.scrape import describe, scrape_stats
+from parley.operators.scrape import describe, scrape_counts
 from parley.sources.readers import read_text_folder
 from parley.sources.writers import write_jsonl
 
@@ -70,18 +70,19 @@ def scrape(
 ) -> dict[str, int]:
     """Text folder to pairs; returns files found, processed and skipped.
 
-    No usable file is an error.
+    The counts are observed while writing, so the files are read once.  No usable
+    file is an error.
     """
-    documents = read_text_folder(spark, folder)
-    described = describe(documents, **options)
-    pairs = described.where(F.col("skip_reason").isNull()).select(
+    described = describe(read_text_folder(spark, folder), **options)
+    seen = Observation("scrape")
+    counted = described.select("skip_reason", "prompt", "cleaned").observe(seen, *scrape_counts())
+    pairs = counted.where(F.col("skip_reason").isNull()).select(
         F.col("prompt").alias("input"), F.col("cleaned").alias("output")
     )
     write_jsonl(pairs, output_path, mode="overwrite")
-    stats = scrape_stats(documents).first().asDict()
-    if not stats["processed"]:
+    if not seen.get["processed"]:
         raise ValueError(f"No files were processed successfully in {folder}")
-    return stats
+    return seen.get
 
 
 def prepare_training(

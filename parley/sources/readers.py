@@ -122,9 +122,9 @@ def count_and_read_jsonl(
         empty = "file STRING, line_no BIGINT, input STRING, output STRING, extras STRING"
         return 0, spark.createDataFrame([], empty)
     lines = numbered_lines(spark, path, only_filled=True)
-    total = line_totals(spark, path).agg(F.sum("filled_lines")).first()[0] or 0
     records = parsed_lines(lines.where(F.col("line_no") > start_line)).where("usable")
-    return total, records.select("file", "line_no", "input", "output", "extras")
+    # Counted on the persisted lines: the files are read once.
+    return lines.count(), records.select("file", "line_no", "input", "output", "extras")
 
 
 def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,7 +31,7 @@ PYTHON_QUERIES = {
     "repetition_scores", "rule_repetitive", "document_repetition", "document_issues", "quality_by_source",
     "issues", "filter_valid", "issue_summary", "issue_display", "problematic_examples",
     "recommendations", "training_gate", "extracted_json", "resolve_request", "token_rows", "batch_generate",
-    "feed_records", "jsonl_from_offset", "jsonl_count_and_load",
+    "feed_records", "predictions_csv", "predictions_csv_targets", "report_prompt", "jsonl_from_offset", "jsonl_count_and_load",
 }
 
 

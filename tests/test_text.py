@@ -61,9 +61,11 @@ def test_numbers_in_text(spark):
 
 def test_double_text_matches_shortest_form(spark):
     source = random.Random(3)
-    values = [0.0, 1.0, 20.5, 1e7, 12345678.9, 1e15, 1e16, 1.5e300, 1e-3, 1e-4, 1.5e-4, 1e-5, 2.5e-7, -1e22]
-    values += [source.uniform(-1, 1) * 10 ** source.randint(-8, 15) for _ in range(3000)]
-    assert apply(spark, values, float_text, "double") == [repr(value) for value in values]
+    values = [0.0, 1.0, 20.5, 1e7, 12345678.9, 1e15, 1e16, 1.5e300, 1e-3, 1e-4, 1.5e-4, 1e-5, 2.5e-7, -1e22, -0.0, float("inf"), float("nan"), None]
+    values += [source.uniform(-1, 1) * 10 ** source.randint(-12, 25) for _ in range(3000)]
+    assert apply(spark, values, float_text, "double") == [
+        None if value is None else repr(value) for value in values
+    ]
 
 
 def test_two_decimals_is_exact(spark):
