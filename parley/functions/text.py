@@ -51,7 +51,7 @@ def unix_newlines(text: Column) -> Column:
 
 
 def float_or_null(text: Column) -> Column:
-    """Read text as a double under the reference's number syntax.
+    """Read text as a double.
 
     Allows surrounding whitespace, digit-group underscores, inf and nan; rejects
     the type suffixes (``1d``, ``1f``) that a SQL cast would take.

@@ -71,7 +71,8 @@ def numbered_lines(spark: SparkSession, path: str, only_filled: bool = False) ->
     Numbers come from per-split counts, summed per file, plus the place inside
     the split.  The tagged lines are persisted so that both uses see the same
     splits; lost blocks are read again from those very splits.  With the offsets
-    broadcast, no line is shuffled.
+    broadcast, no line is shuffled.  The persisted lines stay until the session
+    ends or ``spark.catalog.clearCache()``.
     """
     lines = read_lines(spark, path)
     if only_filled:
@@ -127,11 +128,12 @@ def count_and_read_jsonl(
     return lines.count(), records.select("file", "line_no", "input", "output", "extras")
 
 
-def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
+def read_text_folder(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """``*.txt`` files as ``path``, ``name``, ``content``; null content if not UTF-8.
 
     One file is one row, as large as a row may be.  Spark's listing leaves out
-    names starting with ``_`` or ``.``.
+    names starting with ``_`` or ``.``.  ``ordered`` sorts by path (a range
+    shuffle of the texts; leave it off where order does not matter).
     """
     raw = (
         spark.read.format("binaryFile")
@@ -140,7 +142,8 @@ def read_text_folder(spark: SparkSession, folder: str) -> DataFrame:
         .select("path", "content")
     )
     text = F.col("content").cast("string")
-    return raw.select(
+    rows = raw.orderBy("path") if ordered else raw
+    return rows.select(
         "path",
         F.substring_index("path", "/", -1).alias("name"),
         F.when(F.is_valid_utf8(text), unix_newlines(text)).alias("content"),

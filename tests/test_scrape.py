@@ -151,6 +151,8 @@ def test_folder_to_pairs(spark, tmp_path):
     (folder / "nested" / "deep.txt").write_text(LONG * 3)
     rows = {r.name: r.content for r in read_text_folder(spark, str(folder)).collect()}
     assert set(rows) == {"a_b c+d%.txt", "short.txt", "latin.txt"}
+    ordered = [r.name for r in read_text_folder(spark, str(folder), ordered=True).collect()]
+    assert ordered == sorted(rows)
     assert rows["latin.txt"] is None and "\r" not in rows["a_b c+d%.txt"]
     stats = jobs.scrape(spark, str(folder), str(tmp_path / "pairs"), randomize=False)
     assert stats == {"found": 3, "processed": 1, "too_short": 1, "unreadable": 1}
