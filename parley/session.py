@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,9 +27,33 @@ def local_session(name: str = "parley", cpus: int | str = "*") -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Needed where it is run from a source tree that executors do not have on their
+    path; a cluster with the package installed can leave it out.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="parley-"), "parley"),
+        "zip",
+        root_dir=os.path.dirname(package),
+        base_dir=os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder the cluster names.
 
