@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parley.llm import bpe, packing, quality_rules
+from parley.llm import bpe, packing, quality_rules, toxicity
 from parley.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,10 +32,23 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY))
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    judged = toxicity.scored(spread(docs), model, carry=["doc_id"])
+    return judged.select(
+        "row.doc_id",
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op5_bpe": op5_bpe,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE: dict[str, str] = {
