@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, packing, quality_rules, toxicity
+from parley.llm import bpe, html_main, packing, quality_rules, toxicity, url_filter
 from parley.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,11 +44,29 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judged(pages).select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def op10_html(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url", "html")
+    texts = html_main.extracted(pages, carry=["page_id", "url"])
+    return texts.select(
+        "row.page_id",
+        "row.url",
+        F.col("main_text").alias("text"),
+        F.length("main_text").cast("long").alias("n_chars"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
+    "op4_urls": op4_urls,
     "op5_bpe": op5_bpe,
     "op8_toxicity": op8_toxicity,
+    "op10_html": op10_html,
 }
 
 ORACLE: dict[str, str] = {
