@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, html_main, packing, quality_rules, toxicity, url_filter
+from parley.llm import bpe, html_main, lm_score, packing, quality_rules, toxicity, url_filter
 from parley.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY))
 
 
+def op6_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.scored(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, folder, "labels"))
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_urls": op4_urls,
     "op5_bpe": op5_bpe,
+    "op6_lm": op6_lm,
     "op8_toxicity": op8_toxicity,
     "op10_html": op10_html,
 }
