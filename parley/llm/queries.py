@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, html_main, lm_score, packing, quality_rules, toxicity, url_filter
+from parley.llm import bpe, html_main, lm_score, packing, pii, quality_rules, toxicity, url_filter
 from parley.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -48,6 +48,21 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.found(docs, carry=["doc_id"])
+    counts = [
+        F.size(F.array_compact(F.transform("base", pii.one_if(number)))).cast("long").alias(f"n_{kind}")
+        for number, kind in enumerate(pii.KINDS[:4])
+    ]
+    return found.select(
+        "row.doc_id",
+        *counts,
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages").select("page_id", "url")
     return url_filter.judged(pages).select("row.page_id", "host", "path", "rule", "verdict")
@@ -67,6 +82,7 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
+    "op3_pii": op3_pii,
     "op4_urls": op4_urls,
     "op5_bpe": op5_bpe,
     "op6_lm": op6_lm,
