@@ -1,15 +1,65 @@
-"""Corpus pipeline: quality rules, toxicity, near duplicates, personal data, packing."""
+"""Corpus pipeline: quality rules, toxicity, near duplicates, personal data, packing.
+
+Each stage takes what its predecessor kept and has its decisions take effect: rejected
+documents go, one document of each group of near duplicates stays, personal data is
+masked, and what is left is packed into training sequences.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES = []
+from parley.llm import order_minhash, packing, pii, quality_rules, toxicity
+from parley.llm.common import stored
+from parley.session import ship_package
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the adaptive fences of their language and source."""
+    ship_package(spark)
+    return quality_rules.keep_good(docs)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents less likely toxic than not."""
+    ship_package(spark)
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    ship_package(spark)
+    return order_minhash.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data masked."""
+    ship_package(spark)
+    return pii.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    ship_package(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality", quality),
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", pack),
+]
 
+#: Toxicity scores and sketches cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the documents table, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, html_main, lm_score, packing, pii, quality_rules, toxicity, url_filter
+from parley.llm import bpe, html_main, lm_score, order_minhash, packing, pii, quality_rules, toxicity, url_filter
 from parley.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -36,6 +36,12 @@ def op6_lm(spark: SparkSession, folder: str) -> DataFrame:
     return lm_score.scored(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    classes, _ = order_minhash.classified(docs)
+    return classes.select("row.doc_id", "class_id", "class_size", "keeper")
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _table(spark, folder, "labels"))
@@ -86,6 +92,7 @@ QUERIES = {
     "op4_urls": op4_urls,
     "op5_bpe": op5_bpe,
     "op6_lm": op6_lm,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity": op8_toxicity,
     "op10_html": op10_html,
 }
