@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, html_main, lm_score, order_minhash, packing, pii, quality_rules, toxicity, url_filter
+from parley.llm import bpe, html_main, lm_score, order_minhash, packing, pii, quality_rules, spotsigs, toxicity, url_filter
 from parley.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -74,6 +74,10 @@ def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged(pages).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def op9_spotsigs(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.compared_with_next(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages").select("page_id", "url", "html")
     texts = html_main.extracted(pages, carry=["page_id", "url"])
@@ -94,6 +98,7 @@ QUERIES = {
     "op6_lm": op6_lm,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_toxicity": op8_toxicity,
+    "op9_spotsigs": op9_spotsigs,
     "op10_html": op10_html,
 }
 
