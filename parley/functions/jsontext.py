@@ -19,10 +19,13 @@ from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 _BRACE = re.compile(r"[{}]")
 _TRAILING_COMMA = re.compile(r",\s*([}\]])")
+# Half of an emoji escape: no text, so it becomes the replacement character.
+_HALF_PAIR = re.compile("[\ud800-\udfff]")
 
 RECORD = StructType(
     [
         StructField("usable", BooleanType()),
+        StructField("kind", StringType()),
         StructField("input", StringType()),
         StructField("output", StringType()),
         StructField("extras", StringType()),
@@ -34,16 +37,22 @@ EXTRACTED = StructType(
 
 
 def _plain(value):
-    """Make a parsed value portable JSON: no NaN, only text keys."""
+    """Make a parsed value portable JSON: no NaN, only text keys, no half pairs."""
     if isinstance(value, dict):
-        return {str(key): _plain(item) for key, item in value.items()}
+        return {_whole(str(key)): _plain(item) for key, item in value.items()}
+    if isinstance(value, str):
+        return _whole(value)
     if isinstance(value, list):
         return [_plain(item) for item in value]
     if isinstance(value, float) and not math.isfinite(value):
         return str(value)
-    if value is None or isinstance(value, (str, int, float)):
+    if value is None or isinstance(value, (int, float)):
         return value
-    return str(value)
+    return _whole(str(value))
+
+
+def _whole(text: str) -> str:
+    return _HALF_PAIR.sub("\ufffd", text)
 
 
 def _dump(value) -> str:
@@ -51,22 +60,27 @@ def _dump(value) -> str:
 
 
 def _as_text(value) -> str | None:
-    return value if value is None or isinstance(value, str) else _dump(value)
+    if isinstance(value, str):
+        return _whole(value)
+    return None if value is None else _dump(value)
+
 
+def read_record(line: str | None) -> tuple[bool, str, str | None, str | None, str | None]:
+    """One feed line: (usable, kind, input, output, other fields as JSON).
 
-def read_record(line: str | None) -> tuple[bool, str | None, str | None, str | None]:
-    """One feed line: (usable, input, output, other fields as JSON)."""
-    unusable = (False, None, None, None)
+    Kinds: usable, malformed, keyless (no object with both keys) and, for null, which
+    stands for bytes that are no UTF-8, undecodable.
+    """
     if line is None:
-        return unusable
+        return False, "undecodable", None, None, None
     try:
         record = json.loads(line.strip())
     except (ValueError, RecursionError):
-        return unusable
+        return False, "malformed", None, None, None
     if not isinstance(record, dict) or not {"input", "output"} <= record.keys():
-        return unusable
+        return False, "keyless", None, None, None
     asked, said = _as_text(record.pop("input")), _as_text(record.pop("output"))
-    return True, asked, said, _dump(record) if record else None
+    return True, "usable", asked, said, _dump(record) if record else None
 
 
 def first_object(text: str) -> str:
@@ -98,13 +112,13 @@ def read_object(text: str | None) -> tuple[str | None, str | None]:
     try:
         candidate = first_object(text or "")
     except ValueError as problem:
-        return None, str(problem)
+        return None, _whole(str(problem))
     message = ""
     for reader in _READERS:
         try:
             return _dump(reader(candidate)), None
         except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError) as problem:
-            message = f"JSON parse error: {problem}"
+            message = _whole(f"JSON parse error: {problem}")
     return None, message
 
 
@@ -118,14 +132,11 @@ def _objects(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_object(text) for text in texts], columns=EXTRACTED.names)
 
 
-# See repetition.py: keeps a later filter from running the reader twice.
-_records_once = _records.asNondeterministic()
-_objects_once = _objects.asNondeterministic()
-
-
 def parse_record(line: Column) -> Column:
-    return _records_once(line)
+    """Bytes that are no UTF-8 cannot enter Python: such a line arrives there as null."""
+    return _records(F.when(F.is_valid_utf8(line), line))
 
 
 def extract_json(text: Column) -> Column:
-    return _objects_once(text)
+    """As above: text that is no UTF-8 holds no object."""
+    return _objects(F.when(F.is_valid_utf8(text), text))

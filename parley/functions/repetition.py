@@ -22,6 +22,8 @@ from pyspark.sql.types import DoubleType
 
 # Below this many words the substring search is the quicker of the two.
 LONG_TEXT_WORDS = 2000
+# Characters searched in the time of one step of the index.
+STEP_COST = 100
 
 
 def repetition_of(text: str | None) -> float:
@@ -77,6 +79,13 @@ def hits_by_index(tokens: list[str], pairs: int, triples: int) -> tuple[int, int
 
     ids = [vocabulary[token] for token in tokens]
     count, width = len(ids), len(vocabulary)
+    # Words made of each other make the index dense; then the search is the quicker.
+    steps = sum(
+        len(tails[a]) * (len(heads[b]) + len(heads[c]))
+        for a, b, c in zip(ids, ids[1:], [*ids[2:], ids[-1]])
+    )
+    if steps * STEP_COST > pairs * sum(map(len, tokens)):
+        return hits_by_search(tokens, pairs, triples)
     # Only sequences that are looked up later need a place.
     last_pair = {ids[i] * width + ids[i + 1]: -1 for i in range(pairs)}
     last_triple = {
@@ -110,10 +119,6 @@ def _scores(texts: pd.Series) -> pd.Series:
     return pd.Series([repetition_of(text) for text in texts], dtype="float64")
 
 
-# Marked so that a filter on the score is not pushed below the projection that
-# computes it, which would run the rule twice per row.
-_scores_once = _scores.asNondeterministic()
-
-
 def repetition_score(text: Column) -> Column:
-    return _scores_once(text)
+    """Text that is no UTF-8 cannot enter Python and scores 0, as a null does."""
+    return _scores(F.when(F.is_valid_utf8(text), text))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley import fixed_values as fixed
 from parley.functions.jsontext import parse_record
 from parley.functions.text import strip
+from parley.session import computed_once
 
 
 def is_quit(prompt: Column) -> Column:
@@ -71,14 +72,19 @@ def conversation_log(df: DataFrame) -> DataFrame:
 
 
 def parsed_lines(lines: DataFrame, line_col: str = "line") -> DataFrame:
-    """Feed lines with ``usable``, ``input``, ``output`` and ``extras``; blanks dropped."""
+    """Feed lines with ``usable``, ``kind``, ``input``, ``output`` and ``extras``; blanks dropped."""
     filled = lines.where(strip(F.col(line_col)) != "")
-    parsed = filled.withColumn("_record", parse_record(F.col(line_col)))
+    parsed = computed_once(filled, "_record", parse_record(F.col(line_col)))
     return parsed.select(
-        *lines.columns, "_record.usable", "_record.input", "_record.output", "_record.extras"
+        *lines.columns, *[f"_record.{name}" for name in ("usable", "kind", "input", "output", "extras")]
     )
 
 
+def line_kinds(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """Filled lines by kind: usable, malformed, keyless, undecodable."""
+    return parsed_lines(lines.select(line_col), line_col).groupBy("kind").agg(F.count("*").alias("lines"))
+
+
 def feed_counters(lines: DataFrame, consumed: int, line_col: str = "line") -> DataFrame:
     """Non-empty lines in the feed, lines consumed, and the difference.
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fixed
 from parley.functions.jsontext import extract_json
+from parley.session import computed_once
 from parley.functions.text import float_or_null, float_text, right_align, strip, two_decimals
 
 REQUEST_FIELDS = ("query", "duration", "interval", "format", "targets", "data", "data_dir")
@@ -181,7 +184,7 @@ def resolve_requests(
     The heuristic fields always hold a positive interval, a known format and
     known targets; only a zero duration in the text can fail the second check.
     """
-    extracted = df.withColumn("_extracted", extract_json(F.col(model_col))).select(
+    extracted = computed_once(df, "_extracted", extract_json(F.col(model_col))).select(
         *df.columns, "_extracted.request_json", "_extracted.parse_error"
     )
     checked = validate_requests(extracted).withColumn(
@@ -254,14 +257,20 @@ _GRID_BLOCK = 4096
 def time_grid(df: DataFrame, start_col: str) -> DataFrame:
     """One row per expected output time, from start to start + duration.
 
-    Expanded in two steps, so that a long and fine grid never forms one huge
+    Expanded in three steps, so that a long and fine grid never forms one huge
     array.  A request whose interval truncates to zero seconds has no grid.
     """
     step = F.col("interval_seconds")
     last = F.floor(F.col("duration_minutes") * 60 / F.nullif(step, F.lit(0)))
-    blocks = F.sequence(F.lit(0).cast("bigint"), F.floor(last / _GRID_BLOCK))
     units = predictor_units(df).withColumn("_last", last).where("_last >= 0")
-    blocked = units.withColumn("_block", F.explode(blocks))
+    wide = F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / _GRID_BLOCK**2))
+    start = F.col("_wide") * _GRID_BLOCK
+    end = F.least(start + (_GRID_BLOCK - 1), F.floor(F.col("_last") / _GRID_BLOCK))
+    blocked = (
+        units.withColumn("_wide", F.explode(wide))
+        .withColumn("_block", F.explode(F.sequence(start, end)))
+        .drop("_wide")
+    )
     first = F.col("_block") * _GRID_BLOCK
     inside = F.sequence(first, F.least(first + (_GRID_BLOCK - 1), F.col("_last")))
     return (
@@ -305,8 +314,21 @@ def prediction_table(targets: list[str] | None = None) -> tuple[str, str, Column
 
 
 def prediction_json(df: DataFrame) -> Column:
-    """A prediction row as one JSON object with all keys it has."""
-    return F.to_json(F.struct(*[F.col(name) for name in df.columns]))
+    """A prediction row as one JSON object: all columns, plain numbers, null where missing."""
+    pairs = []
+    for name, kind in df.dtypes:
+        value = F.col(name)
+        if kind in ("double", "float"):
+            text = float_text(value.cast("double"))
+        elif kind == "string":
+            # One-element array: the quoted text without its brackets.
+            text = F.expr(f"substring(to_json(array(`{name}`)), 2, length(to_json(array(`{name}`))) - 2)")
+            text = F.when(value.isNotNull(), text)
+        else:
+            text = value.cast("string")
+        key = F.lit(json.dumps(name, ensure_ascii=False) + ": ")
+        pairs.append(F.concat(key, F.coalesce(text, F.lit("null"))))
+    return F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))
 
 
 def format_predictions(
@@ -343,6 +365,22 @@ def format_predictions(
     return body
 
 
+def forecast_reports(
+    predictions: DataFrame, by: list[str], request: Column, instructions: str, targets: list[str] | None = None
+) -> DataFrame:
+    """One report prompt per request: all its prediction rows as CSV, in time order.
+
+    ``by`` names the request; a request's rows meet in one prompt, which a model must
+    be able to read, so they are few.
+    """
+    header, line = prediction_csv(targets)
+    rows = F.array_sort(F.collect_list(F.struct("datetime", line.alias("line"))))
+    grouped = predictions.groupBy(*by).agg(rows.alias("rows"))
+    lines = F.concat(F.array(F.lit(header)), F.transform("rows", lambda row: row["line"]))
+    data = F.array_join(lines, "\n")
+    return grouped.select(*by, report_prompt(instructions, request, data).alias("prompt"))
+
+
 def report_prompt(instructions: str, request: Column, predicted: Column) -> Column:
     """The prompt asking a model to put predictor output into words."""
     return F.concat(

@@ -18,11 +18,13 @@ LEVEL_BITS = 16
 BROADCAST_SLICE = 100_000
 
 
-def _group_offsets(df: DataFrame, key: str) -> DataFrame:
-    """(group, rows, before): rows per key group and rows in all earlier groups."""
-    levels = [
-        df.groupBy(F.shiftright(key, LEVEL_BITS).alias("g1")).agg(F.count("*").alias("n1"))
-    ]
+def _group_offsets(df: DataFrame, key: str, weight: F.Column | None = None) -> DataFrame:
+    """(group, rows, before): rows per key group and rows in all earlier groups.
+
+    With ``weight`` a row stands for so many rows.
+    """
+    rows = F.count("*") if weight is None else F.sum(weight)
+    levels = [df.groupBy(F.shiftright(key, LEVEL_BITS).alias("g1")).agg(rows.alias("n1"))]
     for level in (2, 3):
         below = levels[-1]
         levels.append(
@@ -52,6 +54,37 @@ def _group_offsets(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def with_position_by(df: DataFrame, group: str, inner: str, inner_bits: int = 12) -> DataFrame:
+    """Add the 0-based ``position`` of each row in (``group``, ``inner``) order.
+
+    For keys that do not fit one long, such as hashed conversation ids with their
+    turns: any longs, negative ones included, each pair of them once.  Windows hold
+    blocks of a group's rows, or one narrow row per block or group.
+    """
+    block = F.shiftright(inner, inner_bits)
+    blocks = df.groupBy(group, block.alias("_block")).agg(F.count("*").alias("_rows"))
+    in_group = Window.partitionBy(group).orderBy("_block")
+    groups = blocks.groupBy(group).agg(F.sum("_rows").alias("_rows"))
+    upper = _group_offsets(groups, group, F.col("_rows")).select("group", F.col("before").alias("_far"))
+    near = Window.partitionBy("group").orderBy(group)
+
+    def earlier(window) -> F.Column:
+        return F.coalesce(F.sum("_rows").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    starts = (
+        groups.withColumn("group", F.shiftright(group, LEVEL_BITS))
+        .withColumn("_near", earlier(near))
+        .join(upper, "group")
+        .select(group, (F.col("_far") + F.col("_near")).alias("_start"))
+    )
+    places = blocks.withColumn("_inside", earlier(in_group)).join(starts, group)
+    places = places.select(group, "_block", (F.col("_start") + F.col("_inside")).alias("_before"))
+    order = Window.partitionBy(group, "_block").orderBy(inner)
+    placed = df.withColumn("_block", block).join(places, [group, "_block"])
+    position = F.col("_before") + F.row_number().over(order) - 1
+    return placed.select(*[placed[c] for c in df.columns], position.alias("position"))
+
+
 def with_position(
     df: DataFrame, key: str = "row_id", start: int | None = None, size: int | None = None
 ) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from parley import fixed_values as fixed
+from parley.session import computed_once
 from parley.functions.text import head, strip
 from parley.operators.numbering import with_position
 
@@ -56,20 +57,6 @@ def byte_tokenizer(texts: list[str]) -> list[list[int]]:
     return [[byte + 3 for byte in text.encode("utf-8")] for text in texts]
 
 
-def tokenizer_from_json(description: str) -> Tokenizer:
-    """A tokenizer from the public ``tokenizers`` JSON format, built per worker."""
-    built = []
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        if not built:
-            from tokenizers import Tokenizer as Built
-
-            built.append(Built.from_str(description))
-        return [item.ids for item in built[0].encode_batch(texts)]
-
-    return encode
-
-
 def token_rows(
     df: DataFrame,
     text_col: str = "text",
@@ -98,7 +85,11 @@ def token_rows(
     label = F.transform(
         ids, lambda token: F.when(token == pad_id, IGNORED_LABEL).otherwise(token)
     )
-    encoded = df.withColumn("_ids", encode.asNondeterministic()(F.col(text_col)))
+    text = F.col(text_col)
+    if tokenizer is byte_tokenizer:
+        # A character has at least one byte, so no more of them can be needed.
+        text = head(text, max_length)
+    encoded = computed_once(df, "_ids", encode(text))
     return encoded.select(
         *df.columns,
         padded(ids, pad_id).alias("input_ids"),
@@ -107,9 +98,10 @@ def token_rows(
     )
 
 
-def normal_prompt(text: Column) -> Column:
-    """Cut to the prompt limit and put into the chat frame."""
-    return F.concat(F.lit("User: "), head(text, fixed.MAX_PROMPT_CHARS), F.lit("\nAssistant:"))
+def normal_prompt(text: Column, max_chars: int | None = fixed.MAX_PROMPT_CHARS) -> Column:
+    """Cut to the prompt limit, if there is one, and put into the chat frame."""
+    cut = text if max_chars is None else head(text, max_chars)
+    return F.concat(F.lit("User: "), cut, F.lit("\nAssistant:"))
 
 
 def clean_response(raw: Column) -> Column:
@@ -121,7 +113,11 @@ Model = Callable[[list[str]], list[str]]
 
 
 def batch_generate(
-    df: DataFrame, model: Callable[[], Model] | Model, prompt_col: str = "prompt", factory: bool = False
+    df: DataFrame,
+    model: Callable[[], Model] | Model,
+    prompt_col: str = "prompt",
+    factory: bool = False,
+    max_chars: int | None = fixed.MAX_PROMPT_CHARS,
 ) -> DataFrame:
     """Add ``response``: framed prompt, model function, cleaned output, row by row.
 
@@ -135,5 +131,6 @@ def batch_generate(
         for prompts in batches:
             yield pd.Series(run(prompts.tolist()), dtype="object")
 
-    answered = df.withColumn("_raw", generate.asNondeterministic()(normal_prompt(F.col(prompt_col))))
+    framed = normal_prompt(F.col(prompt_col), max_chars)
+    answered = computed_once(df, "_raw", generate(framed))
     return answered.select(*df.columns, clean_response(F.col("_raw")).alias("response"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from parley import fixed_values as fixed
 from parley.functions.repetition import repetition_score
+from parley.session import computed_once
 from parley.functions.text import head, strip, word_count, words
 
 RULES = ("empty", "repetitive", "short", "gibberish", "incomplete", "echo")
@@ -99,23 +100,29 @@ def score_pairs(df: DataFrame, config: QualityConfig = QualityConfig()) -> DataF
     those of a rule switched off are pruned from the plan.
     """
     asked, said = F.col("input"), F.col("output")
-    prepared = df.withColumns(
+    # Rules other than "empty" look at non-empty strings only; whitespace counts.
+    has_output = F.coalesce(said != "", F.lit(False))
+    has_input = F.coalesce(asked != "", F.lit(False))
+    prepared = df
+    if config.runs("repetitive"):
+        prepared = computed_once(prepared, "_repetition", repetition_score(said))
+    # Only the echo rule needs lower-case words, and only of rows with an input.
+    prepared = prepared.withColumns(
         {
             "_said": strip(said),
-            "_asked_lower": strip(F.lower(asked)),
-            "_said_lower": strip(F.lower(said)),
+            "_asked_lower": F.when(has_input, strip(F.lower(asked))),
+            "_said_lower": F.when(has_input, strip(F.lower(said))),
         }
     ).withColumns(
         {"_asked_words": words(F.col("_asked_lower")), "_said_words": words(F.col("_said_lower"))}
     )
-    # Rules other than "empty" look at non-empty strings only; whitespace counts.
-    has_output = F.coalesce(said != "", F.lit(False))
-    has_input = F.coalesce(asked != "", F.lit(False))
     stripped = F.col("_said")
     echo = is_echo(*[F.col(f"_{n}") for n in ("asked_lower", "said_lower", "asked_words", "said_words")])
     flags = {
         "empty": F.coalesce(stripped == "", F.lit(True)),
-        "repetitive": is_repetitive(said, config.repetition_threshold),
+        "repetitive": F.coalesce(F.col("_repetition") > config.repetition_threshold, F.lit(False))
+        if config.runs("repetitive")
+        else F.lit(False),
         "short": has_output & is_short(stripped, config.min_words),
         "gibberish": has_output & is_gibberish(said, stripped),
         "incomplete": has_output & is_incomplete(stripped),

@@ -115,7 +115,7 @@ def choose_template(
 
     The choice hangs on the key's digest: varied across rows, the same on a rerun.
     """
-    if template is not None:
+    if template:
         return F.lit(None).cast("int")
     if not randomize:
         return F.lit(0)
@@ -167,7 +167,7 @@ def fill_template(template: str) -> Column:
 
 def prompt_of(template_no: Column, template: str | None = None) -> Column:
     """Prompt text from the template position and the metadata columns."""
-    if template is not None:
+    if template:
         return fill_template(template)
     prompt = F.lit(None).cast("string")
     for number, text in enumerate(fixed.PROMPT_TEMPLATES):

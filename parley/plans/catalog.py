@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from parley.functions.jsontext import extract_json
 from parley.functions.repetition import repetition_score
 from parley.functions.text import strip, words
-from parley.operators import feedback, forecast, prep, quality, scrape
+from parley.operators import feedback, forecast, numbering, prep, quality, scrape
 from parley.plans import inputs, jobs
 from parley.session import spread, work_folder
-from parley.sources import readers
+from parley.sources import readers, writers
+from parley.sources.files import Store
+from parley.sources.turns import pairs_from_turns
 from parley.streaming.feedback_stream import FeedbackStream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +39,15 @@ def pairs(spark, folder):
     return inputs.pairs(spark, folder)
 
 
+@query
+def pairs_large_ids(spark, folder):
+    """Pairs of conversations with ids beyond 32 bits and below zero, in order."""
+    turns = inputs.table(spark, folder, "conversations")
+    large = turns.withColumn("conv_id", (F.col("conv_id") - 20) * 2**33 + F.col("conv_id"))
+    pairs_out = pairs_from_turns(large).select("conv_id", "turn", "input", "output")
+    return numbering.with_position_by(pairs_out, "conv_id", "turn")
+
+
 @query
 def training_text(spark, folder):
     return inputs.pairs(spark, folder).select(
@@ -411,20 +422,17 @@ def predictions_table_by_sensor(spark, folder):
 
 @query
 def predictions_json(spark, folder):
-    rows = inputs.predictions(spark, folder).select("event_id", "datetime", "sensor_id", "temp")
-    lines = rows.select("event_id", forecast.prediction_json(rows.drop("event_id")).alias("line"))
-    return lines
+    columns = ["datetime", "sensor_id", "temp", "barometer", "light", "humidity"]
+    line = forecast.prediction_json(inputs.predictions(spark, folder).select(*columns))
+    return inputs.predictions(spark, folder).select("event_id", line.alias("line"))
 
 
 @query
 def report_prompt(spark, folder):
-    rows = inputs.predictions(spark, folder)
-    _, line = forecast.prediction_csv(["temp"])
-    named = rows.withColumn("data", line).join(
-        inputs.requests(spark, folder).select("event_id", "user_request"), "event_id"
-    )
-    prompt = forecast.report_prompt("Describe the forecast.", F.col("user_request"), F.col("data"))
-    return named.select("event_id", prompt.alias("prompt"))
+    """One report per sensor and day over all its predictions."""
+    rows = inputs.predictions(spark, folder).withColumn("day", F.left("datetime", F.lit(10)))
+    request = F.concat(F.lit("sensor "), F.col("sensor_id").cast("string"), F.lit(" on "), F.col("day"))
+    return forecast.forecast_reports(rows, ["sensor_id", "day"], request, "Describe the forecast.", ["temp"])
 
 
 # -- training rows and generation ---------------------------------------------
@@ -526,22 +534,140 @@ def jsonl_line_totals(spark, folder):
     return totals.select(_shard(), "lines", "filled_lines")
 
 
+@query
+def feed_line_kinds(spark, folder):
+    return feedback.line_kinds(inputs.feed_lines(spark, folder))
+
+
+_PAIR = ("row_id", "input", "output")
+
+
 @query
 def json_log_round_trip(spark, folder):
     """Logged pairs written as JSON and read back as training pairs."""
     path = work_folder(spark, "log")
-    rows = inputs.pairs(spark, folder).select("row_id", "input", "output")
-    rows.withColumn("timestamp", F.lit("2024-01-01T00:00:00")).write.json(path)
-    back = spark.read.schema("row_id BIGINT, input STRING, output STRING").json(path)
+    rows = inputs.pairs(spark, folder).select(*_PAIR)
+    writers.append_log(rows.withColumn("timestamp", F.lit("2024-01-01T00:00:00")), path)
+    back = writers.read_log(spark, path, "row_id BIGINT")
     return back.select("row_id", prep.training_text(F.col("input"), F.col("output")).alias("text"))
 
 
+@query
+def log_append_save(spark, folder):
+    """A log saved, cleared, and appended to in two parts."""
+    path = work_folder(spark, "log")
+    rows = feedback.stamped(inputs.pairs(spark, folder).select(*_PAIR))
+    writers.save_log(rows, path)
+    writers.clear_log(spark, path)
+    writers.append_log(rows.where("row_id % 2 = 0").drop("row_id"), path)
+    writers.append_log(rows.where("row_id % 2 = 1").drop("row_id"), path)
+    back = writers.read_log(spark, path).where("timestamp IS NOT NULL")
+    return back.select(prep.training_text(F.col("input"), F.col("output")).alias("text"))
+
+
+@query
+def feedback_append(spark, folder):
+    """Labelled exchanges appended to a feed and read back from it."""
+    path = work_folder(spark, "feedback")
+    kept = feedback.open_prompts(inputs.exchanges(spark, folder), session="conv_id")
+    writers.append_feedback(feedback.label_feedback(kept), path)
+    records = readers.read_jsonl(spark, path)
+    accepted = F.get_json_object("extras", "$.accepted").cast("boolean")
+    return records.select("input", "output", accepted.alias("accepted"))
+
+
+@query
+def exchanges_append(spark, folder):
+    path = work_folder(spark, "exchanges")
+    rows = inputs.exchanges(spark, folder).select(strip(F.col("prompt")).alias("request_json"), "response")
+    rows = rows.withColumn("request_json", F.when(F.lower("request_json") == "quit", "quit").otherwise(F.col("request_json")))
+    writers.append_exchanges(rows, path)
+    back = spark.read.schema("stamp STRING, request_json STRING, response STRING").json(path)
+    return back.select("response", "request_json", F.length("stamp").alias("stamp_chars"))
+
+
+@query
+def filtered_output(spark, folder):
+    """The filtered dataset of the validation job, read back from its file."""
+    out = work_folder(spark, "filtered")
+    pairs_in = inputs.dirty_pairs(spark, folder).select(*_PAIR)
+    jobs.validate(pairs_in, work_folder(spark, "scored"), filtered_path=writers.filtered_path(f"{out}.json"))
+    return readers.read_json_lines(spark, writers.filtered_path(f"{out}.json"), "row_id BIGINT").select(*_PAIR)
+
+
+@query
+def jsonl_round_trip(spark, folder):
+    path = work_folder(spark, "jsonl")
+    writers.write_jsonl(inputs.pairs(spark, folder).select(*_PAIR), path)
+    records = readers.read_jsonl(spark, path)
+    row_id = F.get_json_object("extras", "$.row_id").cast("bigint")
+    return records.select(row_id.alias("row_id"), "input", "output")
+
+
+@query
+def json_array_round_trip(spark, folder):
+    """Pairs as one JSON array per file, read back."""
+    path = work_folder(spark, "arrays")
+    record = F.to_json(F.struct(*_PAIR))
+    parts = inputs.pairs(spark, folder).groupBy(F.floor(F.col("conv_id") / 50).alias("part"))
+    body = F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]"))
+    parts.agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return readers.read_json(spark, path, "row_id BIGINT").select(*_PAIR)
+
+
+@query
+def csv_round_trip(spark, folder):
+    """Texts with line breaks, quotes and commas through CSV."""
+    path = work_folder(spark, "csv")
+    rows = inputs.pairs(spark, folder).select(
+        "row_id", F.col("input").alias("question"), F.col("output").alias("answer")
+    )
+    rows.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    back = readers.read_csv(spark, path)
+    return back.select(F.col("row_id").cast("bigint").alias("row_id"), "input", "output")
+
+
+@query
+def union_pairs(spark, folder):
+    """Datasets with different extra columns, appended."""
+    rows = inputs.pairs(spark, folder)
+    turned = rows.select("row_id", F.col("output").alias("input"), F.col("input").alias("output"), "turn")
+    return readers.combine(rows.select(*_PAIR), turned)
+
+
+@query
+def custom_rule(spark, folder):
+    rule = {"mentions the": lambda asked, said: F.contains(F.lower(said), F.lit("the"))}
+    scored = quality.score_pairs(inputs.pairs(spark, folder), quality.QualityConfig(extra=rule))
+    return scored.select("row_id", F.array_contains("issues", "mentions the").alias("flagged"))
+
+
+@query
+def planned_steps_override(spark, folder):
+    return prep.planned_steps(inputs.pairs(spark, folder), batch_size=4, max_steps=77)
+
+
+@query
+def text_folder_stats(spark, folder):
+    """Documents written as one text file each, read back from the folder."""
+    path = work_folder(spark, "texts")
+    documents = inputs.table(spark, folder, "documents").select("doc_id", "text")
+    documents.withColumnRenamed("text", "value").repartition("doc_id").write.partitionBy("doc_id").text(path)
+    files = readers.read_text_folder(spark, f"{path}/*")
+    doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint")
+    content = F.expr("substring(content, 1, length(content) - 1)")  # without the file's last line end
+    return files.select(
+        doc_id.alias("doc_id"), F.length(content).alias("chars"), F.md5(F.encode(content, "utf-8")).alias("digest")
+    )
+
+
 @query
 def stream_feedback_cycle(spark, folder):
-    """The whole feed through the stream; the published snapshot's texts."""
+    """The whole feed through the stream, a few files at a time; all published texts."""
     feed = _feed_folder(spark, folder)
     stream = FeedbackStream(spark, feed, work_folder(spark, "cycles"), threshold=50)
-    stream.start(once=True).awaitTermination()
+    stream.start(once=True, files_per_batch=max(1, len(Store(spark, feed).names()) // 4)).awaitTermination()
+    stream.finish()
     if stream.snapshots.current() is None:
         return spark.createDataFrame([], "text STRING")
-    return stream.snapshots.read().select("text")
+    return stream.snapshots.read_all().select("text")

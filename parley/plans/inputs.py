@@ -131,16 +131,21 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs as feed lines, some malformed, blank or lacking a key."""
+    """Pairs as feed lines, some malformed, blank, lacking a key, with half an emoji
+    escape, or with a stray byte."""
     record = F.to_json(
         F.struct("input", "output", (F.col("row_id") % 2 == 0).alias("accepted"))
     )
     kind = (F.col("conv_id") + F.col("turn")) % 11
+    half = F.concat(F.lit('{"input": "half \\ud83d", "output": "'), F.col("row_id").cast("string"), F.lit('"}'))
+    stray = F.concat(F.encode(F.lit('{"input": "caf'), "utf-8"), F.unhex(F.lit("E9")), F.encode(F.lit('", "output": ""}'), "utf-8"))
     line = (
         F.when(kind == 3, "NOT VALID JSON")
         .when(kind == 5, "   ")
         .when(kind == 7, '{"only": "metadata"}')
         .when(kind == 9, F.concat(record, F.lit(" trailing")))
+        .when(kind == 1, half)
+        .when(kind == 2, stray.cast("string"))
         .otherwise(record)
     )
     return pairs(spark, folder).select(
@@ -149,7 +154,10 @@ def feed_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_feed(spark: SparkSession, folder: str, path: str) -> None:
-    """The feed as text files, one per shard of 50 conversations, in row order."""
+    """The feed as text files, one per shard of 50 conversations, in row order.
+
+    A shard with many rows is as large a file as it is in any feed; the sort spills.
+    """
     lines = feed_lines(spark, folder).select("shard", "row_id", "line")
     ordered = lines.repartition("shard").sortWithinPartitions("shard", "row_id")
     ordered.drop("row_id").write.partitionBy("shard").text(path)

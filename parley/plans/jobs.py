@@ -8,18 +8,16 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fixed
-from parley.functions.text import head
 from parley.operators.forecast import resolve_requests, split_requests
 from parley.operators.prep import Tokenizer, byte_tokenizer, token_rows, training_text
 from parley.operators.quality import (
-    RULES,
     QualityConfig,
     quality_report,
     quality_totals,
     score_pairs,
 )
 from parley.operators.scrape import describe, scrape_counts
-from parley.sources.readers import read_text_folder
+from parley.sources.readers import read_text_folder, unlisted_names
 from parley.sources.writers import write_jsonl
 
 logger = logging.getLogger(__name__)
@@ -37,21 +35,12 @@ def validate(
 ) -> DataFrame:
     """Score pairs once, write the verdicts, and return the one-row report.
 
-    The rules run in a single pass that writes ``scored_path`` partitioned by
-    ``is_valid``.  Without ``filtered_path`` only flags and display excerpts are
-    written; with it whole rows are, and the filtered dataset is the valid
-    partition read back, not a second validation.
+    The rules run in a single pass that writes whole rows, flags and issues to
+    ``scored_path``, partitioned by ``is_valid``.  With ``filtered_path`` the valid
+    partition is read back and written there, not validated again.
     """
     spark = pairs.sparkSession
     scored = score_pairs(pairs, config)
-    if filtered_path is None:
-        flags = [f"is_{rule}" for rule in RULES]
-        # Excerpts serve the report's examples, which show invalid rows only.
-        excerpts = [
-            F.when(~F.col("is_valid"), head(F.col(name), fixed.EXAMPLE_CHARS)).alias(name)
-            for name in ("input", "output")
-        ]
-        scored = scored.select("row_id", *excerpts, *flags, "issues", "is_valid")
     scored.write.mode("overwrite").partitionBy("is_valid").parquet(scored_path)
     written = spark.read.schema(scored.schema).parquet(scored_path)
     if filtered_path is not None:
@@ -66,14 +55,16 @@ def exit_code(report: DataFrame) -> int:
 
 
 def scrape(
-    spark: SparkSession, folder: str, output_path: str, **options
+    spark: SparkSession, folder: str, output_path: str, allow_unlisted: bool = False, **options
 ) -> dict[str, int]:
-    """Text folder to pairs; returns files found, processed and skipped.
+    """Text folder to pairs; returns files found, processed, skipped and unlisted.
+
+    Files whose names Spark cannot list raise unless allowed, and are counted.
 
     The counts are observed while writing, so the files are read once.  No usable
     file is an error.
     """
-    described = describe(read_text_folder(spark, folder), **options)
+    described = describe(read_text_folder(spark, folder, allow_unlisted=allow_unlisted), **options)
     seen = Observation("scrape")
     counted = described.select("skip_reason", "prompt", "cleaned").observe(seen, *scrape_counts())
     pairs = counted.where(F.col("skip_reason").isNull()).select(
@@ -82,7 +73,7 @@ def scrape(
     write_jsonl(pairs, output_path, mode="overwrite")
     if not seen.get["processed"]:
         raise ValueError(f"No files were processed successfully in {folder}")
-    return seen.get
+    return {**seen.get, "unlisted": len(unlisted_names(spark, folder))}
 
 
 def prepare_training(

@@ -473,13 +473,15 @@ SELECT DISTINCT sensor_id, 0 AS line_kind, '{table_header(['temp'])}' AS line FR
 UNION ALL SELECT DISTINCT sensor_id, 1, '{'-' * len(table_header(['temp']))}' FROM predicted
 UNION ALL SELECT sensor_id, 2, {table_line(['temp'])} FROM predicted"""
 ORACLE["predictions_json"] = f"""WITH {PREDICTED}
-SELECT event_id, '{{"datetime":"' || datetime || '","sensor_id":' || sensor_id
-  || coalesce(',"temp":' || CAST(temp AS VARCHAR), '') || '}}' AS line FROM predicted"""
-ORACLE["report_prompt"] = f"""WITH {REQUESTS}, {PREDICTED}
-SELECT event_id, 'Describe the forecast.' || chr(10) || chr(10) || 'Original request: ' || user_request
-  || chr(10) || chr(10) || 'Forecast data:' || chr(10) || {csv_line(['temp'])}
-  || chr(10) || chr(10) || 'Report:' AS prompt
-FROM requests JOIN predicted USING (event_id)"""
+SELECT event_id, '{{"datetime": "' || datetime || '", "sensor_id": ' || sensor_id || {
+    " || ".join(f"""', "{name}": ' || coalesce(CAST({name} AS VARCHAR), 'null')""" for name in ('temp', 'barometer', 'light', 'humidity'))
+} || '}}' AS line FROM predicted"""
+ORACLE["report_prompt"] = f"""WITH {PREDICTED}, cells AS (
+  SELECT sensor_id, left(datetime, 10) AS day, datetime, {csv_line(['temp'])} AS line FROM predicted)
+SELECT sensor_id, day, 'Describe the forecast.' || chr(10) || chr(10) || 'Original request: sensor ' || sensor_id
+  || ' on ' || day || chr(10) || chr(10) || 'Forecast data:' || chr(10) || 'datetime,temp' || chr(10)
+  || string_agg(line, chr(10) ORDER BY datetime, line) || chr(10) || chr(10) || 'Report:' AS prompt
+FROM cells GROUP BY sensor_id, day"""
 
 # -- training rows and generation ---------------------------------------------
 
@@ -516,15 +518,19 @@ SELECT row_id, prompt AS input, CASE WHEN correction = '' THEN response ELSE cor
 
 FEED = f"""{PAIRS}, feed AS (
   SELECT *, conv_id // 50 AS shard, CASE (conv_id + turn) % 11 WHEN 3 THEN 'malformed' WHEN 5 THEN 'blank'
-    WHEN 7 THEN 'keyless' WHEN 9 THEN 'malformed' ELSE 'usable' END AS kind FROM pairs),
+    WHEN 7 THEN 'keyless' WHEN 9 THEN 'malformed' WHEN 1 THEN 'half' WHEN 2 THEN 'undecodable'
+    ELSE 'usable' END AS raw FROM pairs),
+kinds AS (
+  SELECT * EXCLUDE (input, output, raw), if(raw = 'half', 'half ' || chr(65533), input) AS input,
+    if(raw = 'half', CAST(row_id AS VARCHAR), output) AS output, raw, if(raw = 'half', 'usable', raw) AS kind FROM feed),
 lines AS (
-  SELECT *, row_number() OVER (PARTITION BY shard ORDER BY row_id) AS line_no FROM feed),
+  SELECT *, row_number() OVER (PARTITION BY shard ORDER BY row_id) AS line_no FROM kinds),
 filled AS (
   SELECT *, row_number() OVER (PARTITION BY shard ORDER BY row_id) AS line_no
-  FROM feed WHERE kind <> 'blank')"""
+  FROM kinds WHERE kind <> 'blank')"""
 ORACLE["feed_records"] = f"""WITH {FEED}
-SELECT row_id, input, output, CASE WHEN row_id % 2 = 0 THEN 'true' ELSE 'false' END AS accepted
-FROM feed WHERE kind = 'usable'"""
+SELECT row_id, input, output, CASE WHEN raw = 'half' THEN NULL WHEN row_id % 2 = 0 THEN 'true' ELSE 'false' END AS accepted
+FROM kinds WHERE kind = 'usable'"""
 ORACLE["feed_counters"] = f"""WITH {FEED}
 SELECT count(*) AS total, 100::BIGINT AS consumed, count(*) - 100 AS new FROM filled"""
 ORACLE["jsonl_from_offset"] = f"""WITH {FEED}
@@ -533,7 +539,30 @@ ORACLE["jsonl_count_and_load"] = f"""WITH {FEED}
 SELECT shard, line_no, input, output, (SELECT count(*) FROM filled) AS total
 FROM filled WHERE kind = 'usable' AND line_no > 20"""
 ORACLE["jsonl_line_totals"] = f"""WITH {FEED}
-SELECT shard, count(*) AS lines, count(*) FILTER (kind <> 'blank') AS filled_lines FROM feed GROUP BY shard"""
+SELECT shard, count(*) AS lines, count(*) FILTER (kind <> 'blank') AS filled_lines FROM kinds GROUP BY shard"""
 ORACLE["stream_feedback_cycle"] = f"""WITH {FEED}
-SELECT 'User: ' || input || chr(10) || 'Assistant: ' || output AS text FROM feed
+SELECT 'User: ' || input || chr(10) || 'Assistant: ' || output AS text FROM kinds
 WHERE kind = 'usable' AND (SELECT count(*) FROM filled) >= 50"""
+ORACLE["feed_line_kinds"] = f"""WITH {FEED} SELECT kind, count(*) AS lines FROM kinds WHERE kind <> 'blank' GROUP BY kind"""
+ORACLE["csv_round_trip"] = ORACLE["pairs"].replace("SELECT * FROM pairs", "SELECT row_id, input, output FROM pairs")
+ORACLE["json_array_round_trip"] = ORACLE["csv_round_trip"]
+ORACLE["jsonl_round_trip"] = ORACLE["csv_round_trip"]
+ORACLE["log_append_save"] = f"""WITH {PAIRS}
+SELECT 'User: ' || input || chr(10) || 'Assistant: ' || output AS text FROM pairs"""
+ORACLE["feedback_append"] = f"""WITH {EXCHANGES}
+SELECT prompt AS input, CASE WHEN correction = '' THEN response ELSE correction END AS output,
+  correction = '' AS accepted FROM open"""
+ORACLE["exchanges_append"] = f"""WITH {EXCHANGES}
+SELECT response, prompt AS request_json, 8 + 1 + 12 AS stamp_chars FROM exchanges"""
+ORACLE["filtered_output"] = ORACLE["filter_valid"]
+ORACLE["union_pairs"] = f"""WITH {PAIRS} SELECT row_id, input, output, NULL::BIGINT AS turn FROM pairs
+UNION ALL SELECT row_id, output, input, turn FROM pairs"""
+ORACLE["text_folder_stats"] = """WITH named AS (
+  SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS content FROM documents)
+SELECT doc_id, length(content) AS chars, md5(content) AS digest FROM named"""
+ORACLE["planned_steps_override"] = f"""WITH {PAIRS} SELECT count(*) AS rows, ceil(count(*) / 4.0)::BIGINT AS steps_per_epoch,
+  77::BIGINT AS planned_steps FROM pairs"""
+ORACLE["custom_rule"] = f"""WITH {PAIRS} SELECT row_id, contains(lower(output), 'the') AS flagged FROM pairs"""
+ORACLE["pairs_large_ids"] = f"""WITH {PAIRS}, large AS (
+  SELECT (conv_id - 20) * 8589934592 + conv_id AS conv_id, turn, input, output FROM pairs)
+SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS position FROM large"""

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -71,6 +72,16 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/parley/{purpose}-{uuid.uuid4().hex}"
 
 
+def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column so that filters never compute it again.
+
+    The optimizer pushes a filter on such a column below its projection and then runs
+    the column twice.  It cannot do so through a generator, while filters on all other
+    columns still reach the scan.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Spread a small input over the cluster before CPU-heavy columns.
 

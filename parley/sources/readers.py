@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fixed
 from parley.functions.text import strip, unix_newlines
 from parley.operators.feedback import parsed_lines
+from parley.session import work_folder
 from parley.sources.files import Store
 
 PAIR_SCHEMA = "input STRING, output STRING"
@@ -43,6 +43,11 @@ def read_json(
     return reader.json(path)
 
 
+def read_json_lines(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
+    """Pairs of well-formed JSON Lines by Spark's own parser, with ``extra`` fields as DDL."""
+    return spark.read.schema(f"{PAIR_SCHEMA}, {extra}" if extra else PAIR_SCHEMA).json(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with the file and split they came from."""
     return spark.read.text(path).select(
@@ -69,16 +74,15 @@ def numbered_lines(spark: SparkSession, path: str, only_filled: bool = False) ->
     out of lines and count with ``only_filled``).
 
     Numbers come from per-split counts, summed per file, plus the place inside
-    the split.  The tagged lines are persisted so that both uses see the same
-    splits; lost blocks are read again from those very splits.  With the offsets
-    broadcast, no line is shuffled.  The persisted lines stay until the session
-    ends or ``spark.catalog.clearCache()``.
+    the split.  The tagged lines are written once to the shared folder, so that both
+    uses see the same splits.  With the offsets broadcast, no line is shuffled.
     """
     lines = read_lines(spark, path)
     if only_filled:
         lines = lines.where(strip(F.col("line")) != "")
-    tagged = lines.withColumn("tag", F.monotonically_increasing_id())
-    tagged = tagged.persist(StorageLevel.DISK_ONLY)
+    folder = work_folder(spark, "lines")
+    lines.withColumn("tag", F.monotonically_increasing_id()).write.parquet(folder)
+    tagged = spark.read.parquet(folder)
     splits = tagged.groupBy("file", "split_start").agg(
         F.min("tag").alias("first_tag"), F.count("*").alias("lines")
     )
@@ -124,17 +128,27 @@ def count_and_read_jsonl(
         return 0, spark.createDataFrame([], empty)
     lines = numbered_lines(spark, path, only_filled=True)
     records = parsed_lines(lines.where(F.col("line_no") > start_line)).where("usable")
-    # Counted on the persisted lines: the files are read once.
+    # Counted on the written lines: the feed is read once.
     return lines.count(), records.select("file", "line_no", "input", "output", "extras")
 
 
-def read_text_folder(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
+def unlisted_names(spark: SparkSession, folder: str) -> list[str]:
+    """``*.txt`` names that Spark's file listing leaves out: those starting ``_`` or ``.``."""
+    names = Store(spark, folder).names()
+    return [name for name in names if name.endswith(".txt") and name[0] in "_."]
+
+
+def read_text_folder(
+    spark: SparkSession, folder: str, ordered: bool = False, allow_unlisted: bool = False
+) -> DataFrame:
     """``*.txt`` files as ``path``, ``name``, ``content``; null content if not UTF-8.
 
-    One file is one row, as large as a row may be.  Spark's listing leaves out
-    names starting with ``_`` or ``.``.  ``ordered`` sorts by path (a range
+    One file is one row, as large as a row may be.  Names that Spark cannot list raise
+    unless allowed, so none is lost in silence.  ``ordered`` sorts by path (a range
     shuffle of the texts; leave it off where order does not matter).
     """
+    if not allow_unlisted and (lost := unlisted_names(spark, folder)):
+        raise ValueError(f"Spark cannot list {len(lost)} files, such as '{lost[0]}': rename them")
     raw = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.txt")
@@ -151,8 +165,18 @@ def read_text_folder(spark: SparkSession, folder: str, ordered: bool = False) ->
 
 
 def read_csv(spark: SparkSession, path: str, input_col: str = "question", output_col: str = "answer") -> DataFrame:
-    """Pairs from CSV with a header line."""
-    rows = spark.read.option("header", True).option("multiLine", False).csv(path)
+    """Pairs from CSV with a header line; quoted cells may hold line breaks and ``""``.
+
+    Such a file has no safe place to be split, so one file is one task.  A malformed
+    row raises, and so does a missing column.
+    """
+    rows = (
+        spark.read.option("header", True)
+        .options(multiLine=True, quote='"', escape='"', mode="FAILFAST")
+        .csv(path)
+    )
+    if not {input_col, output_col} <= set(rows.columns):
+        raise ValueError(f"CSV must have '{input_col}' and '{output_col}' columns")
     return rows.withColumnsRenamed({input_col: "input", output_col: "output"})
 
 

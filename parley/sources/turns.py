@@ -9,6 +9,17 @@ from pyspark.sql import functions as F
 TURN_BITS = 12
 
 
+def _row_id() -> Column:
+    """Conversation and turn in one number; ids that do not fit raise when it is used.
+
+    Pairs of any ids can be placed by (conv_id, turn): see ``numbering.with_position``.
+    """
+    conv, turn = F.col("conv_id"), F.col("turn")
+    fits = conv.between(-(2**31), 2**31 - 1) & turn.between(0, 2**32 - 1)
+    wrong = F.raise_error(F.concat(F.lit("no row_id for conversation "), conv.cast("string"), F.lit(": use conv_id and turn")))
+    return F.when(fits, F.shiftleft(conv.cast("bigint"), 32) + turn).otherwise(wrong)
+
+
 def pairs_from_turns(turns: DataFrame, turn_bits: int = TURN_BITS) -> DataFrame:
     """Pair every user turn with the assistant turn right after it.
 
@@ -46,7 +57,7 @@ def pairs_from_turns(turns: DataFrame, turn_bits: int = TURN_BITS) -> DataFrame:
         return F.when(last, F.col(f"head_{name}")).otherwise(F.col(f"next_{name}"))
 
     return joined.where((F.col("role") == "user") & (following("role") == "assistant")).select(
-        (F.shiftleft("conv_id", 32) + F.col("turn")).alias("row_id"),
+        _row_id().alias("row_id"),
         "conv_id",
         "turn",
         F.col("text").alias("input"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators.feedback import compact_stamp, stamped
-from parley.operators.forecast import format_predictions, target_columns
+from parley.operators.forecast import format_predictions
 from parley.sources.files import Store
 
 
@@ -23,17 +23,6 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
-def export_json_array(df: DataFrame, path: str, max_rows: int = 100_000) -> int:
-    """A small result as one pretty JSON array file; larger ones are refused."""
-    rows = df.limit(max_rows + 1).toJSON().collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write JSON Lines instead")
-    folder, _, name = path.rpartition("/")
-    text = json.dumps([json.loads(row) for row in rows], indent=2, ensure_ascii=False)
-    Store(df.sparkSession, folder or ".").write(name, text)
-    return len(rows)
-
-
 def append_log(df: DataFrame, path: str) -> None:
     """Append logged pairs; earlier files stay as they are."""
     require_pair_columns(df)
@@ -53,8 +42,10 @@ def clear_log(spark: SparkSession, path: str) -> None:
     empty.write.mode("overwrite").json(path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("input STRING, output STRING, timestamp STRING").json(path)
+def read_log(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
+    """Logged pairs; ``extra`` names further fields as DDL."""
+    fields = "input STRING, output STRING, timestamp STRING"
+    return spark.read.schema(f"{fields}, {extra}" if extra else fields).json(path)
 
 
 def append_feedback(labelled: DataFrame, path: str) -> None:
@@ -80,23 +71,19 @@ def append_exchanges(df: DataFrame, path: str) -> None:
 def write_predictions(
     df: DataFrame, path: str, fmt: str = "table", targets: list[str] | None = None
 ) -> None:
-    """Predictions as JSON Lines, CSV with header, or aligned text."""
-    if fmt == "json":
-        df.write.mode("overwrite").json(path)
-    elif fmt == "csv":
-        names = target_columns(targets)
-        df.select(*names).write.mode("overwrite").option("header", True).csv(path)
-    else:
-        lines = format_predictions(df, "table", targets)
-        ordered = lines.orderBy("line_kind", "datetime").select("line")
-        ordered.write.mode("overwrite").text(path)
+    """The lines of :func:`format_predictions`, in order, as text files."""
+    lines = format_predictions(df, fmt, targets)
+    lines.orderBy("line_kind", "datetime").select("line").write.mode("overwrite").text(path)
 
 
 class Snapshots:
-    """Versioned dataset: write a new version, then point to it; keep the one before."""
+    """Versioned dataset: write a new version, then point to it.
+
+    Every version stays unless ``keep`` says how many of the last ones do.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self._spark = spark
+    def __init__(self, spark: SparkSession, root: str, keep: int | None = None):
+        self._spark, self._keep = spark, keep
         self._store = Store(spark, root)
         self.root = root.rstrip("/")
 
@@ -113,7 +100,7 @@ class Snapshots:
         """Idempotent: publishing a version again replaces its data."""
         df.write.mode("overwrite").parquet(f"{self.root}/data/version={version}")
         self._store.write(f"pointers/{version}", json.dumps({"version": version}))
-        for old in self.versions()[:-2]:
+        for old in self.versions()[: -self._keep] if self._keep else []:
             self._store.remove(f"pointers/{old}")
             self._store.remove(f"data/version={old}")
 
@@ -122,3 +109,10 @@ class Snapshots:
         if chosen is None:
             raise ValueError(f"nothing published under {self.root}")
         return self._spark.read.parquet(f"{self.root}/data/version={chosen}")
+
+    def read_all(self) -> DataFrame:
+        """The rows of every published version, with their ``version``."""
+        paths = [f"{self.root}/data/version={version}" for version in self.versions()]
+        if not paths:
+            raise ValueError(f"nothing published under {self.root}")
+        return self._spark.read.option("basePath", f"{self.root}/data").parquet(*paths)

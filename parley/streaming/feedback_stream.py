@@ -83,7 +83,11 @@ class FeedbackStream:
     def take(self, lines: DataFrame, batch: int) -> None:
         """Stage a micro-batch and start a cycle when enough lines are pending."""
         before = self.state(before=batch)
+        self._refuse_grown()
         parsed_lines(lines).drop("line").write.mode("overwrite").parquet(self._staged(batch))
+        if "file" in lines.columns:
+            sizes = lines.groupBy("file").agg(F.max("size").alias("size"))
+            sizes.write.mode("overwrite").parquet(f"{self.root}/files/batch={batch}")
         arrived = self.spark.read.parquet(self._staged(batch)).count()
         after = FeedState(
             before.lines_total + arrived,
@@ -98,6 +102,30 @@ class FeedbackStream:
         if due:
             self._tidy(after)
 
+    def _refuse_grown(self) -> None:
+        """Raise if a file already taken is longer now: its new lines would be lost."""
+        if not self._store.exists("files"):
+            return
+        taken = self.spark.read.parquet(f"{self.root}/files").groupBy("file").agg(F.max("size").alias("size"))
+        listed = (
+            self.spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .load(self.feed)
+            .select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("name"), "length")
+        )
+        taken = taken.withColumn("name", F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))))
+        grown = taken.join(listed, "name").where("length > size").select("name").first()
+        if grown:
+            raise ValueError(f"feed file {grown['name']} has grown after it was taken: add new files instead")
+
+    def finish(self) -> None:
+        """Start a last cycle over the lines that are still below the threshold, if the
+        feed as a whole has reached it."""
+        state = self.state()
+        batches = [int(name) for name in self._store.names("state") if name.isdigit()]
+        if state.pending and state.lines_total >= self.threshold:
+            self._save(max(batches), self._cycle(state, max(batches)))
+
     def _cycle(self, state: FeedState, batch: int) -> FeedState:
         taken = range(state.consumed_through + 1, batch + 1)
         paths = [self._staged(number) for number in taken if self._store.exists(f"staging/batch={number}")]
@@ -127,7 +155,11 @@ class FeedbackStream:
         reader = self.spark.readStream
         if files_per_batch:
             reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        lines = reader.text(self.feed).withColumnRenamed("value", "line")
+        lines = reader.text(self.feed).select(
+            F.col("value").alias("line"),
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_size").alias("size"),
+        )
         writer = (
             lines.writeStream.foreachBatch(self.take)
             .queryName("feedback_cycles")

@@ -1,5 +1,6 @@
 import random
 
+from parley.operators import numbering
 from parley.operators.numbering import with_position
 from parley.operators.prep import assign_batches, get_batch, planned_steps
 
@@ -42,3 +43,12 @@ def test_no_unpartitioned_window_over_rows(spark):
     physical = plan[plan.index("== Physical Plan ==") :]
     # The only single-task window is over the top 16 bits.
     assert physical.count("SinglePartition") <= 1
+
+
+def test_positions_of_wide_and_negative_ids(spark):
+    ids = [-(2**62), -1, 0, 1, 2**31 + 5, 2**32 + 1, 2**62]
+    rows = [(conv, turn) for conv in ids for turn in (0, 1, 5000, 9000)]
+    frame = spark.createDataFrame(rows[::-1], "conv long, turn long").repartition(5)
+    placed = numbering.with_position_by(frame, "conv", "turn").collect()
+    assert [(r.conv, r.turn) for r in sorted(placed, key=lambda r: r.position)] == sorted(rows)
+    assert sorted(r.position for r in placed) == list(range(len(rows)))

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from parley.operators import feedback, prep
@@ -27,13 +26,18 @@ def test_pad_id_among_tokens_is_ignored_too(spark):
     assert row.labels == [-100, ord("b") + 3, -100] and row.attention_mask == [1, 1, 0]
 
 
-def test_tokenizer_from_json(spark):
-    tokenizers = pytest.importorskip("tokenizers")
-    model = tokenizers.Tokenizer(tokenizers.models.WordLevel({"<unk>": 0, "hello": 7, "world": 9}, unk_token="<unk>"))
-    model.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+def test_any_tokenizer_function(spark):
     frame = spark.createDataFrame([("hello big world",)], "text string")
-    row = prep.token_rows(frame, tokenizer=prep.tokenizer_from_json(model.to_str()), max_length=4, pad_id=1).first()
-    assert row.input_ids == [7, 0, 9, 1]
+    sizes = lambda texts: [[len(word) for word in text.split()] for text in texts]
+    row = prep.token_rows(frame, tokenizer=sizes, max_length=4, pad_id=1).first()
+    assert row.input_ids == [5, 3, 5, 1]
+
+
+def test_prompt_limit_is_a_parameter(spark):
+    frame = spark.createDataFrame([("p" * 5000,)], "prompt string")
+    assert len(frame.select(prep.normal_prompt(F.col("prompt"), None)).first()[0]) == 5000 + 17
+    echoed = prep.batch_generate(frame, lambda prompts: [str(len(p)) for p in prompts], max_chars=10)
+    assert echoed.first().response == str(10 + 17)
 
 
 def test_prompt_and_response_frames(spark):

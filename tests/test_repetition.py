@@ -4,10 +4,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from parley.functions import repetition
+from parley.session import computed_once
 
 
 def plain_score(text):
-    """The definition, word for word."""
+    """The definition in its direct form."""
     tokens = text.lower().split()
     if len(text) < 10 or len(tokens) < 3:
         return 0.0
@@ -54,7 +55,34 @@ def test_edges(spark, text):
 
 def test_score_is_computed_once_per_row(spark):
     frame = spark.createDataFrame([("a b a b a b a b",)], "t string")
-    scored = frame.withColumn("s", repetition.repetition_score(F.col("t")))
+    scored = computed_once(frame, "s", repetition.repetition_score(F.col("t")))
     plan = scored.where("s > 0.3").withColumn("r", F.col("s") * 2)._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert physical.count("ArrowEvalPython") == 1
+
+
+def test_nested_words_stay_quick():
+    import random
+    import time
+
+    rng = random.Random(1)
+    tokens = ["a" * rng.randint(1, 200) for _ in range(2500)]
+    begin = time.process_time()
+    found = repetition.hits_by_index(tokens, 2497, 2495)
+    assert time.process_time() - begin < 3
+    assert found == repetition.hits_by_search(tokens, 2497, 2495)
+
+
+def test_plain_filters_reach_the_scan(spark, tables):
+    from parley.operators.quality import score_pairs
+
+    documents = spark.read.parquet(f"{tables}/documents.parquet")
+    rows = documents.select(F.col("doc_id").alias("row_id"), F.lit("").alias("input"), F.col("text").alias("output"), "lang")
+    for wanted in ("lang = 'en'", "lang = 'en' and is_valid", "is_repetitive and lang = 'en'"):
+        plan = score_pairs(rows).where(wanted)._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(lang,en)" in plan and plan.count("ArrowEvalPython") == 1, wanted
+
+
+def test_undecodable_text_scores_zero(spark):
+    frame = spark.range(1).select(F.unhex(F.lit("E9")).cast("string").alias("t"))
+    assert frame.select(repetition.repetition_score(F.col("t"))).first()[0] == 0

@@ -124,13 +124,37 @@ def test_jsonl_append_and_required_columns(spark, tmp_path):
         writers.write_jsonl(rows.drop("output"), path)
 
 
-def test_json_array_export(spark, tmp_path):
-    rows = readers.sample_pairs(spark)
-    path = str(tmp_path / "out" / "pairs.json")
-    assert writers.export_json_array(rows, path) == 3
-    assert readers.read_json(spark, path, extra="").exceptAll(rows).count() == 0
+def test_csv_with_breaks_quotes_and_commas(spark, tmp_path):
+    path = str(tmp_path / "pairs.csv")
+    with open(path, "w", encoding="utf-8") as file:
+        file.write('question,answer\n"a\nb","he said ""hi"" ok, fine"\nplain,x\n')
+    rows = readers.read_csv(spark, path).collect()
+    assert [(r.input, r.output) for r in rows] == [("a\nb", 'he said "hi" ok, fine'), ("plain", "x")]
     with pytest.raises(ValueError):
-        writers.export_json_array(rows, path, max_rows=2)
+        readers.read_csv(spark, path, input_col="other")
+
+
+def test_odd_lines_are_skipped_and_counted(spark, tmp_path):
+    from parley.operators.feedback import line_kinds
+
+    path = tmp_path / "feed.jsonl"
+    half = rb'{"input": "half \ud83d", "output": "x"}'
+    whole = rb'{"input": "\ud83d\ude00", "output": "y"}'
+    path.write_bytes(b"\n".join([half, whole, b'{"input": "caf\xe9", "output": ""}', b"[1]", b"no", b" "]))
+    rows = readers.read_jsonl(spark, str(path)).collect()
+    assert sorted(r.input for r in rows) == ["half \ufffd", "\U0001f600"]
+    lines = spark.read.text(str(path)).withColumnRenamed("value", "line")
+    kinds = {r.kind: r.lines for r in line_kinds(lines).collect()}
+    assert kinds == {"usable": 2, "undecodable": 1, "keyless": 1, "malformed": 1}
+
+
+def test_unlisted_text_files_are_not_lost_in_silence(spark, tmp_path):
+    for name in ("a.txt", "_b.txt", ".c.txt"):
+        (tmp_path / name).write_text("text")
+    with pytest.raises(ValueError):
+        readers.read_text_folder(spark, str(tmp_path))
+    assert readers.unlisted_names(spark, str(tmp_path)) == [".c.txt", "_b.txt"]
+    assert readers.read_text_folder(spark, str(tmp_path), allow_unlisted=True).count() == 1
 
 
 def test_log_life_cycle(spark, tmp_path):
@@ -172,13 +196,8 @@ def test_prediction_files(spark, tmp_path, fmt):
     rows = spark.createDataFrame([("2024-01-01T10:00:00", 20.5)], "datetime string, temp double")
     path = str(tmp_path / fmt)
     writers.write_predictions(rows, path, fmt, ["temp"])
-    if fmt == "csv":
-        # Every part file carries the header line.
-        back = spark.read.option("header", True).csv(path).collect()
-        assert [r[:] for r in back] == [("2024-01-01T10:00:00", "20.5")]
-    else:
-        lines = [r.value for r in spark.read.text(path).collect()]
-        assert "20.5" in lines[-1] and len(lines) == {"json": 1, "table": 3}[fmt]
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert "20.5" in lines[-1] and len(lines) == {"json": 1, "csv": 2, "table": 3}[fmt]
 
 
 @pytest.mark.parametrize(
@@ -190,7 +209,7 @@ def test_filtered_name(path, filtered):
 
 
 def test_snapshots_keep_current_and_previous(spark, tmp_path):
-    snapshots = writers.Snapshots(spark, str(tmp_path / "snap"))
+    snapshots = writers.Snapshots(spark, str(tmp_path / "snap"), keep=2)
     assert snapshots.current() is None
     with pytest.raises(ValueError):
         snapshots.read()

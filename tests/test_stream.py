@@ -83,7 +83,21 @@ def test_staging_of_old_cycles_is_dropped(spark, tmp_path):
     for batch in range(4):
         stream.take(spark.createDataFrame([(good(batch, 1)[0],)], "line string"), batch)
     assert Store(spark, str(tmp_path / "root")).names("staging") == ["batch=3"]
-    assert stream.snapshots.versions() == [2, 3] and texts(stream) == expected(3, 1)
+    assert stream.snapshots.versions() == [0, 1, 2, 3] and texts(stream) == expected(3, 1)
+    assert stream.snapshots.read_all().count() == 4
+
+
+def test_a_grown_feed_file_raises(spark, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    (feed / "one.jsonl").write_text(good(0, 1)[0] + "\n")
+    stream = FeedbackStream(spark, str(feed), str(tmp_path / "root"), threshold=1)
+    stream.start(once=True).awaitTermination()
+    with open(feed / "one.jsonl", "a") as file:
+        file.write(good(1, 1)[0] + "\n")
+    (feed / "two.jsonl").write_text(good(2, 1)[0] + "\n")
+    with pytest.raises(Exception, match="has grown"):
+        stream.start(once=True).awaitTermination()
 
 
 class Failing:
