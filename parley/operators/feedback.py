@@ -19,8 +19,8 @@ def open_prompts(df: DataFrame, session: str | None = None, order: str = "turn")
     """Prompts that reach the model: stripped, not blank, before the quit word.
 
     Without ``session`` columns a quit word only drops its own row.  With them the
-    first quit of each session is found by aggregation; only sessions that have
-    one take part in the join.
+    first quit of each session is found by aggregation and joined to all its prompts;
+    the aggregate is one narrow row per session that has one.
     """
     asked = df.withColumn("prompt", strip(F.col("prompt")))
     kept = asked

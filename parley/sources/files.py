@@ -41,7 +41,12 @@ class Store:
         return data
 
     def write(self, name: str, text: str) -> None:
-        """Write a small text file, visible under its name only when complete."""
+        """Write a small text file, visible under its name only when complete.
+
+        An equal file is left alone, so a retried batch never takes its pointer away.
+        """
+        if self.exists(name) and self.read(name) == text:
+            return
         hidden = self._path(f".{name.rsplit('/', 1)[-1]}.tmp")
         target = self._path(name)
         stream = self._fs.create(hidden, True)
