@@ -209,7 +209,8 @@ def test_predictions_render(spark):
     ]
     objects = [json.loads(line) for line in rendered(frame, "json").split("\n")]
     assert objects[0] == {
-        "sensor_id": 1, "timestamp": 1000, "datetime": "2024-01-01T10:00:00", "temp": 20.5, "humidity": 55.0,
+        "sensor_id": 1, "timestamp": 1000, "datetime": "2024-01-01T10:00:00", "temp": 20.5, "barometer": None,
+        "light": None, "humidity": 55.0,
     }
 
 

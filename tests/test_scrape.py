@@ -155,7 +155,7 @@ def test_folder_to_pairs(spark, tmp_path):
     assert ordered == sorted(rows)
     assert rows["latin.txt"] is None and "\r" not in rows["a_b c+d%.txt"]
     stats = jobs.scrape(spark, str(folder), str(tmp_path / "pairs"), randomize=False)
-    assert stats == {"found": 3, "processed": 1, "too_short": 1, "unreadable": 1}
+    assert stats == {"found": 3, "processed": 1, "too_short": 1, "unreadable": 1, "unlisted": 0}
     pair = spark.read.json(str(tmp_path / "pairs")).first()
     assert pair.input == "Tell me about My Title"
     assert pair.output == LONG.strip() + " \n" + LONG.strip()
