@@ -1,6 +1,6 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors.
 
-An anchor is a run of common words; with the next ``CHAIN`` content words it makes a
+An anchor is a run of common words; with the next two content words it makes a
 spot.  The fingerprint of a text is the set of its spots, hashed.  A text without
 anchors has its word pairs for spots, and one of less than two words itself, so equal
 texts always have equal fingerprints.
@@ -36,34 +36,51 @@ COMMON = (
     " las lo los más me muy no o para pero por que se ser si sin sobre su sus también te un"
     " una y ya"
 ).split()
-CHAIN = 2
 THRESHOLD = 0.8
 
 
-def spots(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted distinct 32-bit hashes of the spots of a text; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.concat(
-        F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")
-    )
-    anchors = "|".join(sorted(set(COMMON), key=lambda w: (-len(w), w)))
+def _any_of(words: list[str]) -> str:
+    """Pattern for one of the words that shares their beginnings, so it fails early."""
+    heads: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        if word:
+            heads.setdefault(word[0], []).append(word[1:])
+    parts = [head + _any_of(rest) for head, rest in heads.items()]
+    if not parts:
+        return ""
+    whole = parts[0] if len(parts) == 1 and "" not in words else f"(?:{'|'.join(parts)})"
+    return f"{whole}?" if "" in words else whole
+
+
+_ANCHOR = _any_of(COMMON)
+
+
+def with_spots(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the sorted distinct 32-bit hashes of the spots of a text; null is empty.
+
+    A spot is an anchor, the content word after it and the content word after that.
+    The steps are columns of their own, so that none is computed twice.
+    """
+    plain = F.coalesce(F.col(text), F.lit(""))
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]++", " "), F.lit(" "))
     # " of the big house " becomes " the#big house ": the last word of a run anchors
-    last = F.regexp_replace(words, rf" (?:{anchors})(?= (?:{anchors}) )", "")
-    ended = F.regexp_replace(last, rf" (?:{anchors}) $", " ")
-    marked = F.regexp_replace(ended, rf" ({anchors}) ", " $1#")
-    pattern = r" (?=([^ #]++#[^ ]++" + r" [^ ]++" * (chain - 1) + r"(?= )))"
-    raw = F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
-    # an anchor in front of a later word of the chain is no content
-    clean = F.transform(raw, lambda s: F.hash(F.regexp_replace(s, r" [^ #]++#", " ")))
+    marked = F.regexp_replace("words__", rf"(?: ({_ANCHOR})(?= ))++ ", " $1#")
+    heads = F.regexp_extract_all("marked__", F.lit(r" ([^ #]++#[^ #]++)(?= (?:[^ #]++#)?+[^ #]++ )"), F.lit(1))
+    tails = F.regexp_extract_all("marked__", F.lit(r"#[^ #]++(?= (?:[^ #]++#)?+([^ #]++) )"), F.lit(1))
+    staged = (
+        df.withColumn("words__", words)
+        .withColumn("marked__", marked)
+        .withColumns({"heads__": heads, "tails__": tails})
+    )
+    chains = F.transform(F.arrays_zip("heads__", "tails__"), lambda s: F.hash(s))
     pairs = F.transform(
-        F.regexp_extract_all(words, F.lit(r" (?=([^ ]++ [^ ]++(?= )))"), F.lit(1)), lambda s: F.hash(s)
+        F.regexp_extract_all("words__", F.lit(r" (?=([^ ]++ [^ ]++) )"), F.lit(1)), lambda s: F.hash(s)
     )
-    whole = F.array(F.hash(F.lit("whole"), text))
-    return (
-        F.when(F.size(raw) > 0, F.array_sort(F.array_distinct(clean)))
-        .when(F.size(pairs) > 0, F.array_sort(F.array_distinct(pairs)))
-        .otherwise(whole)
+    raw = F.when(F.size("heads__") > 0, chains).otherwise(
+        F.concat(pairs, F.when(~F.col("words__").rlike(r"[^ ] [^ ]"), F.array(F.hash(F.lit("whole"), plain))).otherwise(F.array().cast("array<int>")))
     )
+    out = staged.withColumn(name, F.array_sort(F.array_distinct(raw)))
+    return out.drop("words__", "marked__", "heads__", "tails__")
 
 
 def fingerprint(spots: Column) -> Column:
@@ -84,8 +101,8 @@ def likeness(a: Column, b: Column, threshold: float | None = None) -> Column:
 def alike(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Pairs a < b of distinct fingerprints that are alike, with their likeness.
 
-    ``docs`` needs fingerprint and spots, as :func:`fingerprint` and :func:`spots` give
-    them; equal fingerprints count once, so copies are never paired with each other.
+    ``docs`` needs fingerprint and spots, as :func:`with_spots` and
+    :func:`fingerprint` give them; equal fingerprints count once, so copies are never paired with each other.
     Each set is listed under its rarest spots, as many as two alike sets cannot both
     miss, and under its length partition and the next one, from which sets of the
     right length are compared in full.
@@ -166,34 +183,30 @@ def compared_with_next(docs: DataFrame) -> DataFrame:
     none.  Texts are read whole.
     """
     text = F.coalesce("text", F.lit(""))
-    own = spread(docs.select("doc_id", text.alias("text")))
-    own = own.select(
+    rows = spread(docs.select("doc_id", text.alias("text"))).select(
         "doc_id",
         F.xxhash64("doc_id").alias("kid"),
         F.xxhash64(F.col("doc_id").isNull(), "text").alias("print"),
-        F.length("text").alias("n_chars"),
         "text",
-        spots(F.col("text")).alias("spots"),
-    )
-    table = stored(own, "spotsigs")
-    links = stored(with_next(table.select("doc_id", "kid", "print", "n_chars")), "next")
-    # both joins read the same columns of the table, so its texts are shuffled once
-    texts = table.select("kid", "print", "text", "spots")
-    giver = texts.select(
-        F.col("kid").alias("next_kid"), F.col("print").alias("next_print"), "text", F.col("spots").alias("next_spots")
     )
+    sizes = rows.select("doc_id", "kid", "print", F.length("text").alias("n_chars"))
+    links = stored(with_next(sizes), "next")
+    # Both joins read the same columns, so the texts are shuffled once.  Spots are made
+    # on either side of it: they are cheaper to find again than to move with the texts.
+    texts = rows.select("kid", "print", "text")
+    giver = texts.withColumnsRenamed({"kid": "next_kid", "print": "next_print"})
     given = (
-        links.join(giver, ["next_kid", "next_print"])
+        with_spots(links.join(giver, ["next_kid", "next_print"]), "text", "next_spots")
         .select(
             "kid", "print", "doc_id", "n_chars", "next_spots",
             F.expr("substring(text, 1, cast(floor(n_chars / 3) as int))").alias("head"),
         )
         .dropDuplicates(["kid", "print"])
     )
-    joined = texts.join(given, ["kid", "print"])
+    joined = with_spots(texts.join(given, ["kid", "print"]), "text", "spots")
     kept = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 3) as int))")
     edited = joined.select("doc_id", "n_chars", "spots", "next_spots", F.concat(kept, "head").alias("edited"))
-    ready = edited.withColumn("edited_spots", spots(F.col("edited")))
+    ready = with_spots(edited, "edited", "edited_spots")
     return ready.select(
         "doc_id",
         F.col("n_chars").cast("long").alias("n_chars"),
