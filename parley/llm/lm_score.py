@@ -35,9 +35,9 @@ from parley.session import spread
 ALPHA = 0.1
 #: Weight of the pair estimate in the interpolation.
 PAIR_WEIGHT = 0.3
-HEAD = 300_000
+HEAD = 150_000
 SEGMENT_TOKENS = 2 << 20
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 18
 PASS_BYTES = 160 << 20
 #: Bits per inserted level, and probes for each.
 BITS, PROBES = 10, 4
@@ -76,7 +76,7 @@ def is_held_out(doc_id) -> bool:
 class Words:
     """Hashes and head counts of the words met, forgotten when there are too many."""
 
-    def __init__(self, head: dict[bytes, int] | None = None, most: int = 600_000):
+    def __init__(self, head: dict[bytes, int] | None = None, most: int = 250_000):
         self.head, self.most = head or {}, most
         self.number: dict[bytes, int] = {}
         self.hashes = np.zeros(1024, np.uint64)
@@ -108,16 +108,22 @@ class Words:
             self.__init__(self.head, self.most)
 
 
-def chunks(texts: list, size: int = CHUNK_TOKENS):
-    """Runs of (index, tokens) with about ``size`` tokens, or one text."""
-    run, held = [], 0
-    for i, text in enumerate(texts):
-        words = tokens_of(text)
-        run.append((i, words))
-        held += len(words)
-        if held >= size:
-            yield run
-            run, held = [], 0
+def chunks(texts: pa.Array, size: int = CHUNK_TOKENS, keep=None):
+    """Runs of (index, tokens) with about ``size`` tokens, or one text.
+
+    Texts leave the Arrow batch some at a time.  ``keep`` marks the rows to take.
+    """
+    run, held, step = [], 0, 256
+    for begin in range(0, len(texts), step):
+        for i, text in enumerate(texts.slice(begin, step).to_pylist(), begin):
+            if keep is not None and not keep[i]:
+                continue
+            words = tokens_of(text)
+            run.append((i, words))
+            held += len(words)
+            if held >= size:
+                yield run
+                run, held = [], 0
     if run:
         yield run
 
@@ -137,9 +143,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def count(batches):
         for batch in batches:
             seen: dict[bytes, int] = {}
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if not is_held_out(doc_id):
-                    for word in tokens_of(text):
+            learned = [not is_held_out(i) for i in batch.column(0).to_pylist()]
+            for part in chunks(batch.column(1), CHUNK_TOKENS, learned):
+                for _, words in part:
+                    for word in words:
                         seen[word] = seen.get(word, 0) + 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
@@ -157,12 +164,8 @@ def _blobs(docs: DataFrame, bits: int) -> DataFrame:
         words = Words()
         begin = np.uint64(64 - bits) if bits else None
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            texts = [
-                None if is_held_out(i) else (t or "")
-                for i, t in zip(ids, batch.column(1).to_pylist())
-            ]
-            for part in chunks([t for t in texts if t is not None]):
+            learned = [not is_held_out(i) for i in batch.column(0).to_pylist()]
+            for part in chunks(batch.column(1), 2 * CHUNK_TOKENS, learned):
                 words.trim()
                 flat = [w for _, own in part for w in own]
                 sizes = [len(own) for _, own in part]
@@ -230,33 +233,32 @@ class Filter:
     """Some segments of the filter, probed for whole arrays of n-gram hashes."""
 
     def __init__(self, bits: int, segments: dict[int, bytes]):
-        self.shift = np.uint64(64 - bits) if bits else None
-        count = 1 << bits
-        self.sizes = np.zeros(count, np.uint64)
-        self.begins = np.zeros(count, np.int64)
-        at = 0
-        for number, data in sorted(segments.items()):
-            self.sizes[number], self.begins[number] = 8 * len(data), at
-            at += len(data)
-        self.data = np.frombuffer(b"".join(d for _, d in sorted(segments.items())), np.uint8)
+        self.bits = bits
+        self.segments = {n: np.frombuffer(d, np.uint8) for n, d in segments.items()}
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Level of each n-gram, ``UNKNOWN`` where its segment is not held."""
         found, back = np.unique(hashes, return_inverse=True)
-        where = (found >> self.shift).astype(np.int64) if self.shift is not None else np.zeros(len(found), np.int64)
-        sizes, begins = self.sizes[where], self.begins[where]
-        out = np.where(sizes > 0, 0, UNKNOWN).astype(np.uint8)
-        active = np.flatnonzero(sizes > 0)
-        for level in range(1, LEVELS):
-            if not len(active):
-                break
-            at = positions(found[active], level, sizes[active])
-            alive = np.ones(len(active), bool)
-            for row in at:
-                byte = self.data[begins[active] + (row >> np.uint64(3)).astype(np.int64)]
-                alive &= (byte >> (7 - (row & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            active = active[alive]
-            out[active] = level
+        out = np.full(len(found), UNKNOWN, np.uint8)
+        count = 1 << self.bits
+        if self.bits:
+            begins = np.arange(count, dtype=np.uint64) << np.uint64(64 - self.bits)
+            edges = [*np.searchsorted(found, begins).tolist(), len(found)]
+        else:
+            edges = [0, len(found)]
+        for number, data in self.segments.items():
+            begin, end = edges[number], edges[number + 1]
+            active = np.arange(begin, end)
+            out[begin:end] = 0
+            for level in range(1, LEVELS):
+                if not len(active):
+                    break
+                alive = np.ones(len(active), bool)
+                for row in positions(found[active], level, np.uint64(8 * len(data))):
+                    byte = data[(row >> np.uint64(3)).astype(np.int64)]
+                    alive &= (byte >> (7 - (row & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                active = active[alive]
+                out[active] = level
         return out[back]
 
 
@@ -270,8 +272,22 @@ class LanguageModel:
         self.tokens, self.types = total["n"] or 0, total["v"]
         self.documents = self.counts.where(F.col("word") == END.decode()).select("c").first()
         self.documents = self.documents["c"] if self.documents else 0
-        head = self.counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-        self.head = {r["word"].encode(): r["c"] for r in head}
+        # the head ends at a step of the counts, found on a histogram of a few hundred rows
+        step = F.floor(F.log2("c") * 8)
+        steps = self.counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+        self.least_step, held = 1 << 30, 0
+        for row in sorted(steps, reverse=True):
+            held += row["n"]
+            if held > HEAD:
+                break
+            self.least_step = row["step"]
+        head = self.counts.where(step >= self.least_step).select("word", "c")
+        sink = pa.BufferOutputStream()
+        table = head.toArrow()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table)
+        self.head = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        self.tail = self.counts.where(step < self.least_step)
         self.bits = max(0, math.ceil(math.log2(max(1, self.tokens) / SEGMENT_TOKENS)))
 
         def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -301,10 +317,16 @@ class LanguageModel:
             self.pair = np.where(means[2] > 0, means[3] / means[2], guess)
         self.spark = spark
 
-    def filter_of(self, number: int):
-        """Broadcast filter of one pass."""
+    def filter_of(self, number: int) -> dict:
+        """Broadcast segments of one pass; the driver holds one segment at a time."""
         rows = self.segments.where(F.col("segment").isin(self.passes[number])).select("segment", "data")
-        return self.spark.sparkContext.broadcast({r["segment"]: bytes(r["data"]) for r in rows.toLocalIterator()})
+        context = self.spark.sparkContext
+        return {r["segment"]: context.broadcast(bytes(r["data"])) for r in rows.toLocalIterator()}
+
+
+def head_counts(data: bytes) -> dict[bytes, int]:
+    table = pa.ipc.open_stream(data).read_all()
+    return {w.encode(): c for w, c in zip(table["word"].to_pylist(), table["c"].to_pylist())}
 
 
 def log_probabilities(pair, word, before, model_means, tokens: int, types: int) -> np.ndarray:
@@ -330,8 +352,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     docs = spread(docs.select("doc_id", "text"))
     model = LanguageModel(docs)
-    spark = docs.sparkSession
-    head = spark.sparkContext.broadcast(model.head)
+    head = model.head
     tokens, types, documents, bits = model.tokens, model.types, model.documents, model.bits
     means, share = (model.single, model.pair), ALPHA / (tokens + ALPHA * (types + 1))
     kind = docs.schema["doc_id"].dataType
@@ -345,11 +366,11 @@ def scored(docs: DataFrame) -> DataFrame:
         segments = model.filter_of(number)
 
         def run(batches, segments=segments, last=last):
-            held = Filter(bits, segments.value)
-            words = Words(head.value if last else None)
+            held = Filter(bits, {n: data.value for n, data in segments.items()})
+            words = Words(head_counts(head.value) if last else None)
             uid = TaskContext.get().partitionId() << 33
             for batch in batches:
-                texts, before = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                texts, before = batch.column(1), batch.column(2)
                 for part in chunks(texts):
                     words.trim()
                     flat = [w for _, own in part for w in own]
@@ -357,19 +378,21 @@ def scored(docs: DataFrame) -> DataFrame:
                     starts = np.r_[0, np.cumsum(sizes)[:-1]]
                     numbers = words.numbers(flat)
                     pair, word = (held.levels(h) for h in ngrams(words.hashes[numbers], starts))
-                    if before[part[0][0]] is not None:
-                        known = np.frombuffer(b"".join(before[i] for i, _ in part), np.uint8).reshape(-1, 2)
+                    if before[part[0][0]].is_valid:
+                        known = np.frombuffer(b"".join(before[i].as_py() for i, _ in part), np.uint8).reshape(-1, 2)
                         pair = np.where(known[:, 0] != UNKNOWN, known[:, 0], pair)
                         word = np.where(known[:, 1] != UNKNOWN, known[:, 1], word)
                     if not last:
                         both = np.stack([pair, word], 1)
                         yield _columns(
-                            [[batch.column(0)[i].as_py() for i, _ in part], [texts[i] for i, _ in part],
+                            [[batch.column(0)[i].as_py() for i, _ in part], [texts[i].as_py() for i, _ in part],
                              [both[a : a + n].tobytes() for a, n in zip(starts, sizes)]],
                             [batch.schema.field(0).type, pa.string(), pa.binary()],
                             ["doc_id", "text", "levels"],
                         )
                         continue
+                    # what belongs to no segment was never counted
+                    pair, word = (np.where(x == UNKNOWN, 0, x) for x in (pair, word))
                     previous = np.empty(len(word))
                     previous[1:] = means[0][word[:-1]]
                     previous[starts] = documents
@@ -391,12 +414,13 @@ def scored(docs: DataFrame) -> DataFrame:
 
         middle = f"doc_id {kind.simpleString()}, text string, levels binary"
         rows = stored(rows.mapInArrow(run, out if last else middle), "lm-pass")
+        for data in segments.values():
+            data.destroy()
+    head.destroy()
     tail = rows.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n")
-    least = min(model.head.values(), default=0)
-    rest = model.counts.where(F.col("c") <= least)
     log = F.log10((F.coalesce(F.col("c"), F.lit(0)) / ALPHA + 1) * share)
     sums = (
-        tail.join(rest, "word", "left")
+        tail.join(model.tail, "word", "left")
         .groupBy("uid")
         .agg(F.sum(F.col("n") * log).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
     )
