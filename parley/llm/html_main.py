@@ -2,15 +2,16 @@
 
 Every page is parsed into a tree and the element subtrees are hashed.  Spark counts on
 how many pages of its host each subtree stands; subtrees that recur on many pages of
-that host (menus, notices, adverts and the like) are deleted.  Inside the article
-element nothing is deleted for recurring, since articles may quote or copy each other.
+that host (menus, notices, adverts and the like) are deleted, inside the article too.
+Pages of the same text count once, and a page counts for a subtree only if it has text
+of its own besides, so that copies are no templates.  Since articles may quote each
+other, plain prose elements (no class, id or role) inside an article are never deleted.
 Elements whose tag, role or class names them as no part of the article go as well.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from hashlib import blake2b
 from html import unescape
 
@@ -24,6 +25,8 @@ from parley.session import spread
 #: A subtree is a template if it stands on so many pages of its host, and so large a share.
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+#: A page counts for a subtree if its other text is at least this share of the subtree's.
+LEAST_REST = 0.2
 
 #: Fixed values of HTML: elements without content, with raw content, and of block kind.
 VOID = frozenset(
@@ -37,6 +40,8 @@ BLOCK = frozenset(
     " th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text; a quotation or a common line in them is no template.
+PROSE = HEADINGS | frozenset("p blockquote pre li dt dd td th tr caption figcaption hr address".split())
 #: Opening one of these closes an open element of the listed kinds first.
 CLOSES = {
     "li": frozenset(["li"]),
@@ -78,13 +83,17 @@ _tag = re.compile(
 _attribute = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _hidden = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _name = re.compile(r"[\s_-]+")
+_styled = re.compile(r"(?:^|\s)(?:class|id|role)\s*=", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "dropped", "children", "hash")
+    """``key`` is null for elements that are never deleted for recurring."""
 
-    def __init__(self, tag: str, dropped: bool = False):
-        self.tag, self.dropped, self.children, self.hash = tag, dropped, [], 0
+    __slots__ = ("tag", "dropped", "styled", "children", "hash", "key", "chars")
+
+    def __init__(self, tag: str, dropped: bool = False, styled: bool = False):
+        self.tag, self.dropped, self.styled, self.children = tag, dropped, styled, []
+        self.hash, self.key, self.chars = 0, None, 0
 
 
 def _dropped(tag: str, attributes: str) -> bool:
@@ -132,7 +141,7 @@ def parse(html: str) -> Node:
                         break
                     if stack[depth].tag in SCOPES:
                         break
-            node = Node(tag, _dropped(tag, attributes))
+            node = Node(tag, _dropped(tag, attributes), bool(_styled.search(attributes)))
             stack[-1].children.append(node)
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
@@ -151,23 +160,49 @@ def parse(html: str) -> Node:
 
 
 def hashed(root: Node) -> list[Node]:
-    """Give every block element the hash of its subtree; the elements outside articles."""
+    """Give every element the hash of its subtree; the elements that may be templates.
+
+    ``key`` is the hash with the last bit set for running text, so that a template among
+    frames never deletes the same words in a paragraph.
+    """
     order, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
-        inside = inside or node.tag in ("article", "main")
         order.append((node, inside))
+        inside = inside or node.tag in ("article", "main")
         todo += [(c, inside) for c in node.children if isinstance(c, Node)]
-    outside = []
+    able = []
     for node, inside in reversed(order):
-        parts = [
-            child.strip() if isinstance(child, str) else f"<{child.hash}>" for child in node.children
-        ]
+        parts, blocks = [], False
+        for child in node.children:
+            if isinstance(child, str):
+                part = child.strip()
+                node.chars += len(part)
+            else:
+                part = f"<{child.hash}>"
+                blocks = blocks or child.tag in BLOCK
+                node.chars += 0 if child.dropped else child.chars
+            parts.append(part)
         text = "\x00".join([node.tag, *parts]).encode("utf-8", "replace")
         node.hash = int.from_bytes(blake2b(text, digest_size=8).digest(), "big", signed=True)
-        if not inside and node.tag in BLOCK and node.tag not in ("html", "body", "head") and node.children:
-            outside.append(node)
-    return outside
+        if node.tag not in BLOCK or node.tag in ("html", "body", "head") or not node.children:
+            continue
+        prose = node.tag in PROSE or not (blocks or node.styled)
+        if node.tag in ("article", "main") and not inside or inside and prose and not node.styled:
+            continue
+        node.key = node.hash | 1 if prose else node.hash & ~1
+        able.append(node)
+    return able
+
+
+def votes(html: str) -> tuple[int, set[int]]:
+    """Hash of a page's text, and the subtrees that the page counts for."""
+    root = parse(html)
+    able = hashed(root)
+    text = main_text(root, frozenset()).encode("utf-8", "replace")
+    digest = int.from_bytes(blake2b(text, digest_size=8).digest(), "big", signed=True)
+    chars = sum(top.chars for top in _articles(root) or [root])
+    return digest, {n.key for n in able if n.dropped or chars - n.chars >= LEAST_REST * n.chars}
 
 
 def main_text(root: Node, templates: frozenset[int]) -> str:
@@ -195,7 +230,7 @@ def main_text(root: Node, templates: frozenset[int]) -> str:
             elif child.tag == "br":
                 current.append(" ")
             else:
-                if not articles and child.hash in templates:
+                if child.key in templates:
                     end_block()
                     continue
                 if child.dropped:
@@ -240,26 +275,28 @@ def host_of(url: Column) -> Column:
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = MIN_SHARE) -> DataFrame:
-    """host and the hashes of its recurring subtrees; pages need host and html."""
+    """host and the keys of its recurring subtrees; pages need host and html.
+
+    Counted are the different texts of a host's pages, not its rows.
+    """
 
-    def count(batches):
+    def vote(batches):
         for batch in batches:
-            seen: Counter = Counter()
+            seen = set()
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                seen[host, None] += 1
-                for value in {n.hash for n in hashed(parse(html or ""))}:
-                    seen[host, value] += 1
+                text, subtrees = votes(html or "")
+                seen.add((host, text, None))
+                seen.update((host, text, subtree) for subtree in subtrees)
+            rows = list(zip(*seen)) or [(), (), ()]
+            kinds = (pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in seen], pa.string()),
-                    pa.array([k[1] for k in seen], pa.int64()),
-                    pa.array(list(seen.values()), pa.int64()),
-                ],
-                ["host", "subtree", "n"],
+                [pa.array(r, k) for r, k in zip(rows, kinds)], ["host", "text", "subtree"]
             )
 
-    counted = pages.select("host", "html").mapInArrow(count, "host string, subtree long, n long")
-    counts = stored(counted.groupBy("host", "subtree").agg(F.sum("n").alias("n")), "subtrees")
+    voted = pages.select("host", "html").mapInArrow(vote, "host string, text long, subtree long")
+    counts = stored(
+        voted.distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")), "subtrees"
+    )
     pages_of = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
     often = counts.where((F.col("n") >= min_pages) & F.col("subtree").isNotNull())
     return (
@@ -279,8 +316,8 @@ def extracted(
     """Struct ``row`` of the carried columns (all by default) and ``main_text``.
 
     ``pages`` needs url and html.  Null and empty pages give an empty text; a null or odd
-    url belongs to the host of empty name.  Pages are read whole; repeated rows count as
-    pages of their own; an empty table gives none; clashing names stay inside ``row``.
+    url belongs to the host of empty name.  Pages are read whole; pages of the same text
+    count once for templates; an empty table gives none; clashing names stay inside ``row``.
     """
     inner = spread(
         pages.select(

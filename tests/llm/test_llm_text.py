@@ -263,6 +263,26 @@ def test_templates_and_articles(spark):
     assert html_main.extracted(frame.limit(0)).count() == 0
 
 
+def main_texts(spark, pages):
+    """Main text by page number; pages are (host, html)."""
+    rows = [(i, f"http://{host}/{i}", html) for i, (host, html) in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    return {r["page_id"]: r["main_text"] for r in html_main.extracted(frame).select("row.page_id", "main_text").collect()}
+
+
+def test_templates_inside_articles(spark):
+    stub = "<div class='xq'><p>Tell us what you think</p></div><div>{quote}</div><p class='z'>Buy now</p>"
+    page = "<body><article><h1>H {i}</h1><p>Quoted line</p><p>Own words number {i}</p>" + stub + "</article></body>"
+    own = [("a.b", page.format(i=i, quote="Quoted div")) for i in range(8)]
+    copies = [("c.d", f"<body><p>ad {i}</p><article><div class='t'>Copied words</div></article></body>") for i in range(8)]
+    dated = [("e.f", f"<main><div><p>{'Copied words ' * 9}</p></div><p>{i} May</p></main>") for i in range(8)]
+    texts = main_texts(spark, own + copies + dated)
+    for i in range(8):
+        assert texts[i] == f"H {i}\nQuoted line\nOwn words number {i}\nQuoted div"
+        assert texts[8 + i] == "Copied words"
+        assert texts[16 + i] == f"{('Copied words ' * 9).strip()}\n{i} May"
+
+
 def test_broken_markup():
     text = lambda html: html_main.main_text(html_main.parse(html), frozenset())
     assert text("<p>a <b>b</i> c</p></div>d") == "a b c\nd"
