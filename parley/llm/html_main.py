@@ -25,6 +25,9 @@ from parley.session import spread
 #: A subtree is a template if it stands on so many pages of its host, and so large a share.
 MIN_PAGES = 5
 MIN_SHARE = 0.3
+#: Subtrees other than running text also on so many pages and this share: sections of large
+#: hosts.  The share bounds the list of templates that a host's pages are joined with.
+SECTION_PAGES, SECTION_SHARE = 50, 0.005
 #: A page counts for a subtree if its other text is at least this share of the subtree's.
 LEAST_REST = 0.2
 
@@ -299,9 +302,11 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = MIN_S
     )
     pages_of = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
     often = counts.where((F.col("n") >= min_pages) & F.col("subtree").isNotNull())
+    section = (F.col("subtree").bitwiseAND(F.lit(1)) == 0) & (F.col("n") >= SECTION_PAGES)
+    least = F.when(section, F.least(F.lit(SECTION_SHARE), F.lit(share))).otherwise(F.lit(share))
     return (
         look_up(often, pages_of, ["host"], F.col("subtree"))
-        .where(F.col("n") >= share * F.col("pages"))
+        .where(F.col("n") >= least * F.col("pages"))
         .groupBy("host")
         .agg(F.sort_array(F.collect_list("subtree")).alias("templates"))
     )

@@ -283,6 +283,16 @@ def test_templates_inside_articles(spark):
         assert texts[16 + i] == f"{('Copied words ' * 9).strip()}\n{i} May"
 
 
+def test_copies_and_sections_of_a_host(spark):
+    copies = [("g.h", "<body><div><p>Copied words</p></div></body>")] * 8
+    copies += [("g.h", f"<body><p>Single page {i}</p></body>") for i in range(8)]
+    page = "<body><div><ul><li>Menu of {s}</li></ul></div><p>Common line {t}</p><p>Words of page {i}</p></body>"
+    hot = [("hot", page.format(s=i % 5, t=i % 4, i=i)) for i in range(300)]
+    texts = main_texts(spark, copies + hot)
+    assert all(texts[i] == "Copied words" for i in range(8))
+    assert all(texts[16 + i] == f"Common line {i % 4}\nWords of page {i}" for i in range(300))
+
+
 def test_broken_markup():
     text = lambda html: html_main.main_text(html_main.parse(html), frozenset())
     assert text("<p>a <b>b</i> c</p></div>d") == "a b c\nd"
