@@ -1,9 +1,10 @@
 """URL verdicts from rules and from gradient-boosted trees on lexical features.
 
 Rules (a host with its subdomains, and the beginning of a path) decide where one fits,
-the longest first.  The urls they decide are the labelled ones: a bounded sample of
-them trains boosted trees on length, depth, digit ratio, entropy, parameter counts and
-the block share of the host's suffixes; the trees decide all other urls.
+the longest first.  The urls they decide are the labelled ones: all of them give the
+block shares of suffixes and domains, and a bounded sample of them trains boosted trees
+on length, depth, digit ratio, entropy, parameter counts and those shares; the trees
+decide all other urls.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import stored
+from parley.llm.common import look_up, stored
 
 #: (verdict, host, path)
 RULES = (
@@ -98,21 +99,33 @@ def with_features(pages: DataFrame, url: str = "url") -> DataFrame:
         "extension": F.col("path").rlike(r"\.[A-Za-z0-9]+$"),
     }
     named = pages.withColumns({k: F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in columns.items()})
-    return named.withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0)).withColumn(
+    return with_domains(named)
+
+
+def with_domains(pages: DataFrame) -> DataFrame:
+    """Adds the host's suffix and domain."""
+    return pages.withColumn("suffix", F.regexp_extract("host", r"[^.]*$", 0)).withColumn(
         "domain", F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0)
     )
 
 
-def _shares(train: DataFrame, key: str, prior: float) -> DataFrame:
-    """Smoothed share of blocked urls per key; at most one row per training row."""
-    share = (F.sum("label") + 4 * F.lit(prior)) / (F.count("*") + 4)
-    return train.groupBy(key).agg(share.alias(f"{key}_share"))
+def _label_counts(labelled: DataFrame) -> DataFrame:
+    """Distinct labelled urls and blocked ones among them, per suffix and domain."""
+    named = with_domains(labelled.distinct())
+    counts = named.groupBy("suffix", "domain").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    return stored(counts, "url-labels")
+
+
+def _shares(counts: DataFrame, key: str, prior: float) -> DataFrame:
+    """Smoothed share of blocked urls per key."""
+    share = (F.sum("blocked") + 4 * F.lit(prior)) / (F.sum("n") + 4)
+    return stored(counts.groupBy(key).agg(share.alias(f"{key}_share")), "url-shares")
 
 
 def _with_shares(rows: DataFrame, shares: list[DataFrame], prior: float) -> DataFrame:
     for table in shares:
         key = table.columns[0]
-        rows = rows.join(F.broadcast(table), key, "left").fillna(prior, [f"{key}_share"])
+        rows = look_up(rows, table, [key], F.monotonically_increasing_id()).fillna(prior, [f"{key}_share"])
     return rows
 
 
@@ -129,15 +142,16 @@ def judged(pages: DataFrame, rules=RULES, rows: int = TRAIN_ROWS) -> DataFrame:
     labelled = inner.where("fitting is not null").select(
         "url", "host", "path", (F.col("fitting.verdict") == "block").cast("double").alias("label")
     )
-    sample = labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(rows)
-    train = stored(with_features(sample).coalesce(1), "url-train")
-    labels = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    counts = _label_counts(labelled)
+    n, blocked = counts.select(F.sum("n"), F.sum("blocked")).first()
     out = ["row", "host", "path", "fitting.rule"]
-    if len(labels) < 2:
-        other = F.lit("block" if labels.get(1.0) else "allow")
+    if not n or blocked in (0, n):
+        other = F.lit("block" if blocked else "allow")
         return inner.select(*out, F.coalesce("fitting.verdict", other).alias("verdict"))
-    prior = labels[1.0] / sum(labels.values())
-    shares = [stored(_shares(train, key, prior), "url-shares") for key in ("suffix", "domain")]
+    prior = blocked / n
+    shares = [_shares(counts, key, prior) for key in ("suffix", "domain")]
+    sample = labelled.distinct().orderBy(F.xxhash64("url"), "url").limit(rows)
+    train = stored(with_features(sample).coalesce(1), "url-train")
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
     model: GBTClassificationModel = GBTClassifier(
         maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=7, maxBins=64, cacheNodeIds=False

@@ -173,3 +173,13 @@ def test_urls_without_labels(spark, urls):
     assert url_filter.judged(urls.limit(0)).count() == 0
     same = spark.createDataFrame([(1, "http://a.net/"), (2, "http://q.zz/")], "page_id long, url string")
     assert {r["verdict"] for r in url_filter.judged(same).collect()} == {"block"}
+
+
+def test_shares_come_from_all_labelled_urls(spark):
+    rules = [("block" if d % 2 else "allow", f"d{10 + d}.com", "/de/") for d in range(40)]
+    rows = [(d, f"http://d{10 + d}.com/de/{i}") for d in range(40) for i in range(30)]
+    asked = [(100 + d, f"http://d{10 + d}.com/en/1") for d in range(40)]
+    frame = spark.createDataFrame(rows + asked, "page_id long, url string")
+    judged = url_filter.judged(frame, rules, rows=40).where("row.page_id >= 100")
+    got = {r["page_id"]: r["verdict"] for r in judged.select("row.page_id", "verdict").collect()}
+    assert got == {100 + d: "block" if d % 2 else "allow" for d in range(40)}
