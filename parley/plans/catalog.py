@@ -606,10 +606,11 @@ def jsonl_round_trip(spark, folder):
 
 @query
 def json_array_round_trip(spark, folder):
-    """Pairs as one JSON array per file, read back."""
+    """Pairs as one JSON array per file, read back; a long conversation fills several files."""
     path = work_folder(spark, "arrays")
     record = F.to_json(F.struct(*_PAIR))
-    parts = inputs.pairs(spark, folder).groupBy(F.floor(F.col("conv_id") / 50).alias("part"))
+    block = [F.floor(F.col("conv_id") / 50).alias("part"), F.floor(F.col("turn") / 256).alias("block")]
+    parts = inputs.pairs(spark, folder).groupBy(*block)
     body = F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]"))
     parts.agg(body.alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return readers.read_json(spark, path, "row_id BIGINT").select(*_PAIR)

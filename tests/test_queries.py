@@ -56,3 +56,13 @@ def test_scans_read_only_needed_columns(spark, tables, name, columns):
     scans = [line for line in frame._jdf.queryExecution().toString().splitlines() if "ReadSchema" in line]
     read = {part.split(":")[0] for line in scans for part in line.split("struct<")[1].split(">")[0].split(",")}
     assert read <= columns
+
+
+def test_json_arrays_of_a_long_conversation(spark, tmp_path):
+    turns = spark.range(3000).selectExpr(
+        "7L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "concat('text ', id) text"
+    )
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    frame = contract.queries()["json_array_round_trip"](spark, str(tmp_path))
+    assert frame.count() == 1500
+    assert len(frame.inputFiles()) == 12
