@@ -3,10 +3,12 @@
 Fixed forms (e-mail, ip, card, phone) are matched by patterns with checks.  Besides
 them every long token with a digit is a candidate.  What stands before a candidate (a
 label with a separator) and the letters it begins with are its lexical patterns.
-Known entities, that is fixed forms and what follows a seed label, give score 1 to
-their values; Spark then scores the graph of patterns and values in turns: a pattern
-is worth the mean score of its values, a value the best of its patterns.  Patterns of
-high score and enough values extract the identifiers that no fixed form knows.
+Labels stand for values of one kind and length, and for all lengths of a kind.
+Known entities, that is fixed forms by their own spans and what follows a seed label,
+give score 1 to their values; Spark then scores the graph of patterns and values in
+turns: a pattern is worth the mean score of its values, a value the best of its
+patterns.  Patterns of high score and enough values extract the identifiers that no
+fixed form knows; seed labels always do.
 
 Everything is DataFrame expressions; what is shuffled are candidates, never texts.
 """
@@ -108,13 +110,18 @@ def base_spans(text: Column) -> Column:
 def candidates(text: Column) -> Column:
     """Candidate spans with what stands to their left."""
     found = F.when(text.rlike("[0-9]"), _spans(text, CANDIDATE, 4, lambda hit: F.lit(True)))
+    return with_left(text, F.coalesce(found, _none()))
 
-    def with_left(span: Column) -> Column:
+
+def with_left(text: Column, spans: Column) -> Column:
+    """Start, end, value and left context of each span."""
+
+    def add(span: Column) -> Column:
         begin = F.greatest(span["start"] - LEFT, F.lit(0))
         left = F.substr(text, begin + 1, span["start"] - begin)
         return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["value"].alias("value"), left.alias("left"))
 
-    return F.transform(F.coalesce(found, _none()), with_left)
+    return F.transform(spans, add)
 
 
 def shape(value: Column) -> Column:
@@ -129,12 +136,14 @@ def shape(value: Column) -> Column:
 
 
 def patterns(value: Column, left: Column) -> Column:
-    """Lexical patterns of an occurrence: label with separator, and leading letters."""
+    """Lexical patterns of an occurrence: label with separator, also for any length, and
+    leading letters."""
     label = F.lower(F.regexp_extract(left, r"([A-Za-z_]{2,30})[\x20\t]*[=:#][\x20\t]*[\"']?$", 1))
     letters = F.regexp_extract(value, r"^[A-Z]{3,4}|^[a-z]{2,8}_", 0)
     return F.array_compact(
         F.array(
             F.when(label != "", F.concat_ws("|", F.lit("label"), label, shape(value))),
+            F.when(label != "", F.concat_ws("|", F.lit("label"), label, F.substring_index(shape(value), "/", 1))),
             F.when(letters != "", F.concat_ws("|", F.lit("prefix"), letters, shape(value))),
         )
     )
@@ -171,30 +180,37 @@ def found(docs: DataFrame, carry: list[str] | None = None, rounds: int = ROUNDS)
     """
     inner = spread(docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.coalesce("text", F.lit("")).alias("text")))
     table = stored(
-        inner.select(
+        inner.withColumn("base", base_spans(F.col("text"))).select(
             "row",
             F.monotonically_increasing_id().alias("uid"),
-            base_spans(F.col("text")).alias("base"),
+            "base",
             candidates(F.col("text")).alias("candidates"),
+            with_left(F.col("text"), F.col("base")).alias("entities"),
         ),
         "pii",
     )
-    each = table.select(
-        "uid",
-        F.transform(
-            "candidates",
-            lambda c: F.struct(
-                c["start"].alias("start"),
-                c["end"].alias("end"),
-                c["value"].alias("value"),
-                patterns(c["value"], c["left"]).alias("patterns"),
-                F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])).alias("known"),
-            ),
-        ).alias("c"),
+
+    def node(c: Column, known: Column) -> Column:
+        return F.struct(
+            c["start"].alias("start"),
+            c["end"].alias("end"),
+            c["value"].alias("value"),
+            patterns(c["value"], c["left"]).alias("patterns"),
+            known.alias("known"),
+        )
+
+    def overlaps(c: Column) -> Column:
+        return F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+
+    nodes = F.concat(
+        F.transform("candidates", lambda c: node(c, overlaps(c))),
+        F.transform("entities", lambda e: node(e, F.lit(True))),
     )
+    each = table.select("uid", nodes.alias("c"))
     each = each.select("uid", F.inline("c")).where(F.size("patterns") > 0)
     occurrences = each.select("uid", "start", "end", "value", "known", F.explode("patterns").alias("pattern"))
-    seeded = F.col("known") | F.regexp_extract("pattern", r"^label\|([^|]*)\|", 1).isin(*SEED_LABELS)
+    seed_label = F.regexp_extract("pattern", r"^label\|([^|]*)\|", 1).isin(*SEED_LABELS)
+    seeded = F.col("known") | seed_label
     edges = stored(
         occurrences.groupBy("pattern", "value").agg(F.max(seeded).alias("seed")), "pii-edges"
     )
@@ -202,8 +218,13 @@ def found(docs: DataFrame, carry: list[str] | None = None, rounds: int = ROUNDS)
         (F.col("worth") >= CONFIDENT) & (F.col("n_values") >= LEAST_VALUES)
     )
     new = look_up(
-        occurrences.where(~F.col("known")), best.select("pattern", "worth"), ["pattern"], F.col("value"), "inner"
-    )
+        occurrences.where(~F.col("known") & ~seed_label),
+        best.select("pattern", "worth"),
+        ["pattern"],
+        F.col("value"),
+        "inner",
+    ).drop("worth")
+    new = new.unionByName(occurrences.where(~F.col("known") & seed_label))
     span = F.struct("start", F.lit(4).alias("kind"), "end", "value")
     extra = new.groupBy("uid").agg(F.array_sort(F.collect_set(span)).alias("extra"))
     spans = F.array_sort(F.concat("base", F.coalesce("extra", _none())))

@@ -241,6 +241,17 @@ def test_alike_equals_all_pairs(spark):
     assert got == want
 
 
+def test_patterns_of_entities_and_any_length(spark):
+    texts = ["the password: zq81hv0aa9 and more", "token=77aa12345b"]  # one value each
+    texts += [f"contact: u{i}@mail.example.org" for i in range(30)] + ["contact: Qx81_72hz5tt"]
+    texts += [f"ticket: {'ab12' * (2 + i)}zz" for i in range(4)]  # no known value
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in pii.found(frame).select("row.doc_id", "spans").collect()}
+    assert (spans[0], spans[1]) == (["zq81hv0aa9"], ["77aa12345b"])
+    assert spans[2] == ["u0@mail.example.org"] and spans[32] == ["Qx81_72hz5tt"]
+    assert all(spans[33 + i] == [] for i in range(4))
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t='</p>';</script></head><body>"
     "<nav><ul><li><a>Menu</a></li></ul></nav><div>Site notice of host {host}</div>{main}"
