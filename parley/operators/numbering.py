@@ -9,10 +9,16 @@ key values alone, so lost executors recompute the same positions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parley.session import work_folder
+
 LEVEL_BITS = 16
+# Offsets of with_rank are broadcast up to this many partitions (some 2 MB), else joined.
+BROADCAST_PARTS = 100_000
+# monotonically_increasing_id keeps the row's place within its partition in the lower bits.
+PLACE_BITS = 33
 # Slices up to this many rows have their key groups broadcast: every group holds
 # at least one row of the slice, so there are never more groups than rows plus two.
 BROADCAST_SLICE = 100_000
@@ -108,3 +114,38 @@ def with_position(
     if start is not None:
         placed = placed.where(F.col("position").between(start, start + size - 1))
     return placed.select(*df.columns, "position")
+
+
+def with_rank(df: DataFrame, *order: str | Column, name: str = "position") -> DataFrame:
+    """Add the 0-based position of each row by keys of any orderable types.
+
+    Rows are dealt by sampled key ranges, sorted and counted inside each partition and
+    written once; then the rows of earlier partitions are added.  No window sees the
+    rows, only one count per partition.  Nulls come first unless ``order`` says otherwise.
+
+    Ties: rows equal in all of ``order`` are ranked by where they are read, which also
+    lets a key with a third of all rows be dealt to many tasks.  Pass a table that is
+    read the same way every time (a written one), and a unique last key where ties matter.
+    An empty table gives no rows; ``df`` must have no columns starting ``_rank_``.
+    """
+    keys = [*order, F.col("_rank_tie")]
+    dealt = (
+        df.withColumn("_rank_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .drop("_rank_tie")
+    )
+    folder = work_folder(df.sparkSession, "ranked")
+    dealt.withColumn("_rank_tag", F.monotonically_increasing_id()).write.parquet(folder)
+    part = F.shiftright("_rank_tag", PLACE_BITS).alias("_rank_part")
+    tagged = df.sparkSession.read.parquet(folder).select("*", part)
+    parts = tagged.groupBy("_rank_part").agg(F.count("*").alias("_rank_rows"))
+    earlier = Window.orderBy("_rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rank_rows").over(earlier), F.lit(0))
+    offsets = parts.select("_rank_part", before.alias("_rank_before"))
+    if (tagged.agg(F.max("_rank_part")).first()[0] or 0) < BROADCAST_PARTS:
+        offsets = F.broadcast(offsets)
+    place = F.col("_rank_tag").bitwiseAND((1 << PLACE_BITS) - 1)
+    return tagged.join(offsets, "_rank_part").select(
+        *df.columns, (F.col("_rank_before") + place).alias(name)
+    )

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from parley.operators import numbering
 from parley.operators.numbering import with_position
 from parley.operators.prep import assign_batches, get_batch, planned_steps
@@ -52,3 +54,27 @@ def test_positions_of_wide_and_negative_ids(spark):
     placed = numbering.with_position_by(frame, "conv", "turn").collect()
     assert [(r.conv, r.turn) for r in sorted(placed, key=lambda r: r.position)] == sorted(rows)
     assert sorted(r.position for r in placed) == list(range(len(rows)))
+
+
+def test_rank_by_text_nulls_and_ties(spark):
+    source = random.Random(4)
+    rows = [(source.choice([None, "", "a", "b", "é", "hot", "hot"]), i) for i in range(900)]
+    frame = spark.createDataFrame(rows, "name string, no long").repartition(6)
+    ranked = numbering.with_rank(frame, "name", F.desc("no")).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, (r[0] or "").encode(), -r[1]))
+    assert [(r.name, r.no) for r in sorted(ranked, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in ranked) == list(range(len(rows)))
+
+
+def test_rank_of_equal_keys_is_dealt_out(spark, tmp_path):
+    spark.range(20_000).selectExpr("'same' as name", "id").write.parquet(f"{tmp_path}/t")
+    ranked = numbering.with_rank(spark.read.parquet(f"{tmp_path}/t"), "name", name="rank")
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(20_000))
+    assert numbering.with_rank(spark.range(0), "id").collect() == []
+
+
+def test_rank_without_window_over_rows(spark):
+    plan = numbering.with_rank(spark.range(10), "id")._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    # The only single-task window holds one count per partition.
+    assert physical.count("SinglePartition") <= 1 and "NestedLoopJoin" not in physical
