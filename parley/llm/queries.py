@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, html_main, lm_score, order_minhash, packing, pii, quality_rules, spotsigs, toxicity, url_filter
+from parley.llm import (
+    bpe, html_main, lm_score, merkle, order_minhash, packing, pii, quality_rules, spotsigs, toxicity, url_filter,
+)
+from parley.llm.merkle_sql import manifest_sql
 from parley.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -89,6 +94,14 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    seen = F.when(chosen, lower).otherwise(F.col("text"))
+    return merkle.manifest(docs, seen={"text": seen}).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -100,6 +113,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_spotsigs": op9_spotsigs,
     "op10_html": op10_html,
+    "op11_merkle": op11_merkle,
 }
 
 ORACLE: dict[str, str] = {
@@ -164,4 +178,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND k NOT IN (SELECT k FROM broken) AS kept
 FROM based
 """,
+    "op11_merkle": manifest_sql(),
 }

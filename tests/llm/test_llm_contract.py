@@ -7,6 +7,7 @@ import sys
 
 import corpus_pipeline
 import duckdb
+import pytest
 
 import __spark_entry__ as contract
 from parley.llm.queries import ORACLE, QUERIES
@@ -20,11 +21,12 @@ def test_every_operator_has_a_query():
     assert set(QUERIES) <= set(names) and "pipeline" in names
 
 
-def test_quality_equals_check_sql(spark, tables):
-    frame = QUERIES["op2_quality"](spark, tables)
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_check_sql(spark, tables, name):
+    frame = QUERIES[name](spark, tables)
     database = duckdb.connect()
     database.execute(f"CREATE VIEW documents AS SELECT * FROM '{tables}/documents.parquet'")
-    cursor = database.execute(ORACLE["op2_quality"])
+    cursor = database.execute(ORACLE[name])
     names = [c[0] for c in cursor.description]
     assert sorted(map(tuple, frame.select(*names).collect())) == sorted(cursor.fetchall())
 
