@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    bpe, html_main, lm_score, merkle, order_minhash, packing, pii, quality_rules, spotsigs, toxicity, url_filter,
+    bpe, byte_fst, html_main, lm_score, merkle, order_minhash, packing, pii, quality_rules, spotsigs, toxicity, url_filter,
 )
 from parley.llm.merkle_sql import manifest_sql
 from parley.session import spread
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -102,6 +103,12 @@ def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(docs, seen={"text": seen}).withColumnRenamed("id", "doc_id")
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spread(_table(spark, folder, "documents").select("doc_id", "text"))
+    path = public_tokenizers.path(RANKS)
+    return byte_fst.digests(docs, path, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -114,6 +121,7 @@ QUERIES = {
     "op9_spotsigs": op9_spotsigs,
     "op10_html": op10_html,
     "op11_merkle": op11_merkle,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {
