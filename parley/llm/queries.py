@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import (
-    bpe, byte_fst, html_main, lm_score, merkle, order_minhash, packing, pii, quality_rules, spotsigs, toxicity, url_filter,
+    bpe, byte_fst, html_main, lm_score, merkle, order_minhash, packing, pii, quality_rules, spelling, spotsigs, toxicity, url_filter,
 )
 from parley.llm.merkle_sql import manifest_sql
 from parley.session import spread
@@ -109,6 +109,11 @@ def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_fst.digests(docs, path, public_tokenizers.PATTERN)
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return spelling.grouped(spelling.vocabulary(spread(docs), drop_one_in=31))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -122,6 +127,7 @@ QUERIES = {
     "op10_html": op10_html,
     "op11_merkle": op11_merkle,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_spelling": op13_spelling,
 }
 
 ORACLE: dict[str, str] = {
