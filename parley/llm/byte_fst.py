@@ -34,9 +34,11 @@ from pyspark.sql import DataFrame
 #: White space as the libraries of the vocabularies count it.
 SPACE = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\p{White_Space}", c))
 #: Moves of the transducer kept at a time, some 300 bytes each.
-MOVES = 300_000
-#: Fragments and pieces remembered per process, some 250 bytes each, and their greatest length.
-REMEMBERED, LONGEST = 300_000, 64
+MOVES = 500_000
+#: Fragments of text remembered per process, some 200 bytes each, and their greatest length.
+REMEMBERED, LONGEST = 800_000, 64
+#: Letters of which none is another kind of character to any engine.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 ROOT = 0
 #: Rank of what never merges.
@@ -142,67 +144,92 @@ class Vocabulary:
 
 
 class Transducer:
-    """The determinised machine over one vocabulary; states are numbered when first met."""
+    """The determinised machine over one vocabulary; states are numbered when first met.
+
+    State 0 is the start.  :meth:`feed` reads bytes and gives the tokens that nothing to come
+    can change, :meth:`finish` the rest; :meth:`tokens` does both for a stream of any length.
+    """
+
+    SLICE = 4096
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self._forget()
 
     def _forget(self) -> None:
-        self._start: tuple[Thread, ...] = (((), -1, ROOT),)
-        self._numbers: dict[tuple[Thread, ...], int] = {self._start: 0}
-        self._states = [self._start]
-        #: state << 8 | byte -> (next state, tokens emitted)
-        self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-
-    def _determinise(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        vocabulary, threads, borders = self.vocabulary, [], []
-        for written, last, node in self._states[state]:
-            child = vocabulary.children.get(node << 8 | byte)
+        start: tuple[Thread, ...] = (((), -1, ROOT),)
+        self._numbers: dict[tuple[Thread, ...], int] = {start: 0}
+        self._states = [start]
+        #: state << 8 | byte -> next state, and the tokens emitted where there are any
+        self._moves: dict[int, int] = {}
+        self._emits: dict[int, tuple[int, ...]] = {}
+
+    def _number(self, threads: tuple[Thread, ...]) -> int:
+        number = self._numbers.setdefault(threads, len(self._states))
+        if number == len(self._states):
+            self._states.append(threads)
+        return number
+
+    def _determinise(self, move: int) -> int:
+        """Make the move ``state << 8 | byte``: all threads go on, at one of them a token ends."""
+        vocabulary, byte, threads, borders = self.vocabulary, move & 255, [], []
+        children, ends, inner = vocabulary.children, vocabulary.ends, vocabulary.inner
+        for written, last, node in self._states[move >> 8]:
+            child = children.get(node << 8 | byte)
             if child is None:
                 continue
-            token = vocabulary.ends.get(child)
+            token = ends.get(child)
             if token is not None and (last < 0 or vocabulary.border(last, token)):
                 borders.append(((*written, token), token, ROOT))
-            if child in vocabulary.inner:
+            if child in inner:
                 threads.append((written, last, child))
         if len(borders) != 1:
             raise ValueError("the ranks are not those of merges: a text has no single encoding")
-        threads += borders
-        agreed = 0
-        first = min(threads, key=lambda t: len(t[0]))[0]
-        while agreed < len(first) and all(t[0][agreed] == first[agreed] for t in threads):
+        threads += borders  # from the longest begun token to none: one order for a set
+        first = threads[0][0]
+        agreed = len(first) if len(threads) == 1 else 0
+        while agreed < len(first) and all(first[: agreed + 1] == t[0][: agreed + 1] for t in threads):
             agreed += 1
-        after = tuple(sorted((w[agreed:], last, node) for w, last, node in threads))
-        number = self._numbers.setdefault(after, len(self._states))
-        if number == len(self._states):
-            self._states.append(after)
-        move = number, first[:agreed]
-        self._moves[state << 8 | byte] = move
-        return move
-
-    def tokens(self, text: Iterable[int]) -> Iterator[int]:
-        """Tokens of a stream of bytes, each emitted once no continuation can change it."""
+        if agreed:
+            self._emits[move] = first[:agreed]
+            threads = [(w[agreed:], last, node) for w, last, node in threads]
+        number = self._moves[move] = self._number(tuple(threads))
+        return number
+
+    def feed(self, data: bytes, state: int = 0) -> tuple[int, list[int]]:
+        """The state after ``data`` and the tokens certain by then."""
         if len(self._moves) >= MOVES:
+            kept = self._states[state]
             self._forget()
-        state, moves = 0, self._moves
-        for byte in text:
-            move = moves.get(state << 8 | byte)
-            if move is None:
-                if len(moves) >= 2 * MOVES:  # in the midst of one very long piece
-                    kept = self._states[state]
-                    self._forget()
-                    moves = self._moves
-                    state = self._numbers.setdefault(kept, len(self._states))
-                    if state == len(self._states):
-                        self._states.append(kept)
-                move = self._determinise(state, byte)
-            state, out = move
-            if out:
-                yield from out
-        for written, _, node in self._states[state]:
-            if node == ROOT:
-                yield from written
+            state = self._number(kept)
+        moves, emits, out = self._moves, self._emits, []
+        for byte in data:
+            move = state << 8 | byte
+            state = moves.get(move, -1)
+            if state < 0:
+                state = self._determinise(move)
+            if move in emits:
+                out += emits[move]
+        return state, out
+
+    def finish(self, state: int) -> tuple[int, ...]:
+        """The tokens still held back, where the text ends."""
+        return next(written for written, _, node in self._states[state] if node == ROOT)
+
+    def tokens(self, data: bytes) -> Iterator[int]:
+        """Tokens of a piece of any length, in bounded memory."""
+        state = 0
+        for at in range(0, len(data), self.SLICE):
+            state, out = self.feed(data[at : at + self.SLICE], state)
+            yield from out
+        yield from self.finish(state)
+
+    def encode(self, data: bytes) -> array:
+        """All tokens of a piece."""
+        if len(data) > self.SLICE:
+            return array("I", self.tokens(data))
+        state, out = self.feed(data)
+        return array("I", [*out, *self.finish(state)])
 
 
 class StreamDecoder:
@@ -254,9 +281,9 @@ class StreamDecoder:
 class Codec:
     """Encodes whole texts: pieces by the pattern, each through the transducer.
 
-    No piece of the pattern spans a visible character followed by white space, so a text is
-    taken as fragments (white space and what follows it) which repeat; their tokens
-    are remembered in a table of bounded size.
+    No piece of the pattern spans a visible character followed by white space, nor a letter
+    followed by an ASCII character that is none.  A text is cut there into fragments, which
+    repeat; their tokens are remembered in a table of bounded size.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -264,36 +291,28 @@ class Codec:
         self.transducer = Transducer(self.vocabulary)
         self.decoder = StreamDecoder(self.vocabulary)
         self._pieces = regex.compile(own_space(pattern)).findall
-        self._fragments = re.compile(rf"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
-        self._known: dict[str, tuple[bytes, bytes]] = {}
-        self._words: dict[str, array] = {}
-
-    def _encoded(self, fragment: str) -> tuple[bytes, bytes]:
-        ids = array("I")
-        for piece in self._pieces(fragment):
-            own = self._words.get(piece)
-            if own is None:
-                own = array("I", self.transducer.tokens(piece.encode()))
-                if len(piece) <= LONGEST:
-                    self._words[piece] = own
-            ids += own
-        return ids.tobytes(), b"".join([b"%d " % i for i in ids])
-
-    def encode(self, text: str | None) -> tuple[bytes, bytes]:
-        """Ids as native unsigned 32-bit numbers, and in decimal, a space after each."""
+        word = rf"[{SPACE}]*+[{LETTERS}]++(?=[!-@\[-`{{-~{SPACE}]|\Z)"
+        self._fragments = re.compile(rf"{word}|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self._known: dict[str, bytes] = {}
+
+    def _encoded(self, fragment: str) -> bytes:
+        encode = self.transducer.encode
+        return b"".join([encode(piece.encode()).tobytes() for piece in self._pieces(fragment)])
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids as native unsigned 32-bit numbers."""
         if not text:
-            return b"", b""
+            return b""
         if len(self._known) >= REMEMBERED:
             self._known.clear()
-        if len(self._words) >= REMEMBERED:
-            self._words.clear()
         known, fragments = self._known, self._fragments(text)
         parts = list(map(known.get, fragments))
         if None in parts:
-            new = {f: self._encoded(f) for f, p in zip(fragments, parts) if p is None and f not in known}
-            parts = [p or new[f] for f, p in zip(fragments, parts)]
-            known.update((f, p) for f, p in new.items() if len(f) <= LONGEST)
-        return b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts])
+            new = {f for f, part in zip(fragments, parts) if part is None}
+            made = {f: self._encoded(f) for f in new}
+            parts = [made[f] if part is None else part for f, part in zip(fragments, parts)]
+            known.update((f, part) for f, part in made.items() if len(f) <= LONGEST)
+        return b"".join(parts)
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.decoder.feed(ids) + self.decoder.finish()
@@ -322,7 +341,7 @@ def encode_documents(
     def encode(batches):
         tool = codec(path, pattern)
         for batch in batches:
-            ids = [tool.encode(value)[0] for value in batch.column(1).to_pylist()]
+            ids = [tool.encode(value) for value in batch.column(1).to_pylist()]
             decoded = [tool.decode(np.frombuffer(i, np.uint32).tolist()) for i in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
@@ -344,13 +363,14 @@ def digests(
 
     def encode(batches):
         tool = codec(path, pattern)
+        decimal = {rank: b"%d" % rank for rank in tool.vocabulary.tokens}
         for batch in batches:
             counts, ids_sha, text_sha = [], [], []
             for value in batch.column(1).to_pylist():
-                ids, decimal = tool.encode(value)
-                counts.append(len(ids) // 4)
-                ids_sha.append(sha256(decimal[:-1]).hexdigest())
-                decoded = tool.decode(np.frombuffer(ids, np.uint32).tolist())
+                ids = np.frombuffer(tool.encode(value), np.uint32).tolist()
+                counts.append(len(ids))
+                ids_sha.append(sha256(b" ".join(map(decimal.__getitem__, ids))).hexdigest())
+                decoded = tool.decode(ids)
                 text_sha.append(sha256(decoded.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
