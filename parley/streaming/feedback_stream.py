@@ -1,6 +1,6 @@
 """Feedback feed to threshold-triggered training batches.
 
-The feed is a folder that gains JSON Lines files.  Each micro-batch is parsed and
+The feed is a folder that gains JSON Lines files, or files that gain lines.  Each micro-batch is parsed and
 staged; when the lines staged since the last cycle reach the threshold, their
 usable records become the next snapshot of training texts.
 
@@ -16,8 +16,9 @@ import json
 import logging
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -25,10 +26,19 @@ from parley import fixed_values as fixed
 from parley.operators.feedback import parsed_lines
 from parley.operators.prep import training_text
 from parley.sources.files import Store
+from parley.sources.growing import stream_lines
 from parley.sources.writers import Snapshots
 
 logger = logging.getLogger(__name__)
 
+#: File times of a store and the driver's clock may differ by so much.
+CLOCK_SKEW = timedelta(minutes=5)
+
+
+def _file_name(column: str) -> Column:
+    """A file's name without the escapes that some listings have."""
+    return F.url_decode(F.replace(F.col(column), F.lit("+"), F.lit("%2B"))).alias("name")
+
 
 @dataclass(frozen=True)
 class FeedState:
@@ -51,8 +61,12 @@ class FeedbackStream:
         feed: str,
         root: str,
         threshold: int = fixed.FEEDBACK_THRESHOLD,
+        growing: bool = False,
     ):
+        """``growing``: lines added to files already read are taken too (by ``stream_lines``);
+        without it the feed gains whole files, and one that grows raises."""
         self.spark, self.feed, self.root = spark, feed, root.rstrip("/")
+        self.growing = growing
         self.threshold = threshold
         self.snapshots = Snapshots(spark, f"{self.root}/cycles")
         self._store = Store(spark, self.root)
@@ -83,11 +97,11 @@ class FeedbackStream:
     def take(self, lines: DataFrame, batch: int) -> None:
         """Stage a micro-batch and start a cycle when enough lines are pending."""
         before = self.state(before=batch)
-        self._refuse_grown()
         parsed_lines(lines).drop("line").write.mode("overwrite").parquet(self._staged(batch))
-        if "file" in lines.columns:
+        if "size" in lines.columns:
             sizes = lines.groupBy("file").agg(F.max("size").alias("size"))
             sizes.write.mode("overwrite").parquet(f"{self.root}/files/batch={batch}")
+            self._refuse_grown(batch)
         arrived = self.spark.read.parquet(self._staged(batch)).count()
         after = FeedState(
             before.lines_total + arrived,
@@ -102,21 +116,28 @@ class FeedbackStream:
         if due:
             self._tidy(after)
 
-    def _refuse_grown(self) -> None:
-        """Raise if a file already taken is longer now: its new lines would be lost."""
-        if not self._store.exists("files"):
-            return
-        taken = self.spark.read.parquet(f"{self.root}/files").groupBy("file").agg(F.max("size").alias("size"))
-        listed = (
-            self.spark.read.format("binaryFile")
-            .option("recursiveFileLookup", True)
-            .load(self.feed)
-            .select(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))).alias("name"), "length")
-        )
-        taken = taken.withColumn("name", F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))))
-        grown = taken.join(listed, "name").where("length > size").select("name").first()
-        if grown:
-            raise ValueError(f"feed file {grown['name']} has grown after it was taken: add new files instead")
+    def _refuse_grown(self, batch: int) -> None:
+        """Raise if a file already taken is longer now: its new lines would be lost.
+
+        Only files modified since the check before are looked at, and the sizes of earlier
+        batches are read only if one of those is not of this batch.
+        """
+        checks = [int(name) for name in self._store.names("checks") if name.isdigit()]
+        earlier = [number for number in checks if number < batch]
+        reader = self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        if earlier:
+            reader = reader.option("modifiedAfter", self._store.read(f"checks/{max(earlier)}"))
+        began = datetime.now(timezone.utc) - CLOCK_SKEW
+        listed = reader.option("timeZone", "UTC").load(self.feed).select(_file_name("path"), "length")
+        taken = self.spark.read.parquet(f"{self.root}/files").select("batch", _file_name("file"), "size")
+        others = listed.join(taken.where(F.col("batch") == batch), "name", "left_anti")
+        if not others.isEmpty():
+            grown = others.join(taken, "name").groupBy("name", "length").agg(F.max("size").alias("size"))
+            if first := grown.where("length > size").first():
+                raise ValueError(f"feed file {first['name']} has grown after it was taken: add new files instead")
+        self._store.write(f"checks/{batch}", began.strftime("%Y-%m-%dT%H:%M:%S"))
+        for old in sorted(checks)[:-3]:
+            self._store.remove(f"checks/{old}")
 
     def finish(self) -> None:
         """Start a last cycle over the lines that are still below the threshold, if the
@@ -151,15 +172,21 @@ class FeedbackStream:
     # -- running -------------------------------------------------------------
 
     def start(self, once: bool = False, files_per_batch: int | None = None) -> StreamingQuery:
-        """Start reading; ``once`` drains what is there and stops."""
-        reader = self.spark.readStream
-        if files_per_batch:
-            reader = reader.option("maxFilesPerTrigger", files_per_batch)
-        lines = reader.text(self.feed).select(
-            F.col("value").alias("line"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.file_size").alias("size"),
-        )
+        """Start reading; ``once`` drains what is there and stops.
+
+        A growing feed is taken as it stands, so ``files_per_batch`` does not apply to it.
+        """
+        if self.growing:
+            lines = stream_lines(self.spark, self.feed)
+        else:
+            reader = self.spark.readStream
+            if files_per_batch:
+                reader = reader.option("maxFilesPerTrigger", files_per_batch)
+            lines = reader.text(self.feed).select(
+                F.col("value").alias("line"),
+                F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_size").alias("size"),
+            )
         writer = (
             lines.writeStream.foreachBatch(self.take)
             .queryName("feedback_cycles")
@@ -219,3 +246,15 @@ class LogStream:
     def flush(self, query: StreamingQuery) -> None:
         """Write everything that has arrived so far."""
         query.processAllAvailable()
+
+
+class FailsOnce(FeedbackStream):
+    """For drills: the first batch that publishes fails before its state is saved."""
+
+    failed = False
+
+    def _save(self, batch: int, state: FeedState) -> None:
+        if state.cycles and not self.failed:
+            self.failed = True
+            raise OSError("drill: the batch is lost after publishing")
+        super()._save(batch, state)

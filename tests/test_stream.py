@@ -3,7 +3,7 @@ import json
 import pytest
 
 from parley.sources.files import Store
-from parley.streaming.feedback_stream import FeedbackStream, FeedState, LogStream, run_with_budget
+from parley.streaming.feedback_stream import FailsOnce, FeedbackStream, FeedState, LogStream, run_with_budget
 
 
 def put(folder, name, lines):
@@ -133,3 +133,49 @@ def test_log_stream(spark, tmp_path):
     log = spark.read.json(str(tmp_path / "root" / "log"))
     assert sorted(r.input for r in log.collect()) == [f"p{i}" for i in range(5)]
     assert set(log.columns) == {"input", "output", "timestamp"}
+
+
+def test_lines_added_to_a_file(spark, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    stream = FeedbackStream(spark, str(feed), str(tmp_path / "root"), threshold=4, growing=True)
+    lines = good(0, 9)
+    with open(feed / "one.jsonl", "a") as file:
+        # The last line has no end yet: it waits.
+        file.write("\n".join(lines[:4]))
+        file.flush()
+        drain(stream)
+        assert stream.state() == FeedState(3, 0, -1, 0)
+        file.write("\n" + lines[4][:9])
+        put(feed, "two.jsonl", ["", "NOT JSON", lines[8]])
+        put(feed, "_writing.jsonl", lines)
+        file.flush()
+        drain(stream)
+        assert stream.state() == FeedState(6, 6, 1, 1)
+        file.write(lines[4][9:] + "\r\n" + "\r\n".join(lines[5:8]) + "\n")
+    drain(stream)
+    first, second = stream.snapshots.versions()
+    assert texts(stream, first) == sorted(expected(0, 4) + expected(8, 1))
+    assert texts(stream, second) == expected(4, 4)
+
+
+def test_a_file_that_shrank_raises(spark, tmp_path):
+    feed = tmp_path / "feed"
+    put(feed, "one.jsonl", good(0, 3))
+    stream = FeedbackStream(spark, str(feed), str(tmp_path / "root"), threshold=1, growing=True)
+    drain(stream)
+    put(feed, "one.jsonl", good(0, 1))
+    with pytest.raises(Exception, match="shrank"):
+        drain(stream)
+
+
+def test_a_batch_fails_after_publishing(spark, tmp_path):
+    feed = tmp_path / "feed"
+    put(feed, "one.jsonl", good(0, 5))
+    stream = FailsOnce(spark, str(feed), str(tmp_path / "root"), threshold=3)
+    with pytest.raises(Exception, match="lost"):
+        drain(stream)
+    assert stream.state() == FeedState() and stream.snapshots.versions() == [0]
+    drain(stream)
+    assert stream.state() == FeedState(5, 5, 0, 1) and texts(stream) == expected(0, 5)
+    assert stream.snapshots.read_all().count() == 5
