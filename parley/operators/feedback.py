@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley import fixed_values as fixed
@@ -15,25 +15,32 @@ def is_quit(prompt: Column) -> Column:
     return F.lower(strip(prompt)).isin(fixed.QUIT_WORDS)
 
 
+#: Places of a session that are looked at together.
+SESSION_BLOCK = 4096
+
+
 def open_prompts(df: DataFrame, session: str | None = None, order: str = "turn") -> DataFrame:
     """Prompts that reach the model: stripped, not blank, before the quit word.
 
-    Without ``session`` columns a quit word only drops its own row.  With them the
-    first quit of each session is found by aggregation and joined to all its prompts;
-    the aggregate is one narrow row per session that has one.
+    Without ``session`` columns a quit word only drops its own row.  With them a session ends at
+    its first quit.  That is found per block of ``order`` (a long), carried on over the blocks of a
+    session (one narrow row each), and joined by session and block, so that a session with a
+    third of all rows is dealt to as many tasks as it has blocks.  A null order is a block of its
+    own, ended by a quit in it or before.
     """
     asked = df.withColumn("prompt", strip(F.col("prompt")))
-    kept = asked
-    if session is not None:
-        ends = (
-            df.where(is_quit(F.col("prompt")))
-            .groupBy(session)
-            .agg(F.min(order).alias("_quit_at"))
-        )
-        kept = asked.join(ends, session, "left").where(
-            F.col("_quit_at").isNull() | (F.col(order) < F.col("_quit_at"))
-        )
-    return kept.where((F.col("prompt") != "") & ~is_quit(F.col("prompt"))).select(*df.columns)
+    filled = (F.col("prompt") != "") & ~is_quit(F.col("prompt"))
+    if session is None:
+        return asked.where(filled).select(*df.columns)
+    block = F.floor(F.col(order) / SESSION_BLOCK)
+    quit_at = F.min(F.when(is_quit(F.col("prompt")), F.col(order)))
+    blocks = df.groupBy(F.col(session).alias("_session"), block.alias("_block")).agg(quit_at.alias("_quit_at"))
+    so_far = Window.partitionBy("_session").orderBy(F.asc_nulls_last("_block"))
+    blocks = blocks.withColumn("_quit_at", F.min("_quit_at").over(so_far)).where("_quit_at IS NOT NULL")
+    same = F.col(session).eqNullSafe(F.col("_session")) & F.col("_at").eqNullSafe(F.col("_block"))
+    kept = asked.withColumn("_at", block).join(blocks, same, "left")
+    before = F.col("_quit_at").isNull() | (F.col(order) < F.col("_quit_at"))
+    return kept.where(before & filled).select(*df.columns)
 
 
 def label_feedback(df: DataFrame) -> DataFrame:

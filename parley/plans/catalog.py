@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +14,12 @@ from parley.functions.text import strip, words
 from parley.operators import feedback, forecast, numbering, prep, quality, scrape
 from parley.plans import inputs, jobs
 from parley.session import spread, work_folder
-from parley.sources import readers, writers
+from parley.sources import framing, readers, writers
 from parley.sources.files import Store
 from parley.sources.turns import pairs_from_turns
-from parley.streaming.feedback_stream import FeedbackStream
+from parley.streaming.feedback_stream import FailsOnce, FeedbackStream
+from parley.streaming.flushing import CountedLogStream
+from parley.streaming.windows import feedback_windows, late_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -554,15 +557,18 @@ def json_log_round_trip(spark, folder):
 
 @query
 def log_append_save(spark, folder):
-    """A log saved, cleared, and appended to in two parts."""
-    path = work_folder(spark, "log")
+    """A log saved twice and read, then cleared, and appended to in two parts."""
+    path, kept = work_folder(spark, "log"), work_folder(spark, "saved")
     rows = feedback.stamped(inputs.pairs(spark, folder).select(*_PAIR))
+    text = prep.training_text(F.col("input"), F.col("output")).alias("text")
     writers.save_log(rows, path)
+    writers.save_log(rows.where("row_id % 2 = 0").drop("row_id"), path)
+    writers.read_log(spark, path).where("timestamp IS NOT NULL").select(text).write.parquet(kept)
     writers.clear_log(spark, path)
-    writers.append_log(rows.where("row_id % 2 = 0").drop("row_id"), path)
-    writers.append_log(rows.where("row_id % 2 = 1").drop("row_id"), path)
+    writers.append_log(rows.where("row_id % 4 = 1").drop("row_id"), path)
+    writers.append_log(rows.where("row_id % 4 = 3").drop("row_id"), path)
     back = writers.read_log(spark, path).where("timestamp IS NOT NULL")
-    return back.select(prep.training_text(F.col("input"), F.col("output")).alias("text"))
+    return back.select(text).unionByName(spark.read.parquet(kept))
 
 
 @query
@@ -650,18 +656,59 @@ def planned_steps_override(spark, folder):
 
 @query
 def text_folder_stats(spark, folder):
-    """Documents written as one text file each, read back from the folder."""
+    """Documents written as one text file each, some with names that Spark does not list, read back."""
     path = work_folder(spark, "texts")
-    documents = inputs.table(spark, folder, "documents").select("doc_id", "text")
-    documents.withColumnRenamed("text", "value").repartition("doc_id").write.partitionBy("doc_id").text(path)
-    files = readers.read_text_folder(spark, f"{path}/*")
-    doc_id = F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint")
-    content = F.expr("substring(content, 1, length(content) - 1)")  # without the file's last line end
-    return files.select(
-        doc_id.alias("doc_id"), F.length(content).alias("chars"), F.md5(F.encode(content, "utf-8")).alias("digest")
+    mark = F.element_at(F.array(F.lit("_"), F.lit(".")), (F.col("doc_id") % 50).cast("int"))
+    mark = F.when((F.col("doc_id") % 50).isin(1, 2), mark).otherwise("")
+    documents = spread(inputs.table(spark, folder, "documents").select("doc_id", "text"))
+    files = documents.select(
+        F.floor(F.col("doc_id") / 1000).cast("string").alias("folder"),
+        F.concat(mark, F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"),
+        F.coalesce("text", F.lit("")).alias("content"),
+    )
+    inputs.write_text_files(files, path)
+    back = readers.read_text_folder(spark, f"{path}/*")
+    doc_id = F.regexp_extract("name", r"(\d+)\.txt", 1).cast("bigint")
+    return back.select(
+        doc_id.alias("doc_id"), F.length("content").alias("chars"), F.md5(F.encode("content", "utf-8")).alias("digest")
     )
 
 
+@query
+def path_rank(spark, folder):
+    """Documents' place in the order of their file names, a text key."""
+    documents = inputs.table(spark, folder, "documents").select("doc_id", "source", "lang")
+    name = F.concat_ws("_", "source", "lang", F.col("doc_id").cast("string"))
+    return numbering.with_rank(documents.select("doc_id", name.alias("name")), "name")
+
+
+@query
+def stamp_text(spark, folder):
+    """Stamps of fixed moments, as exchanges carry them."""
+    events = inputs.table(spark, folder, "events").select("event_id", "ts")
+    return events.select("event_id", feedback.compact_stamp(F.col("ts")).alias("stamp"))
+
+
+@query
+def json_array_one_file(spark, folder):
+    """All pairs in one file holding an array, in row order, cut again by many tasks."""
+    path = f"{work_folder(spark, 'array')}/pairs.json"
+    writers.write_json_array(inputs.pairs(spark, folder).select(*_PAIR), path, "row_id")
+    ranked = numbering.with_rank(framing.json_objects(spark, path), "split", "no")
+    record = F.from_json("text", "row_id BIGINT, input STRING, output STRING", {"mode": "FAILFAST"})
+    return ranked.select("position", record.alias("r")).select("position", "r.*")
+
+
+@query
+def csv_cells(spark, folder):
+    """Documents in CSV: long cells with line breaks, cut by many tasks."""
+    path = work_folder(spark, "csv")
+    texts = inputs.table(spark, folder, "documents").select("doc_id", F.col("text").alias("question"), F.col("lang").alias("answer"))
+    texts.write.options(header=True, quote='"', escape='"', quoteAll=True).csv(path)
+    back = readers.read_csv(spark, path)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5(F.encode("input", "utf-8")).alias("digest"), "output")
+
+
 @query
 def stream_feedback_cycle(spark, folder):
     """The whole feed through the stream, a few files at a time; all published texts."""
@@ -672,3 +719,88 @@ def stream_feedback_cycle(spark, folder):
     if stream.snapshots.current() is None:
         return spark.createDataFrame([], "text STRING")
     return stream.snapshots.read_all().select("text")
+
+
+def _published(spark, stream: FeedbackStream):
+    if stream.snapshots.current() is None:
+        return spark.createDataFrame([], "text STRING")
+    return stream.snapshots.read_all().select("text")
+
+
+@query
+def stream_growing_feed(spark, folder):
+    """The feed in files that grow between batches, their last lines unfinished at first."""
+    feed = work_folder(spark, "growing")
+    stream = FeedbackStream(spark, feed, work_folder(spark, "cycles"), threshold=50, growing=True)
+    for rounds in (1, 2, 3):
+        inputs.write_growing_feed(spark, folder, feed, rounds)
+        stream.start(once=True).awaitTermination()
+    stream.finish()
+    return _published(spark, stream)
+
+
+@query
+def stream_replayed_batch(spark, folder):
+    """The feed through a stream that fails between publishing and saving its state, and goes on."""
+    stream = FailsOnce(spark, _feed_folder(spark, folder), work_folder(spark, "cycles"), threshold=50)
+    while True:
+        try:
+            stream.start(once=True).awaitTermination()
+            break
+        except StreamingQueryException as failure:
+            if "drill" not in str(failure):
+                raise
+    stream.finish()
+    return _published(spark, stream)
+
+
+@query
+def log_flushes(spark, folder):
+    """Exchanges of ten conversations a session, flushed every ten rows; the rest when told."""
+    source = work_folder(spark, "exchanges")
+    stream = CountedLogStream(spark, source, work_folder(spark, "flushes"), flush_rows=10)
+    session = F.floor(F.col("conv_id") / 10)
+    rows = inputs.pairs(spark, folder).select(
+        session.cast("string").alias("session"), F.col("input").alias("prompt"), F.col("output").alias("response")
+    )
+    rows.write.mode("append").json(source)
+    stream.start(once=True).awaitTermination()
+    control = F.when(F.col("session").cast("bigint") % 2 == 0, "STOP").otherwise("FLUSH")
+    rows.select("session").distinct().withColumn("control", control).write.mode("append").json(source)
+    stream.start(once=True).awaitTermination()
+    return stream.log().groupBy("session", "flush_no", "cause").agg(F.count("*").alias("rows"))
+
+
+@query
+def feedback_by_hour(spark, folder):
+    """Accepted and corrected answers per hour of event time, and what came too late.
+
+    Four rounds of conversations arrive one after the other, each in any order; then time moves
+    on by a day, and the answers of some conversations come after that.
+    """
+    seconds = F.lit(1704067200) + F.col("conv_id") * 600 + F.col("turn")
+    rows = feedback.label_feedback(inputs.exchanges(spark, folder)).select(
+        "conv_id", F.timestamp_seconds(seconds).alias("at"), "accepted"
+    )
+    last, latest = rows.agg(F.max("conv_id"), F.max("at")).first()
+    if last is None:
+        return spark.createDataFrame([], "hour BIGINT, accepted BIGINT, corrected BIGINT, late_accepted BIGINT, late_corrected BIGINT")
+    late = F.col("conv_id") % 13 == 5
+    turn = F.when(late, 5).otherwise(F.floor(F.col("conv_id") * 4 / (last + 1)))
+    beat = spark.range(1).select(
+        (F.lit(latest) + F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(None).cast("boolean").alias("accepted")
+    )
+    feed, closed = work_folder(spark, "feedback"), work_folder(spark, "windows")
+    state = work_folder(spark, "state")
+    for number in range(6):
+        arrived = beat if number == 4 else rows.where(turn == number).select("at", "accepted")
+        arrived.write.mode("append").parquet(feed)
+        windows = feedback_windows(spark.readStream.schema("at TIMESTAMP, accepted BOOLEAN").parquet(feed))
+        writer = windows.writeStream.format("parquet").option("path", closed).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    given = spark.read.schema("start TIMESTAMP, end TIMESTAMP, accepted BIGINT, corrected BIGINT").parquet(closed)
+    missed = late_counts(spark.read.parquet(feed), given).withColumnRenamed("start", "missed")
+    both = given.join(missed, F.col("start") == F.col("missed"), "full")
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("accepted", "corrected", "late_accepted", "late_corrected")]
+    hour = F.unix_timestamp(F.coalesce("start", "missed")).alias("hour")
+    return both.select(hour, *counts).where("accepted + corrected + late_accepted + late_corrected > 0")

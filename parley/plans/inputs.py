@@ -178,3 +178,62 @@ def exchanges(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" Better: "), "input"))
         .alias("correction"),
     )
+
+
+def write_growing_feed(spark: SparkSession, folder: str, path: str, rounds: int) -> None:
+    """The feed's files as they stand after so many of three rounds, one per shard.
+
+    Each round makes them longer; only the last one ends their last line.  A file is put in
+    place whole, so a task that runs twice changes nothing.
+    """
+    lines = feed_lines(spark, folder).select("shard", (F.col("row_id") % 3).alias("part"), "row_id", "line")
+    lines = lines.where(F.col("part") < rounds).repartition("shard").sortWithinPartitions("shard", "part", "row_id")
+
+    def write(batches):
+        from parley.sources.growing import opened
+
+        store, place = opened(path)
+        store.create_dir(place)
+        shard, out = None, None
+
+        def close():
+            out.write(b"\n" if rounds == 3 else b"")
+            out.close()
+            store.move(f"{place}/_{shard}", f"{place}/shard={shard}.jsonl")
+
+        for batch in batches:
+            for number, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if number != shard:
+                    if out:
+                        close()
+                    shard, out = number, store.open_output_stream(f"{place}/_{number}")
+                    out.write(line)
+                else:
+                    out.write(b"\n" + line)
+        if out:
+            close()
+        yield from ()
+
+    raw = lines.select("shard", F.col("line").cast("binary").alias("line"))
+    raw.mapInArrow(write, "shard BIGINT").count()
+
+
+def write_text_files(texts: DataFrame, path: str) -> None:
+    """One file per row (``folder``, ``name``, ``content``), written by the tasks that have them."""
+
+    def write(batches):
+        from parley.sources.growing import opened
+
+        store, place = opened(path)
+        made = set()
+        for batch in batches:
+            for folder, name, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if folder not in made:
+                    store.create_dir(f"{place}/{folder}")
+                    made.add(folder)
+                with store.open_output_stream(f"{place}/{folder}/{name}") as out:
+                    out.write(content)
+        yield from ()
+
+    raw = texts.select("folder", "name", F.col("content").cast("binary").alias("content"))
+    raw.mapInArrow(write, "name STRING").count()

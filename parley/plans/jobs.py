@@ -17,7 +17,8 @@ from parley.operators.quality import (
     score_pairs,
 )
 from parley.operators.scrape import describe, scrape_counts
-from parley.sources.readers import read_text_folder, unlisted_names
+from parley.session import work_folder
+from parley.sources.readers import read_text_folder, unlisted_files
 from parley.sources.writers import write_jsonl
 
 logger = logging.getLogger(__name__)
@@ -55,16 +56,16 @@ def exit_code(report: DataFrame) -> int:
 
 
 def scrape(
-    spark: SparkSession, folder: str, output_path: str, allow_unlisted: bool = False, **options
+    spark: SparkSession, folder: str, output_path: str, **options
 ) -> dict[str, int]:
     """Text folder to pairs; returns files found, processed, skipped and unlisted.
 
-    Files whose names Spark cannot list raise unless allowed, and are counted.
+    Unlisted are those that Spark's listing leaves out and that are read apart.
 
     The counts are observed while writing, so the files are read once.  No usable
     file is an error.
     """
-    described = describe(read_text_folder(spark, folder, allow_unlisted=allow_unlisted), **options)
+    described = describe(read_text_folder(spark, folder), **options)
     seen = Observation("scrape")
     counted = described.select("skip_reason", "prompt", "cleaned").observe(seen, *scrape_counts())
     pairs = counted.where(F.col("skip_reason").isNull()).select(
@@ -73,7 +74,7 @@ def scrape(
     write_jsonl(pairs, output_path, mode="overwrite")
     if not seen.get["processed"]:
         raise ValueError(f"No files were processed successfully in {folder}")
-    return {**seen.get, "unlisted": len(unlisted_names(spark, folder))}
+    return {**seen.get, "unlisted": len(unlisted_files(spark, folder))}
 
 
 def prepare_training(
@@ -99,11 +100,13 @@ def prepare_training(
 
 
 def resolve(requests: DataFrame, valid_path: str, quarantine_path: str) -> None:
-    """Resolve requests once, then write usable ones and failures apart."""
-    resolved = resolve_requests(requests).persist()
-    try:
-        valid, failed = split_requests(resolved)
-        valid.write.mode("overwrite").parquet(valid_path)
-        failed.write.mode("overwrite").parquet(quarantine_path)
-    finally:
-        resolved.unpersist()
+    """Resolve requests once, then write usable ones and failures apart.
+
+    What was resolved is written once and read twice, so a lost executor costs a read.
+    """
+    spark = requests.sparkSession
+    folder = work_folder(spark, "resolved")
+    resolve_requests(requests).write.parquet(folder)
+    valid, failed = split_requests(spark.read.parquet(folder))
+    valid.write.mode("overwrite").parquet(valid_path)
+    failed.write.mode("overwrite").parquet(quarantine_path)

@@ -566,3 +566,24 @@ ORACLE["custom_rule"] = f"""WITH {PAIRS} SELECT row_id, contains(lower(output),
 ORACLE["pairs_large_ids"] = f"""WITH {PAIRS}, large AS (
   SELECT (conv_id - 20) * 8589934592 + conv_id AS conv_id, turn, input, output FROM pairs)
 SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS position FROM large"""
+
+ORACLE["stream_growing_feed"] = ORACLE["stream_feedback_cycle"]
+ORACLE["stream_replayed_batch"] = ORACLE["stream_feedback_cycle"]
+ORACLE["log_flushes"] = f"""WITH {PAIRS}, placed AS (
+  SELECT conv_id // 10 AS s, row_number() OVER (PARTITION BY conv_id // 10) - 1 AS place,
+    count(*) OVER (PARTITION BY conv_id // 10) AS n FROM pairs)
+SELECT s::VARCHAR AS session, place // 10 AS flush_no,
+  CASE WHEN place // 10 < n // 10 THEN 'count' WHEN s % 2 = 0 THEN 'STOP' ELSE 'FLUSH' END AS cause, count(*) AS rows
+FROM placed GROUP BY ALL"""
+ORACLE["feedback_by_hour"] = f"""WITH {EXCHANGES}, timed AS (
+  SELECT (1704067200 + conv_id * 600 + turn) // 3600 * 3600 AS hour, correction = '' AS accepted, conv_id % 13 = 5 AS late
+  FROM exchanges)
+SELECT hour, count(*) FILTER (accepted AND NOT late) AS accepted, count(*) FILTER (NOT accepted AND NOT late) AS corrected,
+  count(*) FILTER (accepted AND late) AS late_accepted, count(*) FILTER (NOT accepted AND late) AS late_corrected
+FROM timed GROUP BY hour"""
+ORACLE["path_rank"] = """SELECT doc_id, concat_ws('_', source, lang, doc_id) AS name,
+  row_number() OVER (ORDER BY concat_ws('_', source, lang, doc_id)) - 1 AS position FROM documents"""
+ORACLE["stamp_text"] = """SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S%f') AS stamp FROM events"""
+ORACLE["json_array_one_file"] = f"""WITH {PAIRS}
+SELECT row_id, input, output, row_number() OVER (ORDER BY row_id) - 1 AS position FROM pairs"""
+ORACLE["csv_cells"] = """SELECT doc_id, md5(text) AS digest, lang AS output FROM documents"""

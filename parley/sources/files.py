@@ -10,7 +10,13 @@ class Store:
         self._jvm = spark._jvm
         self.root = root.rstrip("/")
         path = self._path("")
-        self._fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._gateway = spark.sparkContext._gateway
+        self._fs = path.getFileSystem(self._conf)
+        # Local files without check sum files, which could not be swapped together with them.
+        self._local = self._fs.getUri().getScheme() == "file"
+        if self._local:
+            self._fs = self._fs.getRawFileSystem()
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -22,7 +28,8 @@ class Store:
         path = self._path(name)
         if not self._fs.exists(path):
             return []
-        return sorted(item.getPath().getName() for item in self._fs.listStatus(path))
+        names = (item.getPath().getName() for item in self._fs.listStatus(path))
+        return sorted(name for name in names if not (name.startswith(".") and name.endswith(".crc")))
 
     def size(self, name: str = "") -> int:
         return self._fs.getContentSummary(self._path(name)).getLength()
@@ -55,9 +62,53 @@ class Store:
         finally:
             stream.close()
         self._fs.mkdirs(target.getParent())
-        self._fs.delete(target, False)
-        if not self._fs.rename(hidden, target):
-            raise OSError(f"could not write {self.root}/{name}")
+        self._replace(hidden, target)
+
+    def _replace(self, source, target) -> None:
+        """Rename over the target in one step: readers see the old file or the new one."""
+        if self._local:  # the system's own rename
+            if not self._fs.rename(source, target):
+                raise OSError(f"could not write {target}")
+            return
+        hadoop = self._jvm.org.apache.hadoop.fs
+        rename = hadoop.Options.Rename
+        kinds = self._gateway.new_array(rename, 1)
+        kinds[0] = rename.OVERWRITE
+        qualified = self._fs.makeQualified(target)
+        context = hadoop.FileContext.getFileContext(qualified.toUri(), self._conf)
+        context.rename(self._fs.makeQualified(source), qualified, kinds)
+
+    def join_parts(self, parts: Store, name: str, start: str, end: str, skip: int) -> None:
+        """One file of the part files of a folder in name order, with a start and an end.
+
+        Bytes are copied stream to stream in the store; ``skip`` bytes of the first part that
+        has any are left out.  The file appears under its name only when complete.
+        """
+        hidden = self._path(f".{name.rsplit('/', 1)[-1]}.tmp")
+        out = self._fs.create(hidden, True)
+        try:
+            out.write(bytearray(start.encode("utf-8")))
+            for part in parts.names():
+                if not part.startswith("part-") or not parts.size(part):
+                    continue
+                stream = parts._fs.open(parts._path(part))
+                try:
+                    stream.seek(skip)
+                    skip = 0
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+                finally:
+                    stream.close()
+            out.write(bytearray(end.encode("utf-8")))
+        finally:
+            out.close()
+        self._fs.mkdirs(self._path(name).getParent())
+        self._replace(hidden, self._path(name))
+
+    def hidden_files(self, suffix: str) -> list[str]:
+        """Files in the folder, or the folders of the glob, that Spark's listing leaves out."""
+        pattern = self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/[_.]*{suffix}")
+        found = self._fs.globStatus(pattern) or []
+        return sorted(item.getPath().toString() for item in found if item.isFile())
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

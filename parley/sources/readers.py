@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from parley import fixed_values as fixed
 from parley.functions.text import strip, unix_newlines
 from parley.operators.feedback import parsed_lines
 from parley.session import work_folder
+from parley.sources import framing, growing
 from parley.sources.files import Store
 
 PAIR_SCHEMA = "input STRING, output STRING"
@@ -31,16 +34,18 @@ def read_json(
 ) -> DataFrame:
     """Pairs from JSON files holding an array of objects or one object.
 
-    ``extra`` names further fields as DDL; without it all fields are inferred.
-    Keys are not checked.  A JSON array is one record to its parser, hence one
-    task per file: large datasets belong in JSON Lines.
+    ``extra`` names further fields as DDL: then each file is cut into objects by many
+    tasks (``framing``).  Without it all fields are inferred by Spark's own reader, to which
+    an array is one record, hence one task per file.  Keys are not checked; malformed
+    text raises either way.
     """
     if max_bytes is not None:
         guard_size(spark, path, max_bytes)
-    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
-    if extra is not None:
-        reader = reader.schema(f"{PAIR_SCHEMA}, {extra}" if extra else PAIR_SCHEMA)
-    return reader.json(path)
+    if extra is None:
+        return spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+    schema = f"{PAIR_SCHEMA}, {extra}" if extra else PAIR_SCHEMA
+    record = F.from_json("text", schema, {"mode": "FAILFAST"})
+    return framing.json_objects(spark, path).select(record.alias("r")).select("r.*")
 
 
 def read_json_lines(spark: SparkSession, path: str, extra: str = "") -> DataFrame:
@@ -132,29 +137,41 @@ def count_and_read_jsonl(
     return lines.count(), records.select("file", "line_no", "input", "output", "extras")
 
 
-def unlisted_names(spark: SparkSession, folder: str) -> list[str]:
-    """``*.txt`` names that Spark's file listing leaves out: those starting ``_`` or ``.``."""
-    names = Store(spark, folder).names()
-    return [name for name in names if name.endswith(".txt") and name[0] in "_."]
+def unlisted_files(spark: SparkSession, folder: str) -> list[str]:
+    """``*.txt`` files of a folder or glob that Spark's file listing leaves out: those whose
+    names start ``_`` or ``.``."""
+    return Store(spark, folder).hidden_files(".txt")
 
 
-def read_text_folder(
-    spark: SparkSession, folder: str, ordered: bool = False, allow_unlisted: bool = False
-) -> DataFrame:
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path`` and ``content`` of named files, whatever their names, read where they are dealt to."""
+
+    def read(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                store, place = growing.opened(path)
+                with store.open_input_stream(place) as source:
+                    content = source.read()
+                yield pa.RecordBatch.from_pydict({"path": [path], "content": [content]})
+
+    named = spark.createDataFrame([(path,) for path in paths], "path STRING")
+    tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
+    return named.repartition(tasks).mapInArrow(read, "path STRING, content BINARY")
+
+
+def read_text_folder(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """``*.txt`` files as ``path``, ``name``, ``content``; null content if not UTF-8.
 
-    One file is one row, as large as a row may be.  Names that Spark cannot list raise
-    unless allowed, so none is lost in silence.  ``ordered`` sorts by path (a range
-    shuffle of the texts; leave it off where order does not matter).
+    ``folder`` may be a glob of folders.  One file is one row, as large as a row may be.  Names that
+    start ``_`` or ``.`` are no part of Spark's listing; they are found by a glob of their own on
+    the driver, a name each, and read by tasks: few of the files should have such names.
+    ``ordered`` sorts by path (a range shuffle of the texts; leave it off where order does not
+    matter).
     """
-    if not allow_unlisted and (lost := unlisted_names(spark, folder)):
-        raise ValueError(f"Spark cannot list {len(lost)} files, such as '{lost[0]}': rename them")
-    raw = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.txt")
-        .load(folder)
-        .select("path", "content")
-    )
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
+    raw = reader.load(folder).select("path", "content")
+    if paths := unlisted_files(spark, folder):
+        raw = raw.unionByName(read_files(spark, paths))
     text = F.col("content").cast("string")
     rows = raw.orderBy("path") if ordered else raw
     return rows.select(
@@ -167,16 +184,19 @@ def read_text_folder(
 def read_csv(spark: SparkSession, path: str, input_col: str = "question", output_col: str = "answer") -> DataFrame:
     """Pairs from CSV with a header line; quoted cells may hold line breaks and ``""``.
 
-    Such a file has no safe place to be split, so one file is one task.  A malformed
-    row raises, and so does a missing column.
+    Files are cut into records by many tasks (``framing``).  The first record of each names
+    its columns, the same in all files.  Blank lines are skipped; a malformed row raises, and so
+    does a missing column.  Without any file content there are no rows.
     """
-    rows = (
-        spark.read.option("header", True)
-        .options(multiLine=True, quote='"', escape='"', mode="FAILFAST")
-        .csv(path)
-    )
-    if not {input_col, output_col} <= set(rows.columns):
+    records = framing.csv_rows(spark, path)
+    is_header = (F.col("split") == 0) & (F.col("no") == 0)
+    header = records.where(is_header).orderBy("file").select("text").first()
+    names = next(csv.reader([header["text"]]), []) if header else [input_col, output_col]
+    if not {input_col, output_col} <= set(names):
         raise ValueError(f"CSV must have '{input_col}' and '{output_col}' columns")
+    schema = ", ".join(f"`{name.replace('`', '``')}` STRING" for name in names)
+    cells = F.from_csv("text", schema, {"quote": '"', "escape": '"', "mode": "FAILFAST"})
+    rows = records.where(~is_header & (F.col("text") != "")).select(cells.alias("r")).select("r.*")
     return rows.withColumnsRenamed({input_col: "input", output_col: "output"})
 
 

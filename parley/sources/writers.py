@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.operators.feedback import compact_stamp, stamped
 from parley.operators.forecast import format_predictions
+from parley.session import work_folder
 from parley.sources.files import Store
 
 
@@ -23,6 +24,23 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_json_array(df: DataFrame, path: str, *order: str) -> None:
+    """Pairs as one file holding a JSON array, one object a line, in the given order.
+
+    Rows are sorted by ranges and written by many tasks; the parts are then joined stream to
+    stream, never collected.  Null fields are written out, non-ASCII text kept; an empty table
+    gives ``[]``.  An existing file is replaced in one step.
+    """
+    require_pair_columns(df)
+    store = Store(df.sparkSession, path.rpartition("/")[0])
+    parts = work_folder(df.sparkSession, "parts")
+    record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    # Every object brings the comma before it; the very first one is skipped.
+    sorted_rows.select(F.concat(F.lit(","), record).alias("value")).write.text(parts)
+    store.join_parts(Store(df.sparkSession, parts), path.rpartition("/")[2], "[", "]", 1)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Append logged pairs; earlier files stay as they are."""
     require_pair_columns(df)

@@ -1,9 +1,12 @@
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
+from parley.operators.feedback import open_prompts
 from parley.sources import readers, writers
+from parley.sources.files import Store
 
 
 def write(path, lines):
@@ -148,13 +151,63 @@ def test_odd_lines_are_skipped_and_counted(spark, tmp_path):
     assert kinds == {"usable": 2, "undecodable": 1, "keyless": 1, "malformed": 1}
 
 
-def test_unlisted_text_files_are_not_lost_in_silence(spark, tmp_path):
-    for name in ("a.txt", "_b.txt", ".c.txt"):
-        (tmp_path / name).write_text("text")
-    with pytest.raises(ValueError):
-        readers.read_text_folder(spark, str(tmp_path))
-    assert readers.unlisted_names(spark, str(tmp_path)) == [".c.txt", "_b.txt"]
-    assert readers.read_text_folder(spark, str(tmp_path), allow_unlisted=True).count() == 1
+def test_names_that_spark_does_not_list_are_read(spark, tmp_path):
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        for name in ("a.txt", "_b.txt", ".c.txt", "d.md", "_SUCCESS"):
+            (tmp_path / folder / name).write_text(f"{folder} {name}\r\n")
+    plain = readers.read_text_folder(spark, str(tmp_path / "one")).collect()
+    assert {r.name: r.content for r in plain} == {n: f"one {n}\n" for n in ("a.txt", "_b.txt", ".c.txt")}
+    both = readers.read_text_folder(spark, f"{tmp_path}/*", ordered=True).collect()
+    assert [r.path for r in both] == sorted(r.path for r in both) and len(both) == 6
+    assert len(readers.unlisted_files(spark, f"{tmp_path}/*")) == 4
+
+
+def test_one_array_file(spark, tmp_path):
+    frame = spark.range(900).selectExpr("id", "concat('q ', id, ' é\n') input", "if(id % 7 = 0, NULL, 'a}') output")
+    path = f"{tmp_path}/out/pairs.json"
+    writers.write_json_array(frame.repartition(5), path, "id")
+    with open(path, encoding="utf-8") as file:
+        stored = json.load(file)
+    assert [r["id"] for r in stored] == list(range(900)) and stored[7] == {"id": 7, "input": "q 7 é\n", "output": None}
+    writers.write_json_array(frame.limit(0), path, "id")
+    with open(path, encoding="utf-8") as file:
+        assert json.load(file) == []
+
+
+def test_a_pointer_never_vanishes(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.write("pointers/1", "a")
+    seen, done = set(), threading.Event()
+
+    def look():
+        while not done.is_set():
+            try:
+                seen.add((tmp_path / "pointers" / "1").read_text())
+            except FileNotFoundError:
+                seen.add(None)
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    for i in range(200):
+        store.write("pointers/1", "ab"[i % 2])
+    done.set()
+    reader.join()
+    assert seen <= {"a", "b"}
+
+
+def test_a_session_with_a_third_of_all_rows(spark):
+    rows = [(1, i, " Quit" if i == 9000 else f"p{i}") for i in range(12_000)]
+    rows += [(s, i, "quit" if (s, i) == (7, 1) else f"p{i}") for s in range(2, 40) for i in range(3)]
+    rows += [(None, 5, "x"), (3, None, "x"), (None, 6, "quit"), (None, 7, "y")]
+    frame = spark.createDataFrame(rows, "s long, turn long, prompt string")
+    kept = open_prompts(frame, session="s")
+    got = sorted((tuple(r) for r in kept.collect()), key=repr)
+    want = [(s, i, p) for s, i, p in rows if p.strip().lower() != "quit" and not (s == 1 and i > 9000)]
+    want = [r for r in want if not (r[0] == 7 and r[1] > 1) and r != (None, 7, "y")]
+    assert got == sorted(want, key=repr)
+    plan = kept._jdf.queryExecution().toString()
+    assert "NestedLoopJoin" not in plan
 
 
 def test_log_life_cycle(spark, tmp_path):
