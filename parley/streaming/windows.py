@@ -40,9 +40,9 @@ def late_counts(
     whole = timed.groupBy(F.window(moment, window).alias("w")).agg(*_counts(F.col("accepted")))
     whole = whole.select(F.col("w.start").alias("start"), "accepted", "corrected")
     # A window that only late rows have was closed unseen: closed is what ended by the last one given.
-    last = closed.agg(F.max("end").alias("last"))
+    last = closed.agg(F.max("end")).first()[0]
     seen = closed.select("start", F.col("accepted").alias("given"), F.col("corrected").alias("given_corrected"))
-    late = whole.join(seen, "start", "left").join(F.broadcast(last), F.col("start") < F.col("last"))
+    late = whole.where(F.col("start") < F.lit(last)).join(seen, "start", "left")
     return late.select(
         "start",
         (F.col("accepted") - F.coalesce("given", F.lit(0))).alias("late_accepted"),
