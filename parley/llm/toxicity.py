@@ -14,7 +14,7 @@ Fitting uses a bounded sample of ``TRAIN_ROWS`` labelled rows; every document is
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -175,6 +175,7 @@ def hits_in(text: str, lexicon: FuzzyLexicon) -> tuple[int, list[Hit]]:
         return len(words), []
     spans = [m.span() for m in _words(lowered)]
     marks = [i for i, c in enumerate(lowered) if c in QUOTES]
+    breaks = [-1, *(i for i, c in enumerate(lowered) if c == "\n")]
     hits = []
     for i in at:
         edits, term = find(words[i])
@@ -182,8 +183,11 @@ def hits_in(text: str, lexicon: FuzzyLexicon) -> tuple[int, list[Hit]]:
         first = spans[max(0, i - WINDOW)][0]
         last = spans[min(len(words) - 1, i + WINDOW)][1]
         before = bisect_right(marks, spans[i][0])
+        # Marks open and close in turn within a line: an odd number before leaves one open.
+        line = breaks[bisect_left(breaks, spans[i][0]) - 1]
+        opened = (before - bisect_left(marks, line)) % 2 == 1
         inside = (
-            0 < before < len(marks) and marks[before - 1] >= first and marks[before] <= last
+            opened and before < len(marks) and marks[before - 1] >= first and marks[before] <= last
         )
         reported = not REPORTING.isdisjoint(near)
         hits.append(Hit(term, edits, inside or reported, not ADDRESS.isdisjoint(near)))
@@ -306,7 +310,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     picked = (
         _term_counts(train)
         .where((F.col("toxic") >= max(3, round(0.004 * toxic))) & (share >= min(LEAST_RATIO, 0.3 * clean)))
-        .orderBy(F.desc("toxic"), "clean", "term")
+        .orderBy(F.desc(F.col("toxic") * F.ln(share)), "term")
         .limit(LEXICON)
         .collect()
     )
@@ -319,39 +323,39 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     t, c = (np.array([r[k] for r in picked], float) for k in ("toxic", "clean"))
     model.exact = np.maximum(weights(t, c), 0)
 
+    def nearby(batches):
+        """How many texts of each label have a misspelling of a term."""
+        lexicon = FuzzyLexicon(terms)
+        for batch in batches:
+            seen = np.zeros((len(terms), 2), np.int64)
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for term in {h.term for h in hits_in(text, lexicon)[1] if h.edits}:
+                    seen[term, label] += 1
+            at, label = np.nonzero(seen)
+            columns = [pa.array(at, pa.int32()), pa.array(label, pa.int32()), pa.array(seen[at, label], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "label", "texts"])
+
     def look(batches):
+        """The features of each text, from all its hits."""
         lexicon = FuzzyLexicon(terms)
         for batch in batches:
-            found = [hits_in(text, lexicon) for text in batch.column(0).to_pylist()]
-            listed = [
-                [[h.term, h.edits, int(h.quoted), int(h.addressed)] for h in hits[:400]]
-                for _, hits in found
-            ]
+            found = [model.features(*hits_in(text, lexicon)) for text in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(1),
-                    pa.array([n for n, _ in found], pa.int64()),
-                    pa.array(listed, pa.list_(pa.list_(pa.int32()))),
-                ],
-                ["toxic", "n_words", "hits"],
+                [batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.float64()))], ["label", "features"]
             )
 
-    looked = train.select("text", F.col("toxic").cast("int")).mapInArrow(
-        look, "toxic int, n_words long, hits array<array<int>>"
-    )
-    seen = [
-        (r["toxic"], r["n_words"], [Hit(a, b, bool(q), bool(d)) for a, b, q, d in r["hits"]])
-        for r in looked.collect()
-    ]
+    labelled = train.select("text", F.col("toxic").cast("int").alias("label"))
     near = np.zeros((len(terms), 2))
-    for label, _, hits in seen:
-        for term in {h.term for h in hits if h.edits}:
-            near[term, label] += 1
+    counted = labelled.mapInArrow(nearby, "term int, label int, texts long").groupBy("term", "label")
+    for row in counted.agg(F.sum("texts").alias("texts")).collect():  # two numbers per term
+        near[row["term"], row["label"]] = row["texts"]
     model.fuzzy = np.maximum(np.minimum(weights(near[:, 1], near[:, 0]), model.exact), 0)
     unseen = near.sum(axis=1) == 0
     model.fuzzy[unseen] = model.exact[unseen] / 2
-    x = np.array([model.features(n, hits) for _, n, hits in seen])
-    model.coefficients = _logistic(x, np.array([label for label, *_ in seen], float))
+    # One short vector per row of the bounded sample.
+    seen = labelled.mapInArrow(look, "label int, features array<double>").collect()
+    x = np.array([row["features"] for row in seen])
+    model.coefficients = _logistic(x, np.array([row["label"] for row in seen], float))
     return model
 
 

@@ -106,6 +106,31 @@ def test_quotation_and_address():
     assert [(h.edits, h.quoted, h.addressed) for h in hits] == [(0, True, True), (1, False, True)]
 
 
+def test_words_between_two_quotations_are_not_quoted():
+    lexicon = toxicity.FuzzyLexicon(["moron"])
+    for text, quoted in (
+        ('"fine words" moron "other words"', False),
+        ('she said "fine words" and "moron" again', True),
+        ('an open " mark\nmoron "other words"', False),
+        ("«moron» indeed", True),
+    ):
+        assert [h.quoted for h in toxicity.hits_in(text, lexicon)[1]] == [quoted]
+
+
+def test_fitting_sees_every_hit(spark):
+    """A text of a thousand clean words and then as many hits is fitted by all of them."""
+    rows = [(i, f"moron {'moron ' * (900 * (i % 7 == 0))}you {i}", 1) for i in range(60)]
+    rows += [(i, f"a quiet evening {i}", 0) for i in range(60, 200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    lexicon = toxicity.FuzzyLexicon(model.terms)
+    fitted = [model.features(*toxicity.hits_in(text, lexicon)) for _, text, _ in rows]
+    assert max(f[2] for f in fitted) > 6.5
+    scores = {r.row.doc_id: r.score for r in toxicity.scored(docs, model).collect()}
+    assert all((scores[i] >= 0.5) == bool(toxic) for i, _, toxic in rows)
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
