@@ -180,8 +180,9 @@ def hits_in(text: str, lexicon: FuzzyLexicon) -> tuple[int, list[Hit]]:
     for i in at:
         edits, term = find(words[i])
         near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-        first = spans[max(0, i - WINDOW)][0]
-        last = spans[min(len(words) - 1, i + WINDOW)][1]
+        # The window with the marks around it.
+        first = spans[i - WINDOW - 1][1] if i > WINDOW else 0
+        last = spans[i + WINDOW + 1][0] if i + WINDOW + 1 < len(words) else len(lowered)
         before = bisect_right(marks, spans[i][0])
         # Marks open and close in turn within a line: an odd number before leaves one open.
         line = breaks[bisect_left(breaks, spans[i][0]) - 1]
