@@ -120,13 +120,21 @@ def test_filter_gives_levels():
     assert (unseen > 0).mean() < 0.05
 
 
-def shingle_set(text):
-    words = (text or "").lower().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+def word_likeness(a, b):
+    """Longest common subsequence of the words over the longer text's words."""
+    a, b = ((t or "").lower().split() for t in (a, b))
+    if not a or not b:
+        return 0.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return row[-1] / max(len(a), len(b))
 
 
 def plain_classes(docs):
-    sets = [shingle_set(t) for _, t in docs]
     parent = list(range(len(docs)))
 
     def find(i):
@@ -134,16 +142,29 @@ def plain_classes(docs):
             i = parent[i]
         return i
 
+    words = [set((t or "").lower().split()) for _, t in docs]
     for i in range(len(docs)):
         for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                parent[find(i)] = find(j)
+            # texts of so few common words are nowhere near
+            if len(words[i] & words[j]) >= 0.5 * max(len(words[i]), len(words[j])) and find(i) != find(j):
+                if word_likeness(docs[i][1], docs[j][1]) >= 0.8:
+                    parent[find(i)] = find(j)
     groups = {}
     for i in range(len(docs)):
         groups.setdefault(find(i), set()).add(i)
     return sorted(map(sorted, groups.values()))
 
 
+def classes_of(spark, docs):
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    classes, _ = order_minhash.classified(frame)
+    got = {}
+    for row in classes.select("row.doc_id", "class_id", "class_size", "keeper").collect():
+        got.setdefault(row["class_id"], set()).add(row["doc_id"])
+        assert row["keeper"] == (row["doc_id"] == row["class_id"])
+    return sorted(map(sorted, got.values()))
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(900)]
@@ -158,26 +179,84 @@ def test_near_duplicates_equal_all_pairs(spark):
             docs.append(" ".join(copy))
     rng.shuffle(docs)
     docs = [(i, t) for i, t in enumerate(docs)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
-    classes, _ = order_minhash.classified(frame)
-    got = {}
-    for row in classes.select("row.doc_id", "class_id", "class_size", "keeper").collect():
-        got.setdefault(row["class_id"], set()).add(row["doc_id"])
-        assert row["keeper"] == (row["doc_id"] == row["class_id"])
-    assert sorted(map(sorted, got.values())) == plain_classes(docs)
+    assert classes_of(spark, docs) == plain_classes(docs)
+
+
+def edited(words, share, rng, vocabulary):
+    """Words replaced, put in and left out in a share of the places."""
+    out = []
+    for word in words:
+        kind = rng.choice(["replace", "insert", "delete"]) if rng.random() < share else "keep"
+        if kind in ("replace", "insert"):
+            out.append(rng.choice(vocabulary))
+        if kind in ("keep", "insert"):
+            out.append(word)
+    return out
+
+
+def test_edited_copies_are_found(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(900)]
+    docs = []
+    for k in range(150):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(80, 400))]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited(words, rng.uniform(0.01, 0.1), rng, vocabulary)))]
+    wanted = {(i, i + 1) for i in range(0, 300, 2) if word_likeness(docs[i][1], docs[i + 1][1]) >= 0.8}
+    got = classes_of(spark, docs)
+    assert all(len(c) == 1 or tuple(c) in wanted for c in got)
+    assert len(wanted) >= 140 and sum(len(c) == 2 for c in got) >= 0.9 * len(wanted)
+
+
+def test_texts_that_share_a_passage(spark, monkeypatch):
+    """A passage of half a text, in more classes than a bucket compares, hides no copies."""
+    monkeypatch.setattr(order_minhash, "CLASSES", 8)
+    made = []
+    accepted = order_minhash._accepted
+    monkeypatch.setattr(order_minhash, "_accepted", lambda pairs, texts: made.append(pairs.count()) or accepted(pairs, texts))
+    rng = random.Random(10)
+    vocabulary = [f"w{i}" for i in range(900)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    docs = []
+    for k in range(80):
+        own = [rng.choice(vocabulary) for _ in range(60)]
+        docs.append(" ".join(own[:20] + passage + own[20:]))
+        if k % 10 == 0:
+            own = edited(own, 0.03, rng, vocabulary)
+            docs.append(" ".join(own[:20] + passage + own[20:]))
+    docs = list(enumerate(docs))
+    assert classes_of(spark, docs) == plain_classes(docs)
+    assert sum(made) < 12 * len(docs)
+
+
+def test_large_group_of_edited_copies(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(900)]
+    words = [rng.choice(vocabulary) for _ in range(120)]
+    docs = [(i, " ".join(edited(words, 0.04, rng, vocabulary))) for i in range(400)]
+    assert len(classes_of(spark, docs)) == 1
 
 
 def test_order_matters():
-    tool = order_minhash.Shingler()
     words = [f"a{i}".encode() for i in range(200)]
-    whole = tool.labelled(words)
-    assert order_minhash.aligned(whole, whole) == 1
-    turned = tool.labelled(words[100:] + words[:100])
-    assert order_minhash.aligned(whole, turned) == 0
-    assert order_minhash.aligned(whole, tool.labelled(words[:90])) == 0
+    assert order_minhash.aligned(words, words) == 1
+    assert order_minhash.aligned(words, words[100:] + words[:100]) < 0.8
+    assert order_minhash.aligned(words, words[:90]) == 0
     changed = list(words)
     changed[50] = b"new"
-    assert order_minhash.aligned(whole, tool.labelled(changed)) == pytest.approx(191 / 201)
+    assert order_minhash.aligned(words, changed) == pytest.approx(199 / 200)
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_alignment_equals_full_table(monkeypatch, block):
+    monkeypatch.setattr(order_minhash, "BLOCK", block)
+    rng = random.Random(12)
+    for _ in range(500):
+        vocabulary = [f"v{i}" for i in range(rng.choice([2, 5, 50]))]
+        a = [rng.choice(vocabulary) for _ in range(rng.randint(1, 60))]
+        b = edited(a, rng.uniform(0, 0.3), rng, vocabulary) or a
+        want = word_likeness(" ".join(a), " ".join(b))
+        got = order_minhash.aligned(a, b)
+        assert (got >= 0.8) == (want >= 0.8) and (want < 0.8 or got == pytest.approx(want))
 
 
 def test_near_duplicates_of_odd_rows(odd, none):
