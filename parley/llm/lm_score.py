@@ -1,14 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Counting.  Tasks hash the words and word pairs of their training documents, count them
+Tokens.  A chunk's bytes are cut and hashed as arrays: a word's hash is a polynomial in
+its bytes, modulo 2**64, so no word becomes a Python object unless it is written.
+
+Counting.  Tasks count the hashes of words and word pairs of their training documents
 in chunks and send the hashes, dealt by their leading bits into segments of bounded
-size.  A segment adds up its counts and inserts each n-gram once per level
+size; a chunk sends rows to the segments it has n-grams of only.  A segment adds up its counts and inserts each n-gram once per level
 ``1 .. 1 + floor(log2(count))`` into a Bloom filter of its own.  The number of segments
 follows the number of training tokens, so no task ever holds more than about
 ``SEGMENT_TOKENS`` n-grams.
 
-Scoring.  The segments are broadcast, at most ``PASS_BYTES`` at a time: a larger filter
-takes several passes, each of which fills in the levels of the n-grams in its segments.
+Scoring.  The segments are broadcast, about ``PASS_BYTES`` at a time: a larger filter
+takes several passes over equal runs of segments, each of which fills in the levels of
+the n-grams in its segments.  A chunk looks up each of its n-grams once.
 An n-gram's level is found by probing level after level until one is missing; its
 count is then the mean count of the level.  A pair's probability is the interpolation of
 pair and word estimates.
@@ -24,7 +28,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +40,10 @@ ALPHA = 0.1
 PAIR_WEIGHT = 0.3
 HEAD = 150_000
 SEGMENT_TOKENS = 2 << 20
-CHUNK_TOKENS = 1 << 18
+#: Bytes of text (or one text) that are scored, and counted, at a time.
+SCORE_BYTES, COUNT_BYTES = 3 << 19, 4 << 20
+#: Bytes hashed at a time (or one word), and words remembered while counting.
+BLOCK, REMEMBERED = 1 << 19, 200_000
 PASS_BYTES = 160 << 20
 #: Bits per inserted level, and probes for each.
 BITS, PROBES = 10, 4
@@ -57,8 +63,96 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S[2])
 
 
-def hash_of(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+class _Bytes:
+    """Value of each byte (none for white space, A to Z as a to z), and powers of an odd
+    number and of its inverse, as many as were asked for."""
+
+    def __init__(self):
+        self.value = mix(np.arange(1, 257, dtype=np.uint64) * _M1)
+        self.value[[9, 10, 11, 12, 13, 32]] = 0
+        self.value[65:91] = self.value[97:123]
+        self.base = int(_M2) | 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            inverse = pow(self.base, -1, 1 << 64)
+            self.up, self.down = (
+                np.cumprod(np.r_[np.uint64(1), np.full(n - 1, b, np.uint64)]) for b in (self.base, inverse)
+            )
+        return self.up, self.down
+
+
+_bytes = _Bytes()
+_space = _bytes.value == 0
+_END_HASH, _BEGIN_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Hashes of the words that begin at ``starts`` and end at white space or the next start."""
+    out = np.empty(len(starts), np.uint64)
+    ends = np.append(starts[1:], len(data))
+    at = 0
+    while at < len(starts):
+        until = max(at + 1, int(np.searchsorted(ends, starts[at] + block, side="right")))
+        first, last = int(starts[at]), int(ends[until - 1])
+        up, down = _bytes.powers(max(block, last - first))
+        own = starts[at:until] - first
+        with np.errstate(over="ignore"):
+            sums = np.add.reduceat(_bytes.value[data[first:last]] * up[: last - first], own)
+            out[at:until] = mix(sums * down[own])
+        at = until
+    return out
+
+
+class Tokens:
+    """The tokens of some texts: words and one end each.
+
+    ``hashes`` of all tokens, ``starts`` and ``sizes`` of the texts in tokens.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        space = _space[data]
+        begins = ~space
+        begins[1:] &= space[:-1]
+        texts = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins[texts] = ~space[texts]
+        words = np.flatnonzero(begins)
+        ends = np.searchsorted(words, offsets[1:])
+        self.data, self.words = data, np.append(words, len(data))
+        self.hashes = np.insert(word_hashes(data, words), ends, _END_HASH)
+        self.sizes = np.diff(ends, prepend=0) + 1
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.at = np.insert(np.arange(len(words)), ends, -1)
+
+    def word(self, token: int) -> bytes:
+        """Bytes of a token."""
+        at = self.at[token]
+        if at < 0:
+            return END
+        return self.data[self.words[at] : self.words[at + 1]].tobytes().split(None, 1)[0].lower()
+
+
+def chunks(texts: pa.Array, size: int):
+    """First row and tokens of runs of texts with about ``size`` bytes, or one text; null is the empty text."""
+    texts = texts.fill_null("")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, places, content = texts.buffers()
+    if not len(texts):
+        return
+    offsets = np.frombuffer(places, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(content, np.uint8) if content else np.zeros(0, np.uint8)
+    begin = 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1)
+        end = min(end, len(texts))
+        yield begin, Tokens(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+        begin = end
+
+
+def learned(batch: pa.RecordBatch) -> pa.Array:
+    """Texts of the batch's training documents."""
+    return batch.column(1).filter(pa.array([not is_held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()))
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -73,85 +167,41 @@ def is_held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
-class Words:
-    """Hashes and head counts of the words met, forgotten when there are too many."""
-
-    def __init__(self, head: dict[bytes, int] | None = None, most: int = 250_000):
-        self.head, self.most = head or {}, most
-        self.number: dict[bytes, int] = {}
-        self.hashes = np.zeros(1024, np.uint64)
-        self.counts = np.zeros(1024, np.int64)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.number.get, words))
-        if None in found:
-            for i, n in enumerate(found):
-                if n is None:
-                    found[i] = self._add(words[i])
-        return np.array(found, np.int64)
-
-    def _add(self, word: bytes) -> int:
-        known = self.number.get(word)
-        if known is not None:
-            return known
-        n = len(self.number)
-        if n == len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-        self.number[word] = n
-        self.hashes[n] = hash_of(word)
-        self.counts[n] = self.head.get(word, 0)
-        return n
-
-    def trim(self) -> None:
-        if len(self.number) > self.most:
-            self.__init__(self.head, self.most)
-
-
-def chunks(texts: pa.Array, size: int = CHUNK_TOKENS, keep=None):
-    """Runs of (index, tokens) with about ``size`` tokens, or one text.
-
-    Texts leave the Arrow batch some at a time.  ``keep`` marks the rows to take.
-    """
-    run, held, step = [], 0, 256
-    for begin in range(0, len(texts), step):
-        for i, text in enumerate(texts.slice(begin, step).to_pylist(), begin):
-            if keep is not None and not keep[i]:
-                continue
-            words = tokens_of(text)
-            run.append((i, words))
-            held += len(words)
-            if held >= size:
-                yield run
-                run, held = [], 0
-    if run:
-        yield run
-
-
-def ngrams(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the pairs that end at each word, and of the words themselves."""
+def pairs_of(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs that end at each word."""
     before = np.empty_like(hashes)
     before[1:] = hashes[:-1]
-    before[starts] = np.uint64(hash_of(BEGIN))
+    before[starts] = _BEGIN_HASH
+    with np.errstate(over="ignore"):
+        return mix(before * _M1 + hashes)
+
+
+def single_of(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of words as n-grams of their own."""
     with np.errstate(over="ignore"):
-        return mix(before * _M1 + hashes), mix(hashes ^ _M3)
+        return mix(hashes ^ _M3)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and its count c in the training documents."""
 
+    def rows(seen):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
+            ["word", "c"],
+        )
+
     def count(batches):
+        seen: dict[bytes, int] = {}
         for batch in batches:
-            seen: dict[bytes, int] = {}
-            learned = [not is_held_out(i) for i in batch.column(0).to_pylist()]
-            for part in chunks(batch.column(1), CHUNK_TOKENS, learned):
-                for _, words in part:
-                    for word in words:
-                        seen[word] = seen.get(word, 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-                ["word", "c"],
-            )
+            for _, tokens in chunks(learned(batch), COUNT_BYTES):
+                _, first, times = np.unique(tokens.hashes, return_index=True, return_counts=True)
+                for word, n in zip(map(tokens.word, first.tolist()), times.tolist()):
+                    seen[word] = seen.get(word, 0) + n
+                if len(seen) > REMEMBERED:
+                    yield rows(seen)
+                    seen = {}
+        yield rows(seen)
 
     counted = docs.select("doc_id", "text").mapInArrow(count, "word string, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
@@ -161,24 +211,22 @@ def _blobs(docs: DataFrame, bits: int) -> DataFrame:
     """Per chunk and segment the n-gram hashes met once, and those met more often."""
 
     def run(batches):
-        words = Words()
         begin = np.uint64(64 - bits) if bits else None
         for batch in batches:
-            learned = [not is_held_out(i) for i in batch.column(0).to_pylist()]
-            for part in chunks(batch.column(1), 2 * CHUNK_TOKENS, learned):
-                words.trim()
-                flat = [w for _, own in part for w in own]
-                sizes = [len(own) for _, own in part]
-                starts = np.cumsum([0] + sizes[:-1])
-                numbers = words.numbers(flat)
-                pairs, single = ngrams(words.hashes[numbers], starts)
+            for _, tokens in chunks(learned(batch), COUNT_BYTES):
+                met, often = np.unique(tokens.hashes, return_counts=True)
+                single = single_of(met)
+                order = np.argsort(single)
+                counted = (
+                    (2, *np.unique(pairs_of(tokens.hashes, tokens.starts), return_counts=True)),
+                    (1, single[order], often[order]),
+                )
                 rows = []
-                for kind, hashes in ((2, pairs), (1, single)):
-                    found, times = np.unique(hashes, return_counts=True)
+                for kind, found, times in counted:
                     where = found >> begin if bits else np.zeros(len(found), np.uint64)
-                    edges = np.searchsorted(where, np.arange((1 << bits) + 1, dtype=np.uint64))
-                    for s in range(1 << bits):
-                        own = slice(edges[s], edges[s + 1])
+                    segments, edges = np.unique(where, return_index=True)
+                    for s, a, b in zip(segments.tolist(), edges, [*edges[1:], len(found)]):
+                        own = slice(a, b)
                         once = times[own] == 1
                         rows.append(
                             (s, kind, found[own][once].tobytes(), found[own][~once].tobytes(),
@@ -301,16 +349,14 @@ class LanguageModel:
         schema = "segment int, data binary, size long, tallies array<array<bigint>>"
         built = _blobs(docs, self.bits).groupBy("segment").applyInArrow(build, schema)
         self.segments = stored(built, "segments")
-        means = np.zeros((4, LEVELS))
-        self.passes: list[list[int]] = [[]]
-        held = 0
-        for row in self.segments.select("segment", "size", "tallies").orderBy("segment").collect():
-            means += np.array(row["tallies"], float)
-            if held and held + row["size"] > PASS_BYTES:
-                self.passes.append([])
-                held = 0
-            self.passes[-1].append(row["segment"])
-            held += row["size"]
+        # hashes fill the segments evenly, so equal runs of segments are passes of equal size
+        size = self.segments.agg(F.sum("size").alias("b")).first()["b"] or 0
+        self.passes = min(1 << self.bits, max(1, -(-size // PASS_BYTES)))
+        tallies = self.segments.select(F.posexplode(F.flatten("tallies")).alias("at", "n"))
+        means = np.zeros(4 * LEVELS)
+        for row in tallies.groupBy("at").agg(F.sum("n").alias("n")).collect():  # 4 * LEVELS rows
+            means[row["at"]] = row["n"]
+        means = means.reshape(4, LEVELS)
         with np.errstate(invalid="ignore", divide="ignore"):
             guess = np.r_[0.0, 2.0 ** np.arange(LEVELS - 1)]
             self.single = np.where(means[0] > 0, means[1] / means[0], guess)
@@ -319,14 +365,33 @@ class LanguageModel:
 
     def filter_of(self, number: int) -> dict:
         """Broadcast segments of one pass; the driver holds one segment at a time."""
-        rows = self.segments.where(F.col("segment").isin(self.passes[number])).select("segment", "data")
+        begin, end = ((n << self.bits) // self.passes for n in (number, number + 1))
+        rows = self.segments.where(F.col("segment").between(begin, end - 1)).select("segment", "data")
         context = self.spark.sparkContext
         return {r["segment"]: context.broadcast(bytes(r["data"])) for r in rows.toLocalIterator()}
 
 
-def head_counts(data: bytes) -> dict[bytes, int]:
-    table = pa.ipc.open_stream(data).read_all()
-    return {w.encode(): c for w, c in zip(table["word"].to_pylist(), table["c"].to_pylist())}
+def head_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the head's words, and their counts."""
+    table = pa.ipc.open_stream(data).read_all().combine_chunks()
+    if not len(table):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words, counts = table["word"].combine_chunks(), table["c"].to_numpy()
+    if isinstance(words, pa.ChunkedArray):
+        words = pa.concat_arrays(words.chunks)
+    # each word is a text of one word and an end; the end itself is a text without words
+    hashes = np.concatenate([tokens.hashes[tokens.starts] for _, tokens in chunks(words, COUNT_BYTES)])
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def counts_of(words: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Head counts of word hashes, 0 outside the head."""
+    hashes, counts = head
+    if not len(hashes):
+        return np.zeros(len(words), np.int64)
+    at = np.minimum(np.searchsorted(hashes, words), len(hashes) - 1)
+    return np.where(hashes[at] == words, counts[at], 0)
 
 
 def log_probabilities(pair, word, before, model_means, tokens: int, types: int) -> np.ndarray:
@@ -361,35 +426,31 @@ def scored(docs: DataFrame) -> DataFrame:
         f"uid long, doc_id {kind.simpleString()}, n_tokens long, head_known long, head_base double,"
         " score double, tail array<struct<word:string,n:bigint>>"
     )
-    for number in range(len(model.passes)):
-        last = number == len(model.passes) - 1
+    for number in range(model.passes):
+        last = number == model.passes - 1
         segments = model.filter_of(number)
 
         def run(batches, segments=segments, last=last):
             held = Filter(bits, {n: data.value for n, data in segments.items()})
-            words = Words(head_counts(head.value) if last else None)
+            known = head_counts(head.value) if last else None
             uid = TaskContext.get().partitionId() << 33
             for batch in batches:
-                texts, before = batch.column(1), batch.column(2)
-                for part in chunks(texts):
-                    words.trim()
-                    flat = [w for _, own in part for w in own]
-                    sizes = np.array([len(own) for _, own in part])
-                    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-                    numbers = words.numbers(flat)
-                    pair, word = (held.levels(h) for h in ngrams(words.hashes[numbers], starts))
-                    if before[part[0][0]].is_valid:
-                        known = np.frombuffer(b"".join(before[i].as_py() for i, _ in part), np.uint8).reshape(-1, 2)
-                        pair = np.where(known[:, 0] != UNKNOWN, known[:, 0], pair)
-                        word = np.where(known[:, 1] != UNKNOWN, known[:, 1], word)
+                ids, texts, before = batch.columns
+                for begin, part in chunks(texts, SCORE_BYTES):
+                    n, starts, sizes = len(part.sizes), part.starts, part.sizes
+                    words, at = np.unique(part.hashes, return_inverse=True)
+                    pair, word = held.levels(pairs_of(part.hashes, starts)), held.levels(single_of(words))[at]
+                    if before[begin].is_valid:
+                        seen = np.frombuffer(b"".join(before.slice(begin, n).to_pylist()), np.uint8).reshape(-1, 2)
+                        pair = np.where(seen[:, 0] != UNKNOWN, seen[:, 0], pair)
+                        word = np.where(seen[:, 1] != UNKNOWN, seen[:, 1], word)
                     if not last:
                         both = np.stack([pair, word], 1)
-                        yield _columns(
-                            [[batch.column(0)[i].as_py() for i, _ in part], [texts[i].as_py() for i, _ in part],
-                             [both[a : a + n].tobytes() for a, n in zip(starts, sizes)]],
-                            [batch.schema.field(0).type, pa.string(), pa.binary()],
+                        levels = [both[a : a + m].tobytes() for a, m in zip(starts, sizes)]
+                        yield pa.RecordBatch.from_arrays(
+                            [ids.slice(begin, n), texts.slice(begin, n).cast(pa.string()), pa.array(levels, pa.binary())],
                             ["doc_id", "text", "levels"],
-                        )
+                        )
                         continue
                     # what belongs to no segment was never counted
                     pair, word = (np.where(x == UNKNOWN, 0, x) for x in (pair, word))
@@ -397,20 +458,17 @@ def scored(docs: DataFrame) -> DataFrame:
                     previous[1:] = means[0][word[:-1]]
                     previous[starts] = documents
                     logs = log_probabilities(pair, word, previous, means, tokens, types)
-                    counts = words.counts[numbers]
+                    counts = counts_of(words, known)[at]
                     base = np.where(counts > 0, np.log10((counts / ALPHA + 1) * share), 0.0)
-                    tails = [
-                        _tail(own, counts[a : a + n]) for (_, own), a, n in zip(part, starts, sizes)
-                    ]
                     yield _columns(
-                        [list(range(uid, uid + len(part))), [batch.column(0)[i].as_py() for i, _ in part],
+                        [list(range(uid, uid + n)), ids.slice(begin, n).to_pylist(),
                          sizes, np.add.reduceat((counts > 0).astype(np.int64), starts),
-                         np.add.reduceat(base, starts), np.add.reduceat(logs, starts), tails],
-                        [pa.int64(), batch.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.float64(),
+                         np.add.reduceat(base, starts), np.add.reduceat(logs, starts), _tails(part, counts == 0)],
+                        [pa.int64(), ids.type, pa.int64(), pa.int64(), pa.float64(), pa.float64(),
                          pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))],
                         ["uid", "doc_id", "n_tokens", "head_known", "head_base", "score", "tail"],
                     )
-                    uid += len(part)
+                    uid += n
 
         middle = f"doc_id {kind.simpleString()}, text string, levels binary"
         rows = stored(rows.mapInArrow(run, out if last else middle), "lm-pass")
@@ -435,12 +493,14 @@ def scored(docs: DataFrame) -> DataFrame:
     )
 
 
-def _tail(words: list[bytes], counts: np.ndarray) -> list[dict]:
-    """Words outside the head with their times in the document."""
-    times: dict[bytes, int] = {}
-    for i in np.flatnonzero(counts == 0).tolist():
-        times[words[i]] = times.get(words[i], 0) + 1
-    return [{"word": w.decode(), "n": n} for w, n in times.items()]
+def _tails(tokens: Tokens, outside: np.ndarray) -> list[list[dict]]:
+    """Per text its words outside the head with their times."""
+    out: list[dict[bytes, int]] = [{} for _ in tokens.sizes]
+    which = np.flatnonzero(outside)
+    rows = np.searchsorted(tokens.starts, which, side="right") - 1
+    for row, word in zip(rows.tolist(), map(tokens.word, which.tolist())):
+        out[row][word] = out[row].get(word, 0) + 1
+    return [[{"word": w.decode(), "n": n} for w, n in times.items()] for times in out]
 
 
 def _columns(values: list, kinds: list, names: list[str]) -> pa.RecordBatch:

@@ -97,6 +97,76 @@ def test_base_scores_and_passes(odd, monkeypatch, small):
     assert all(r["score"] < 0 and r["held_out"] == lm_score.is_held_out(r["doc_id"]) for r in rows)
 
 
+def plain_scores(docs):
+    """Scores with the counts of words and pairs replaced by the means of their levels."""
+    words = [(k, lm_score.tokens_of(t)) for k, t in docs]
+    train = [w for k, w in words if k is None or zlib.crc32(str(k).encode()) % 10]
+    single = Counter(t for w in train for t in w)
+    pairs = Counter(p for w in train for p in zip([None, *w], w))
+    n, v = sum(single.values()), len(single)
+
+    def quantised(counts):
+        levels = {}
+        for c in counts.values():
+            levels.setdefault(c.bit_length(), []).append(c)
+        means = {k: sum(c) / len(c) for k, c in levels.items()}
+        return lambda item: means[counts[item].bit_length()] if counts[item] else 0.0
+
+    one, two = quantised(single), quantised(pairs)
+    rows = {}
+    for k, w in words:
+        total = 0.0
+        for before, t in zip([None, *w], w):
+            lower = (one(t) + 0.1) / (n + 0.1 * (v + 1))
+            seen = len(train) if before is None else one(before)
+            upper = min(1.0, two((before, t)) / seen) if seen else 0.0
+            weight = 0.3 if seen else 0.0
+            total += math.log10(weight * upper + (1 - weight) * lower)
+        rows.setdefault(k, []).append((len(w), total))
+    return rows
+
+
+def test_scores_equal_exact_counts_but_for_false_hits(spark):
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(700)]
+    text = lambda: " ".join(pool[min(int(rng.expovariate(0.02)), 699)] for _ in range(rng.randint(0, 90)))
+    docs = [(i, text()) for i in range(400)] + [(None, "abc abc"), (500, None), (501, ""), (502, "QQQ Abc")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    want = plain_scores(docs)
+    exact, off, tokens = 0, 0.0, 0
+    for row in lm_score.scored(frame).select("doc_id", "n_tokens", "score").collect():
+        ((n, score),) = want[row["doc_id"]]
+        # a false hit puts an n-gram one level up, about 0.3 in log10
+        assert row["n_tokens"] == n and abs(row["score"] - score) < 0.05 * n + 0.7, row
+        exact += abs(row["score"] - score) < 1e-6
+        off, tokens = off + abs(row["score"] - score), tokens + n
+    assert exact > 0.3 * len(docs) and off < 0.01 * tokens
+
+
+def test_tokens_as_arrays():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(22)
+    for block in (1, 7, 1 << 19):
+        seen = {}
+        for _ in range(60):
+            texts = ["".join(rng.choice("aAbß é\n\t\x0b\x1c🙂") for _ in range(rng.randrange(30))) for _ in range(7)]
+            column = pa.array([None, *texts, "", None]).slice(rng.randrange(2))
+            got = []
+            for _, tokens in lm_score.chunks(column, rng.choice([1, 40, 1000])):
+                words = [tokens.word(i) for i in range(len(tokens.hashes))]
+                starts = np.flatnonzero(np.array([w != lm_score.END for w in words], bool))
+                assert len(starts) == len(tokens.words) - 1
+                again = lm_score.word_hashes(tokens.data, tokens.words[:-1], block)
+                assert (again == tokens.hashes[starts]).all()
+                assert all(seen.setdefault(w, h) == h for w, h in zip(words, tokens.hashes.tolist()))
+                got += [words[a : a + n] for a, n in zip(tokens.starts, tokens.sizes)]
+            assert got == [lm_score.tokens_of(t) for t in column.to_pylist()]
+        assert len(set(seen.values())) == len(seen)
+    assert not list(lm_score.chunks(pa.array([], pa.string()), 10))
+
+
 def test_scores_without_documents(none, spark):
     assert lm_score.scored(none).count() == 0
     held = next(i for i in range(100) if lm_score.is_held_out(i))
