@@ -73,6 +73,129 @@ def test_masking_odd_rows(spark, odd, none):
     assert pii.mask(one).first()["text"] == "q [EMAIL] [PHONE] x [IP] é"
 
 
+def test_running_sums_and_maxima(spark):
+    rng = random.Random(31)
+    lists = [[rng.randrange(90) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 16, 17, 400, 1000)]
+    frame = spark.createDataFrame([(x,) for x in lists], "a array<int>")
+    both = frame.select("a", pii._running(F.col("a"), pii._sum).alias("s"), pii._running(F.col("a"), pii._most).alias("m"))
+    for row in both.collect():
+        assert row["s"] == [sum(row["a"][:i]) for i in range(len(row["a"]))]
+        assert row["m"] == [max([0, *row["a"][:i]]) for i in range(len(row["a"]))]
+
+
+def plain_candidates(text):
+    out = []
+    for m in re.finditer(r"[^\s\x00-\x1f\x7f\"'`<>()\[\]{},;:=#|&$%*!?]+", text):
+        value = m[0]
+        while value and not value[-1].isalnum():
+            value = value[:-1]
+        behind = re.search(r"[A-Za-z_][\x20\t]{0,2}[=:#][\x20\t]{0,2}[\"']?\Z", text[: m.start()])
+        label = re.match(r"[\x20\t]*[=:#]", text[m.end() :])
+        if len(value) >= 4 and (re.search("[0-9]", m[0]) or behind and not label):
+            out.append((m.start(), m.start() + len(value), value))
+    return out
+
+
+def test_candidates_equal_direct_search(spark):
+    rng = random.Random(32)
+    parts = ["ab1", "word", "pass_word", "=", ":", " ", "  ", '"', "'", "x9y8z7", ".", "-", "é", "🙂", "12345", "!", "(", "\n", "\t", "#"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(1500)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(8)
+    for row in frame.select("text", pii.candidates(F.col("text")).alias("c")).collect():
+        assert [(c["start"], c["end"], c["value"]) for c in row["c"]] == plain_candidates(row["text"]), row["text"]
+
+
+def plain_extra(rows, seed_labels):
+    """Identifiers of (doc, base spans, nodes) rows, by pattern scores over dictionaries."""
+    edges, places = {}, []
+    for doc, nodes in rows:
+        for node in nodes:
+            for pattern in node["patterns"]:
+                name, label = pattern.split("|")[:2]
+                labelled = name == "label" and label in seed_labels and bool(re.search("[0-9]", node["value"]))
+                key = re.fullmatch("[0-9A-Fa-f]{32,}", node["value"]) and re.search("[0-9]", node["value"])
+                key = bool(key and re.search("[A-Fa-f]", node["value"]))
+                edge = (pattern, node["value"])
+                edges[edge] = edges.get(edge, False) or node["base"] or labelled or key
+                places.append((doc, node, pattern, labelled))
+    of = {}
+    for pattern, value in edges:
+        of.setdefault(pattern, set()).add(value)
+    score = {}
+    for (_, value), seed in edges.items():
+        score[value] = max(score.get(value, 0.0), float(seed))
+    for turn in range(pii.ROUNDS):
+        worth = {p: sum(score[v] for v in values) / len(values) for p, values in of.items()}
+        good = {p: w for p, w in worth.items() if w >= pii.CONFIDENT and len(of[p]) >= pii.LEAST_VALUES}
+        fresh = {}
+        for (pattern, value), seed in edges.items():
+            fresh[value] = max(fresh.get(value, 0.0), float(seed), good.get(pattern, 0.0))
+        score = fresh
+    return {
+        (doc, node["start"], node["end"])
+        for doc, node, pattern, labelled in places
+        if not node["base"] and (labelled or pattern in good)
+    }
+
+
+@pytest.mark.parametrize("seed_labels", [pii.SEED_LABELS, ()])
+def test_identifiers_equal_direct_scores(spark, seed_labels):
+    rng = random.Random(33)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    values = [key(rng.choice((10, 36, 40))) for _ in range(25)]
+    values += [f"u{i}@mail.example.org" for i in range(6)] + [f"10.0.3.{i}" for i in range(6)]
+    values += ["Ab12_x9", "2024-01", "ABC-1234", "ABC-4321", "ABC-7777", "plain"]
+    before = ["token = ", 'token: "', "from ", "our vault ", "sent to ", "ref=", "password:", "id "]
+    texts = []
+    for _ in range(160):
+        parts = [rng.choice(("of", "and", "then")) + " " + rng.choice(before) + rng.choice(values) for _ in range(rng.randrange(4))]
+        texts.append(rng.choice(("\n", " ")).join(parts) + rng.choice(("", " now", " at home")))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    text = F.col("text")
+    found = F.array_sort(F.concat(pii.base_occurrences(text), pii.candidates(text)))
+    nodes = frame.select("doc_id", pii.nodes(found).alias("n")).collect()
+    for row in nodes:  # overlaps with fixed forms, seen from the text itself
+        base = plain_spans(texts[row["doc_id"]])
+        for node in row["n"]:
+            assert node["base"] == any(s < node["end"] and node["start"] < e for s, _, e in base)
+    want = plain_extra([(r["doc_id"], r["n"]) for r in nodes], seed_labels)
+    got = set()
+    for row in pii.found(frame, carry=["doc_id"], seed_labels=seed_labels).select("row.doc_id", "spans").collect():
+        got |= {(row["doc_id"], s["start"], s["end"]) for s in row["spans"] if s["kind"] == 4}
+    assert got == want and len(want) > 20
+
+
+def test_words_around_entities_are_patterns(spark):
+    texts = [f"please reach u{i}@mail.example.org or wait" for i in range(12)] + ["please reach Zq7_81aa or wait"]
+    texts += [f"room Zq7_9{i} is open" for i in range(5)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: [s["value"] for s in r["spans"]] for r in pii.found(frame, seed_labels=()).select("row.doc_id", "spans").collect()}
+    assert spans[12] == ["Zq7_81aa"] and all(spans[13 + i] == [] for i in range(5))
+
+
+def plain_masked(text, spans):
+    out, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{pii.KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_masking_of_many_matches_in_long_texts(spark):
+    rng = random.Random(34)
+    fill = lambda n: "".join(rng.choice("ab é🙂\n") for _ in range(n))
+    form = lambda: rng.choice(["a@b.c", "1.2.3.4", "+1 (988) 555-2485", "4587121519400672", "x+1 988 555-2485@q.de"])
+    texts = [" ".join(fill(rng.choice((0, 3, 50, 4094, 9000))) + " " + form() for _ in range(rng.randrange(6))) for _ in range(60)]
+    texts += ["; ".join(f"u{i}@a.bc 1.2.3.{i % 250}" for i in range(20_000)), "a" * 4096, "a@b.c" + "y " * 2046 + "a@b.c"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    spans = frame.select("text", pii.base_spans(F.col("text")).alias("s"))
+    for row in spans.withColumn("m", pii.masked(F.col("text"), F.col("s"))).collect():
+        own = [(s["start"], s["kind"], s["end"]) for s in row["s"]]
+        assert own == plain_spans(row["text"])
+        assert row["m"] == plain_masked(row["text"], own)
+
+
 def plain_lm(docs):
     words = [(k, lm_score.tokens_of(t)) for k, t in docs]
     train = [w for k, w in words if k is None or zlib.crc32(str(k).encode()) % 10]
