@@ -41,9 +41,9 @@ PAIR_WEIGHT = 0.3
 HEAD = 150_000
 SEGMENT_TOKENS = 2 << 20
 #: Bytes of text (or one text) that are scored, and counted, at a time.
-SCORE_BYTES, COUNT_BYTES = 3 << 19, 4 << 20
-#: Bytes hashed at a time (or one word), and words remembered while counting.
-BLOCK, REMEMBERED = 1 << 19, 200_000
+SCORE_BYTES, COUNT_BYTES, WORD_BYTES = 3 << 19, 4 << 20, 8 << 20
+#: Bytes hashed at a time (or one word).
+BLOCK = 1 << 19
 PASS_BYTES = 160 << 20
 #: Bits per inserted level, and probes for each.
 BITS, PROBES = 10, 4
@@ -85,6 +85,8 @@ class _Bytes:
 
 _bytes = _Bytes()
 _space = _bytes.value == 0
+_lower = np.arange(256, dtype=np.uint8)
+_lower[65:91] = _lower[97:123]
 _END_HASH, _BEGIN_HASH = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -119,18 +121,28 @@ class Tokens:
         begins[texts] = ~space[texts]
         words = np.flatnonzero(begins)
         ends = np.searchsorted(words, offsets[1:])
-        self.data, self.words = data, np.append(words, len(data))
+        last = ~space
+        last[:-1] &= space[1:] | begins[1:]
+        self.data, self.words, self.until = data, words, np.flatnonzero(last) + 1
         self.hashes = np.insert(word_hashes(data, words), ends, _END_HASH)
         self.sizes = np.diff(ends, prepend=0) + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.at = np.insert(np.arange(len(words)), ends, -1)
 
-    def word(self, token: int) -> bytes:
-        """Bytes of a token."""
-        at = self.at[token]
-        if at < 0:
-            return END
-        return self.data[self.words[at] : self.words[at + 1]].tobytes().split(None, 1)[0].lower()
+    def written(self, which: np.ndarray) -> pa.StringArray:
+        """The tokens at some places, as written in lower case."""
+        at = self.at[which]
+        begin = np.where(at < 0, 0, np.append(self.words, 0)[at])
+        sizes = np.where(at < 0, len(END), np.append(self.until, 0)[at] - begin)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.arange(offsets[-1]) + np.repeat(begin - offsets[:-1], sizes)
+        if len(self.data):
+            content = _lower[self.data[np.minimum(places, len(self.data) - 1)]]
+        else:
+            content = np.zeros(offsets[-1], np.uint8)
+        content[offsets[:-1][at < 0]] = END[0]
+        buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(content)]
+        return pa.StringArray.from_buffers(len(which), buffers[1], buffers[2])
 
 
 def chunks(texts: pa.Array, size: int):
@@ -185,23 +197,11 @@ def single_of(hashes: np.ndarray) -> np.ndarray:
 def word_counts(docs: DataFrame) -> DataFrame:
     """word and its count c in the training documents."""
 
-    def rows(seen):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w.decode() for w in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
-            ["word", "c"],
-        )
-
     def count(batches):
-        seen: dict[bytes, int] = {}
         for batch in batches:
-            for _, tokens in chunks(learned(batch), COUNT_BYTES):
+            for _, tokens in chunks(learned(batch), WORD_BYTES):
                 _, first, times = np.unique(tokens.hashes, return_index=True, return_counts=True)
-                for word, n in zip(map(tokens.word, first.tolist()), times.tolist()):
-                    seen[word] = seen.get(word, 0) + n
-                if len(seen) > REMEMBERED:
-                    yield rows(seen)
-                    seen = {}
-        yield rows(seen)
+                yield pa.RecordBatch.from_arrays([tokens.written(first), pa.array(times, pa.int64())], ["word", "c"])
 
     counted = docs.select("doc_id", "text").mapInArrow(count, "word string, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
@@ -460,12 +460,11 @@ def scored(docs: DataFrame) -> DataFrame:
                     logs = log_probabilities(pair, word, previous, means, tokens, types)
                     counts = counts_of(words, known)[at]
                     base = np.where(counts > 0, np.log10((counts / ALPHA + 1) * share), 0.0)
-                    yield _columns(
-                        [list(range(uid, uid + n)), ids.slice(begin, n).to_pylist(),
-                         sizes, np.add.reduceat((counts > 0).astype(np.int64), starts),
-                         np.add.reduceat(base, starts), np.add.reduceat(logs, starts), _tails(part, counts == 0)],
-                        [pa.int64(), ids.type, pa.int64(), pa.int64(), pa.float64(), pa.float64(),
-                         pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))],
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(uid, uid + n)), ids.slice(begin, n), pa.array(sizes, pa.int64()),
+                         pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+                         pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)),
+                         _tails(part, counts == 0)],
                         ["uid", "doc_id", "n_tokens", "head_known", "head_base", "score", "tail"],
                     )
                     uid += n
@@ -493,15 +492,19 @@ def scored(docs: DataFrame) -> DataFrame:
     )
 
 
-def _tails(tokens: Tokens, outside: np.ndarray) -> list[list[dict]]:
+def _tails(tokens: Tokens, outside: np.ndarray) -> pa.ListArray:
     """Per text its words outside the head with their times."""
-    out: list[dict[bytes, int]] = [{} for _ in tokens.sizes]
     which = np.flatnonzero(outside)
     rows = np.searchsorted(tokens.starts, which, side="right") - 1
-    for row, word in zip(rows.tolist(), map(tokens.word, which.tolist())):
-        out[row][word] = out[row].get(word, 0) + 1
-    return [[{"word": w.decode(), "n": n} for w, n in times.items()] for times in out]
-
-
-def _columns(values: list, kinds: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names)
+    order = np.lexsort((tokens.hashes[which], rows))
+    which, rows = which[order], rows[order]
+    hashes = tokens.hashes[which]
+    new = np.ones(len(which), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(which)))
+    words = pa.StructArray.from_arrays(
+        [tokens.written(which[first]), pa.array(times, pa.int64())], ["word", "n"]
+    )
+    ends = np.searchsorted(rows[first], np.arange(len(tokens.sizes) + 1))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words)
