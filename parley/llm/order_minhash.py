@@ -7,15 +7,15 @@ survives only where both the content and its order do.  Documents that share one
 ``BANDS`` elements are candidates; a pair is accepted if an alignment of the words of
 the whole texts matches at least ``THRESHOLD`` of the longer one's words in order.
 
-Equal texts are first folded into one.  Within a bucket of equal elements the candidates
-are compared with the bucket's first and last member, not with each other, which joins
-groups of copies of any size.  In a bucket that then holds up to ``CLASSES`` classes, one
-member of each class is compared with all members of the others.  A bucket of more
-classes stands for a passage that unlike texts share: the texts in such buckets are
-sketched again without the shingles that more than ``CLASSES`` of their classes have, so
-no bucket of the second sketch holds more classes than that.  The number of compared
-pairs thus grows with the number of texts, not with the square of any group.  Classes
-are the connected components of the accepted pairs.
+Equal texts are first folded into one.  Every candidate is compared with the first and
+the last member of its bucket, which joins groups of copies of any size.  Then every pair
+of a bucket whose texts are still of two classes is looked at, in blocks of up to
+``CLASSES`` members: it is compared unless its lengths, or the words that the texts can
+have in common, keep it below the threshold.  What texts can have in common is read off
+bit sets of their words, which never say less than there is, so no pair is lost.  The best
+pair of each two classes is compared first, and then the pairs whose classes that has not
+joined.  Classes are thus the connected components of all candidates that align.  Only
+bit sets meet in the square of a bucket's size, and a task holds two blocks at a time.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import SALTS, look_up, stored
+from parley.llm.common import SALTS, stored
 from parley.session import spread
 
 SHINGLE = 5
@@ -39,8 +39,13 @@ THRESHOLD = 0.8
 SAMPLE = 64
 PICKED = 3
 BANDS = 40
-#: Classes of a bucket up to which all of them are compared.
-CLASSES = 32
+#: Members of a bucket's block; classes of larger buckets are looked at block by block.
+CLASSES = 512
+#: Bytes of bit sets of a block, for which blocks of long texts have fewer members.
+BLOCK_BYTES = 4 << 20
+#: Lengths whose logarithms to this base have equal floors are of one group; texts of
+#: groups that are no neighbours are too unlike in length.
+LENGTHS = 1.26
 #: Words of one text that are aligned at a time.
 BLOCK = 1024
 
@@ -67,8 +72,7 @@ class Shingler:
     def words(self, text: str | None) -> list[bytes]:
         return (text or "").lower().encode("utf-8", "replace").split()
 
-    def shingles(self, words: list[bytes]) -> np.ndarray:
-        """Hash of each run of five words; shorter texts are one shingle."""
+    def hashes(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > self.most:
             self.known.clear()
         found = list(map(self.known.get, words))
@@ -76,7 +80,11 @@ class Shingler:
             for i, value in enumerate(found):
                 if value is None:
                     found[i] = self.known[words[i]] = xxhash.xxh3_64_intdigest(words[i])
-        hashes = np.array(found, np.uint64)
+        return np.array(found, np.uint64)
+
+    def shingles(self, words: list[bytes]) -> np.ndarray:
+        """Hash of each run of five words; shorter texts are one shingle."""
+        hashes = self.hashes(words)
         size = min(SHINGLE, len(hashes))
         if not size:
             return hashes
@@ -87,16 +95,29 @@ class Shingler:
 
     def labelled(self, words: list[bytes]) -> np.ndarray:
         """Shingles told apart by their occurrence number."""
-        plain = self.shingles(words)
-        order = np.argsort(plain, kind="stable")
-        runs = plain[order]
-        first = np.r_[True, runs[1:] != runs[:-1]] if len(runs) else np.zeros(0, bool)
-        if first.all():
-            return plain
-        start = np.maximum.accumulate(np.where(first, np.arange(len(runs)), 0))
-        number = np.empty(len(runs), np.uint64)
-        number[order] = (np.arange(len(runs)) - start).astype(np.uint64)
-        return _mix(plain + number * _M1)
+        return numbered(self.shingles(words))
+
+    def bit_set(self, words: list[bytes]) -> np.ndarray:
+        """A bit for each word, told apart by its occurrence number; halves as sets fold."""
+        width = max(64, 1 << (8 * len(words) - 1).bit_length())
+        places = numbered(self.hashes(words)) & np.uint64(width - 1)
+        bits = np.zeros(width, np.uint8)
+        bits[places.astype(np.int64)] = 1
+        return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
+def numbered(plain: np.ndarray) -> np.ndarray:
+    """Hashes told apart by their occurrence number."""
+    order = np.argsort(plain, kind="stable")
+    runs = plain[order]
+    first = np.r_[True, runs[1:] != runs[:-1]] if len(runs) else np.zeros(0, bool)
+    if first.all():
+        return plain
+    start = np.maximum.accumulate(np.where(first, np.arange(len(runs)), 0))
+    number = np.empty(len(runs), np.uint64)
+    number[order] = (np.arange(len(runs)) - start).astype(np.uint64)
+    # first ones keep their hashes, so that a text without repeats is labelled like any other
+    return np.where(number > 0, _mix(plain + number * _M1), plain)
 
 
 def sampled(shingles: np.ndarray) -> np.ndarray:
@@ -179,7 +200,7 @@ def aligned(a: list, b: list, threshold: float = THRESHOLD) -> float:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """uid, row (all columns but text), text, fp of the words, n words, sample, bands."""
+    """uid, row (all columns but text), text, fp of the words, n words, bands."""
     others = [c for c in docs.columns if c != "text"]
     inner = docs.select(F.struct(*others).alias("row"), "text")
 
@@ -187,30 +208,27 @@ def _sketched(docs: DataFrame) -> DataFrame:
         tool = Shingler()
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            prints, sizes, samples, keys = [], [], [], []
+            prints, sizes, keys = [], [], []
             for text in batch.column(1).to_pylist():
                 words = tool.words(text)
                 if not words:
                     prints.append(None)
                     sizes.append(0)
-                    samples.append([])
                     keys.append([])
                     continue
-                shingles = sampled(tool.labelled(words))
                 prints.append(xxhash.xxh3_128_digest(b" ".join(words)))
                 sizes.append(len(words))
-                samples.append(shingles.view(np.int64))
-                keys.append(bands(shingles))
+                keys.append(bands(sampled(tool.labelled(words))))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(uid, uid + len(sizes)), pa.int64()), batch.column(0), batch.column(1),
                  pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()),
-                 pa.array(samples, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                ["uid", "row", "text", "fp", "n", "sample", "bands"],
+                 pa.array(keys, pa.list_(pa.int64()))],
+                ["uid", "row", "text", "fp", "n", "bands"],
             )
             uid += len(sizes)
 
     kind = inner.schema["row"].dataType.simpleString()
-    schema = f"uid long, row {kind}, text string, fp binary, n long, sample array<bigint>, bands array<bigint>"
+    schema = f"uid long, row {kind}, text string, fp binary, n long, bands array<bigint>"
     return inner.mapInArrow(run, schema)
 
 
@@ -238,29 +256,34 @@ def _accepted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp, the smallest node it is connected with, for all nodes of edges."""
-    both = stored(
-        edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        "edges",
-    )
-    labels = stored(
-        both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels"
-    )
-    while True:
-        near = (
-            both.join(labels, both["b"] == labels["node"])
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("comp").alias("near"))
-        )
-        lower = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        new = lower.join(jump, "low", "left").select(
-            "node", F.least("low", F.coalesce("far", "low")).alias("comp"), (F.col("comp") > F.col("low")).alias("moved")
-        )
-        new = stored(new, "labels")
-        labels = new.select("node", "comp")
-        if new.where("moved").limit(1).count() == 0:
-            return labels
+    """node and comp, the node that stands for all it is connected with, for all nodes of edges.
+
+    Each round every node joins the first of its neighbours and itself, in an order drawn
+    anew, and the edges are laid between those that nodes have joined.  Fewer nodes and
+    edges are left each time, also of chains and stars.
+    """
+    edges = stored(edges.select("a", "b").where("a != b").distinct(), "edges")
+    labels: DataFrame | None = None
+    turn = 0
+    while labels is None or edges.limit(1).count():
+        order = [F.struct(F.xxhash64(n, F.lit(turn)).alias("place"), F.col(n).alias("node")) for n in ("a", "b")]
+        first = F.least(*order)
+        ends = edges.select(F.explode(F.array("a", "b")).alias("node"), first.alias("first"))
+        joined = ends.groupBy("node").agg(F.min("first").alias("first"))
+        joined = stored(joined.select("node", F.col("first.node").alias("into")), "joined")
+        if labels is None:
+            labels = joined.withColumnRenamed("into", "comp")
+        else:
+            named = joined.select(F.col("node").alias("comp"), "into")
+            labels = stored(
+                labels.join(named, "comp", "left").select("node", F.coalesce("into", "comp").alias("comp")), "labels"
+            )
+        near, far = (joined.select(F.col("node").alias(n), F.col("into").alias(f"into_{n}")) for n in ("a", "b"))
+        laid = edges.join(near, "a").join(far, "b").where("into_a != into_b")
+        low, high = F.least("into_a", "into_b"), F.greatest("into_a", "into_b")
+        edges = stored(laid.select(low.alias("a"), high.alias("b")).distinct(), "edges")
+        turn += 1
+    return labels
 
 
 def merged(comps: DataFrame | None, edges: DataFrame) -> DataFrame:
@@ -307,53 +330,161 @@ def _pairs_with_ends(members: DataFrame) -> DataFrame:
     return _sized(joined.select(F.col("end.uid").alias("a"), F.col("uid").alias("b"), F.col("end.n").alias("na"), F.col("n").alias("nb")))
 
 
-def _firsts(members: DataFrame) -> DataFrame:
-    """The first member of each class in each bucket."""
-    first = members.groupBy("key", "comp").agg(F.min(F.struct("uid", "n")).alias("first"))
-    return first.select("key", F.col("first.uid").alias("a"), F.col("first.n").alias("na"), F.col("comp").alias("of"))
-
-
-def _pairs_of_classes(members: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The first member of each class in a bucket with all members of its other classes."""
-    joined = _met(members.select("key", "uid", "n", "comp"), firsts).where(F.col("of") != F.col("comp"))
-    return _sized(joined.select("a", F.col("uid").alias("b"), "na", F.col("n").alias("nb")))
-
-
 def _of_several(listed: DataFrame) -> DataFrame:
     """The rows of ``listed`` whose key another row has too."""
     shared = listed.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
     return _met(listed, shared)
 
 
-def _own_bands(texts: DataFrame) -> DataFrame:
-    """uid, n and keys of texts sketched without the shingles that many of their classes have.
+def _bit_sets(texts: DataFrame) -> DataFrame:
+    """uid and bits of texts' words."""
+
+    def run(batches):
+        tool = Shingler()
+        for batch in batches:
+            sets = [tool.bit_set(tool.words(text)).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["uid", "bits"])
+
+    return texts.select("uid", "text").mapInArrow(run, "uid long, bits binary")
+
 
-    ``texts`` has uid, n, comp and sample.
+def alike(a: dict, b: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in a and b, and the share of words in common at most, of pairs that may align.
+
+    Both hold arrays n (words) and bits (one width).  Each matched word has a bit of its
+    own in both sets or shares one with words of its text, which are as many as the text
+    has words beyond its bits.
+    """
+    ones = [np.bitwise_count(x["bits"]).sum(1, dtype=np.int64) for x in (a, b)]
+    spare_a, spare_b = a["n"] - ones[0], b["n"] - ones[1]
+    step = max(1, BLOCK_BYTES // max(1, b["bits"].nbytes))
+    found = []
+    for at in range(0, len(a["n"]), step):
+        part = slice(at, at + step)
+        size = np.maximum(a["n"][part, None], b["n"][None, :])
+        common = np.bitwise_count(a["bits"][part, None, :] & b["bits"][None, :, :]).sum(2, dtype=np.int64)
+        common += np.minimum(spare_a[part, None], spare_b[None, :])
+        common = np.minimum(common, np.minimum(a["n"][part, None], b["n"][None, :]))
+        i, j = np.nonzero(common >= THRESHOLD * size)
+        found.append((i + at, j, common[i, j] / size[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _folded(rows: dict, where: np.ndarray, width: int) -> dict:
+    """The rows at ``where`` with sets of ``width`` 64-bit numbers."""
+    bits = np.frombuffer(b"".join(rows["bits"][i] for i in where), np.uint64).reshape(len(where), -1)
+    if bits.shape[1] > width:
+        bits = bits[:, :width] | bits[:, width:]
+    return {"n": rows["n"][where], "bits": bits}
+
+
+def _of_group(rows: dict, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """uids of the pairs of a group that may align and are of two classes.
+
+    Rows of side 1, if any, are only paired with those of side 0.  With ``best``, one
+    pair of each two classes.
     """
-    each = texts.select("uid", "comp", F.explode("sample").alias("shingle"))
-    often = each.groupBy("shingle").count().where(F.col("count") > CLASSES).select("shingle")
-    met = stored(look_up(each, stored(often, "often"), ["shingle"], F.col("uid"), "inner"), "often-met")
-    common = (
-        met.select("shingle", "comp").distinct().groupBy("shingle").count().where(F.col("count") > CLASSES)
-    ).select("shingle")
-    left_out = (
-        look_up(met, stored(common, "common"), ["shingle"], F.col("uid"), "inner")
-        .groupBy("uid")
-        .agg(F.collect_list("shingle").alias("common"))
+    uid, comp, side = rows["uid"], rows["comp"], rows["side"]
+    width = np.array([len(x) // 8 for x in rows["bits"]])
+    two = side.any()
+    places = [[], [], []]
+    for low in np.unique(width):
+        for high in (low, 2 * low):  # sets differ more only where lengths do
+            for first, second in {(low, high), (high, low)}:
+                one = np.flatnonzero((width == first) & (side == 0))
+                other = np.flatnonzero((width == second) & (side == int(two)))
+                if not len(one) or not len(other) or (not two and first > second):
+                    continue
+                i, j, share = alike(_folded(rows, one, low), _folded(rows, other, low))
+                i, j = one[i], other[j]
+                good = comp[i] != comp[j]
+                if not two and first == second:
+                    good &= i < j
+                for place, x in zip(places, (i, j, share)):
+                    place.append(x[good])
+    i, j, share = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in places)
+    if best and len(i):
+        ends = np.sort(np.stack([comp[i], comp[j]]), axis=0)
+        order = np.lexsort((uid[j], uid[i], -share, ends[1], ends[0]))
+        runs = ends[:, order]
+        chosen = order[np.r_[True, (runs[:, 1:] != runs[:, :-1]).any(0)]]
+        i, j = i[chosen], j[chosen]
+    return np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])
+
+
+def _groups(members: DataFrame) -> DataFrame:
+    """Members with the groups in which all pairs of a bucket meet, lengths allowing.
+
+    A bucket of up to ``CLASSES`` members is one group.  Members of a larger one are cut
+    into blocks by length, and a group is a block, or two of lengths alike.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    mixed = stored(sizes.where("low != high").select("key", "size"), "mixed")
+    members = _met(members.select("key", "uid", "n", "comp"), mixed)
+    small = members.where(F.col("size") <= CLASSES).select(
+        "key", "uid", "n", "comp", F.array(F.struct(*(F.lit(0).alias(x) for x in ("len", "i", "upper", "j", "side")))).alias("groups")
     )
-    rest = texts.join(left_out, "uid", "left").select(
-        "uid", "n", F.filter("sample", lambda x: ~F.coalesce(F.array_contains("common", x), F.lit(False))).alias("own")
+    length = F.floor(F.log("n") / F.log(F.lit(LENGTHS))).cast("int")
+    large = members.where(F.col("size") > CLASSES).select("key", "uid", "n", "comp", length.alias("len"))
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(CLASSES)), BLOCK_BYTES / (2 * F.pow(F.lit(LENGTHS), F.col("len") + 1))))
+    lengths = large.groupBy("key", "len").agg(F.count("*").alias("rows"))
+    lengths = stored(lengths.select("key", "len", F.ceil(F.col("rows") / most).cast("int").alias("blocks")), "blocks")
+    around = lengths
+    for name, by in (("below", 1), ("above", -1)):
+        near = lengths.select("key", (F.col("len") + by).alias("len"), F.col("blocks").alias(name))
+        around = around.join(near, ["key", "len"], "left")
+    around = stored(around.fillna(0), "blocks")
+    blocks = F.col("blocks")
+    placed = large.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(
+        around.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "len", "salt"]
+    ).withColumn("i", F.pmod(F.xxhash64("uid"), blocks).cast("int"))
+    own = F.col("i")
+
+    def up_to(count: str, group) -> F.Column:
+        numbers = F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda j: F.struct(*(x.cast("int").alias(n) for n, x in zip(("len", "i", "upper", "j", "side"), group(j)))))
+
+    level = F.col("len")
+    groups = F.concat(
+        up_to("blocks", lambda j: (level, F.least(own, j), level, F.greatest(own, j), (own > j))),
+        up_to("above", lambda j: (level, own, level + 1, j, F.lit(0))),
+        up_to("below", lambda j: (level - 1, j, level, own, F.lit(1))),
     )
+    return small.unionByName(placed.select("key", "uid", "n", "comp", groups.alias("groups")))
+
+
+def _may_align(members: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """The pairs (a, b) of two classes that share a bucket and may align.
+
+    ``members`` has key, uid, n and comp, ``sets`` the bits of their texts.
+    """
+    listed = _groups(members).join(sets, "uid").select("key", "uid", "n", "comp", "bits", F.explode("groups").alias("group"))
+    place = F.xxhash64("key", "group.len", "group.i", "group.upper", "group.j")
+    rows = listed.select("key", place.alias("group"), "uid", "n", "comp", F.col("group.side").alias("side"), "bits")
 
     def run(batches):
-        for batch in batches:
-            keys = [bands(np.array(own, np.int64).view(np.uint64)) for own in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["uid", "n", "bands"]
-            )
+        held, now = [], None
+
+        def pairs():
+            columns = {n: np.concatenate([x.column(n).to_numpy(zero_copy_only=False) for x in held]) for n in ("uid", "n", "comp", "side", "bits")}
+            a, b = _of_group(columns, best)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    sketches = rest.mapInArrow(run, "uid long, n long, bands array<bigint>")
-    return sketches.select("uid", "n", F.explode("bands").alias("key"))
+        for batch in batches:
+            keys = np.stack([batch.column(x).to_numpy() for x in ("key", "group")])
+            starts = np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(0)]) if batch.num_rows else []
+            for start, end in zip(starts, [*starts[1:], batch.num_rows]):
+                at = tuple(keys[:, start])
+                if at != now and held:
+                    yield pairs()
+                    held = []
+                now = at
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield pairs()
+
+    dealt = rows.repartition("key", "group").sortWithinPartitions("key", "group")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -369,10 +500,8 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = stored(_sketched(spread(docs)), "sketches")
     worded = table.where("fp is not null")
     folded = stored(worded.groupBy("fp").agg(F.min("uid").alias("uid")), "texts")
-    distinct = stored(
-        table.select("uid", "n", "sample", "bands").join(folded.select("uid"), "uid", "leftsemi"), "distinct"
-    )
     texts = table.select("uid", "text")
+    distinct = table.select("uid", "n", "bands").join(folded.select("uid"), "uid", "leftsemi")
     listed = distinct.select("uid", "n", F.explode("bands").alias("key"))
     # only buckets of several texts take part in the rounds
     crowded = stored(_of_several(listed), "buckets")
@@ -391,17 +520,10 @@ def classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             comps = merged(comps, new.where("good"))
 
     compare(_pairs_with_ends(crowded))
-    members = stored(_with_comp(crowded, comps), "members")
-    firsts = stored(_firsts(members), "firsts")
-    counts = firsts.groupBy("key").count()
-    few = counts.where((F.col("count") > 1) & (F.col("count") <= CLASSES)).select("key")
-    many = counts.where(F.col("count") > CLASSES).select("key")
-    sharing = _met(members.select("key", "uid"), many).select("uid").distinct()
-    compare(_pairs_of_classes(members, firsts.join(few, "key")))
-    sharing = stored(_with_comp(distinct.select("uid", "n", "sample").join(sharing, "uid", "leftsemi"), comps), "sharing")
-    again = stored(_own_bands(sharing), "own-bands")
-    members = stored(_with_comp(_of_several(again), comps), "members")
-    compare(_pairs_of_classes(members, _firsts(members)))
+    sets = stored(_bit_sets(compared), "bits")
+    for best in (True, False):
+        members = stored(_with_comp(crowded, comps), "members")
+        compare(stored(_may_align(members, sets, best), "pairs"))
     whole = folded.join(comps.withColumnRenamed("node", "uid"), "uid", "left").select(
         "fp", F.coalesce("comp", "uid").alias("class")
     )

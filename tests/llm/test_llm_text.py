@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -421,6 +422,68 @@ def test_texts_that_share_a_passage(spark, monkeypatch):
     assert sum(made) < 12 * len(docs)
 
 
+def test_links_of_large_buckets_are_not_lost(spark, monkeypatch):
+    """In buckets of many classes, texts are linked that are near no other member, and classes
+    by members that are not their first."""
+    monkeypatch.setattr(order_minhash, "CLASSES", 8)
+    rng = random.Random(13)
+    fresh = (f"w{i}" for i in range(10**6))
+    passage = [next(fresh) for _ in range(70)]
+    docs = []
+    for k in range(60):
+        own = [next(fresh) for _ in range(30)]
+        docs.append(" ".join(passage + own))
+        if k % 6 == 0:  # a chain: neighbours have 82 of 100 words in common, others 70
+            for _ in range(3):
+                own = own[18:] + [next(fresh) for _ in range(18)]
+                docs.append(" ".join(passage + own))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    want = plain_classes(docs)
+    assert 10 <= sum(len(c) > 1 for c in want)
+    assert classes_of(spark, docs) == want
+
+
+def test_words_in_common_are_never_understated():
+    rng = random.Random(14)
+    tool = order_minhash.Shingler()
+    texts = []
+    for _ in range(60):
+        vocabulary = [f"v{i}".encode() for i in range(rng.choice([2, 20, 400]))]
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(1, 300))]
+        texts += [words, edited(words, rng.uniform(0, 0.2), rng, vocabulary) or words]
+    rows = {
+        "uid": np.arange(len(texts)), "comp": np.arange(len(texts)), "side": np.zeros(len(texts), int),
+        "n": np.array([len(t) for t in texts]),
+        "bits": np.array([tool.bit_set(t).tobytes() for t in texts], object),
+    }
+    got = set(zip(*(x.tolist() for x in order_minhash._of_group(rows, best=False))))
+    pairs = {(i, j) for j in range(len(texts)) for i in range(j)}
+    near = {(i, j) for i, j in pairs if order_minhash.aligned(texts[i], texts[j]) >= 0.8}
+    assert len(near) >= 40 and near <= got and len(got) < len(pairs) / 4
+    rows["side"] = np.arange(len(texts)) % 2
+    crossed = set(zip(*(x.tolist() for x in order_minhash._of_group(rows, best=False))))
+    assert crossed == {(i, j) for i, j in got if (i + j) % 2}
+
+
+def test_repeated_shingle_changes_one_label_only():
+    words = [f"a{i}".encode() for i in range(50)]
+    tool = order_minhash.Shingler()
+    again = tool.labelled(words + words[:5])
+    assert set(tool.labelled(words)) <= set(again) and len(set(again)) == len(again)
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    star = [(100, i) for i in range(101, 140)] + [(200, 201), (300, 300)]
+    edges = spark.createDataFrame([*chain, *star, *star], "a long, b long")
+    got = {}
+    for row in order_minhash.components(edges).collect():
+        got.setdefault(row["comp"], set()).add(row["node"])
+    assert sorted(map(sorted, got.values())) == [list(range(41)), list(range(100, 140)), [200, 201]]
+    assert all(comp in nodes for comp, nodes in got.items())
+
+
 def test_large_group_of_edited_copies(spark):
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(900)]
