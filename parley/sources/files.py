@@ -110,5 +110,13 @@ class Store:
         found = self._fs.globStatus(pattern) or []
         return sorted(item.getPath().toString() for item in found if item.isFile())
 
+    def folders(self) -> list[str]:
+        """The folder, or the folders of the glob; none where there are files or hidden folders among them."""
+        found = self._fs.globStatus(self._path("")) or []
+        hidden = any(item.getPath().getName()[:1] in ("_", ".") for item in found)
+        if hidden or not all(item.isDirectory() for item in found):
+            return []
+        return sorted(item.getPath().toString() for item in found)
+
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

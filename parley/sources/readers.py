@@ -6,6 +6,7 @@ import csv
 from collections.abc import Iterable
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,35 +144,83 @@ def unlisted_files(spark: SparkSession, folder: str) -> list[str]:
     return Store(spark, folder).hidden_files(".txt")
 
 
-def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path`` and ``content`` of named files, whatever their names, read where they are dealt to."""
+def _known_to_arrow(folder: str) -> bool:
+    try:
+        store, place = growing.opened(folder)
+        return store.get_file_info(place).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
+def files_of(spark: SparkSession, folders: list[str], suffix: str) -> DataFrame:
+    """``path`` of the files directly in folders, whatever their names, and of the not hidden ones in
+    ``key=value`` folders below; each folder is listed by a task and nothing on the driver."""
+
+    def list_(batches):
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                store, place = growing.opened(folder)
+                waiting = [place]
+                while waiting:
+                    inside = waiting.pop()
+                    paths = []
+                    for item in store.get_file_info(fs.FileSelector(inside)):
+                        name = item.base_name
+                        hidden = inside != place and name[0] in "_."
+                        if item.type == fs.FileType.File and name.endswith(suffix) and not hidden:
+                            paths.append(folder.rstrip("/") + item.path.removeprefix(place.rstrip("/")))
+                        elif item.type == fs.FileType.Directory and "=" in name and name[0] not in "_.":
+                            waiting.append(item.path)
+                    yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
+
+    named = spark.createDataFrame([(folder,) for folder in folders], "folder STRING")
+    tasks = min(len(folders), 4 * spark.sparkContext.defaultParallelism)
+    return named.repartition(tasks).mapInArrow(list_, "path STRING")
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """``path`` and ``content`` of named files, read where they are dealt to."""
 
     def read(batches):
         for batch in batches:
+            held, size = {"path": [], "content": []}, 0
             for path in batch.column(0).to_pylist():
                 store, place = growing.opened(path)
                 with store.open_input_stream(place) as source:
                     content = source.read()
-                yield pa.RecordBatch.from_pydict({"path": [path], "content": [content]})
+                held["path"].append(path)
+                held["content"].append(content)
+                size += len(content)
+                if size >= growing.READ_BYTES:
+                    yield pa.RecordBatch.from_pydict(held)
+                    held, size = {"path": [], "content": []}, 0
+            if held["path"]:
+                yield pa.RecordBatch.from_pydict(held)
 
-    named = spark.createDataFrame([(path,) for path in paths], "path STRING")
-    tasks = min(len(paths), 4 * spark.sparkContext.defaultParallelism)
-    return named.repartition(tasks).mapInArrow(read, "path STRING, content BINARY")
+    spark = paths.sparkSession
+    # by number, as a table of names is small enough to be joined up for one task
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return paths.repartition(tasks, "path").mapInArrow(read, "path STRING, content BINARY")
 
 
 def read_text_folder(spark: SparkSession, folder: str, ordered: bool = False) -> DataFrame:
     """``*.txt`` files as ``path``, ``name``, ``content``; null content if not UTF-8.
 
-    ``folder`` may be a glob of folders.  One file is one row, as large as a row may be.  Names that
-    start ``_`` or ``.`` are no part of Spark's listing; they are found by a glob of their own on
-    the driver, a name each, and read by tasks: few of the files should have such names.
+    ``folder`` may be a glob of folders.  One file is one row, as large as a row may be.  The
+    driver only learns the names of the folders; their files are listed and read by tasks, those
+    whose names start ``_`` or ``.`` as well.  On a store that Arrow does not know Spark lists the
+    files on the driver, and such names by a glob of their own.
     ``ordered`` sorts by path (a range shuffle of the texts; leave it off where order does not
     matter).
     """
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
-    raw = reader.load(folder).select("path", "content")
-    if paths := unlisted_files(spark, folder):
-        raw = raw.unionByName(read_files(spark, paths))
+    folders = Store(spark, folder).folders()
+    if folders and _known_to_arrow(folders[0]):
+        raw = read_files(files_of(spark, folders, ".txt"))
+    else:
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt")
+        raw = reader.load(folder).select("path", "content")
+        if paths := unlisted_files(spark, folder):
+            raw = raw.unionByName(read_files(spark.createDataFrame([(path,) for path in paths], "path STRING")))
     text = F.col("content").cast("string")
     rows = raw.orderBy("path") if ordered else raw
     return rows.select(

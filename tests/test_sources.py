@@ -163,6 +163,22 @@ def test_names_that_spark_does_not_list_are_read(spark, tmp_path):
     assert len(readers.unlisted_files(spark, f"{tmp_path}/*")) == 4
 
 
+def test_files_of_folders_are_not_listed_on_the_driver(spark, tmp_path):
+    names = {f"{k:02d}/{mark}{i}.txt" for k in range(40) for i, mark in enumerate(["", "_", ".", "é %+"])}
+    for name in names:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "00" / "deep").mkdir()
+    (tmp_path / "00" / "deep" / "no.txt").write_text("no")
+    read = readers.read_text_folder(spark, f"{tmp_path}/*")
+    assert read.inputFiles() == []  # no file index, which holds every file on the driver
+    rows = read.collect()
+    assert len(rows) == len(names) and {r.content for r in rows} == names
+    assert all(r.path == f"file:{tmp_path}/{r.content}" and r.path.endswith("/" + r.name) for r in rows)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        readers.read_text_folder(spark, f"{tmp_path}/none").collect()
+
+
 def test_one_array_file(spark, tmp_path):
     frame = spark.range(900).selectExpr("id", "concat('q ', id, ' é\n') input", "if(id % 7 = 0, NULL, 'a}') output")
     path = f"{tmp_path}/out/pairs.json"
