@@ -38,6 +38,20 @@ def test_both_kernels_equal_the_definition(tokens):
         assert by_search == repetition.hits_by_index(tokens, pairs, triples)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab\u00e9\U0001f642", min_size=1, max_size=5), min_size=4, max_size=60))
+def test_no_recurring_pair_is_left_out(tokens):
+    """Texts are only searched for few pairs, those that may recur at all."""
+    pairs, joined = len(tokens) - 3, " ".join(tokens)
+    recur = {i for i in range(pairs) if " ".join(tokens[i : i + 2]) in " ".join(tokens[i + 2 :])}
+    assert recur <= set(repetition.met_again(joined, pairs))
+
+
+def test_few_pairs_of_a_long_text_are_searched_for():
+    tokens = [f"{i % 91}word{i % 1009}x" for i in range(3000)] + ["again", "and", "again", "and"]
+    assert len(repetition.met_again(" ".join(tokens), len(tokens) - 3)) < 300
+
+
 def test_long_text_takes_the_index(spark):
     tokens = [f"w{(i * i) % 977}x{i % 13}" for i in range(repetition.LONG_TEXT_WORDS + 300)]
     text = " ".join(tokens)
