@@ -3,16 +3,19 @@
 Tokens.  A chunk's bytes are cut and hashed as arrays: a word's hash is a polynomial in
 its bytes, modulo 2**64, so no word becomes a Python object unless it is written.
 
-Counting.  Tasks count the hashes of words and word pairs of their training documents
-in chunks and send the hashes, dealt by their leading bits into segments of bounded
+Chunks.  The documents are written once as packed chunks of about ``CHUNK_BYTES`` of text,
+which all later steps read.
+
+Counting.  Tasks count the hashes of words and word pairs of their chunks' training documents
+and send the hashes, dealt by their leading bits into segments of bounded
 size; a chunk sends rows to the segments it has n-grams of only.  A segment adds up its counts and inserts each n-gram once per level
 ``1 .. 1 + floor(log2(count))`` into a Bloom filter of its own.  The number of segments
 follows the number of training tokens, so no task ever holds more than about
 ``SEGMENT_TOKENS`` n-grams.
 
-Scoring.  The segments are broadcast, about ``PASS_BYTES`` at a time: a larger filter
-takes several passes over equal runs of segments, each of which fills in the levels of
-the n-grams in its segments.  A chunk looks up each of its n-grams once.
+Scoring.  N-grams of held-out documents are dealt to the segments too, and a segment looks up
+each n-gram that it was sent once, ``PASS_BYTES`` of hashes at a time, and answers every chunk.
+So no filter is broadcast and no text is read once per part of the filter, however large that is.
 An n-gram's level is found by probing level after level until one is missing; its
 count is then the mean count of the level.  A pair's probability is the interpolation of
 pair and word estimates.
@@ -40,17 +43,18 @@ ALPHA = 0.1
 PAIR_WEIGHT = 0.3
 HEAD = 150_000
 SEGMENT_TOKENS = 2 << 20
-#: Bytes of text (or one text) that are scored, and counted, at a time.
-SCORE_BYTES, COUNT_BYTES, WORD_BYTES = 3 << 19, 4 << 20, 8 << 20
+#: Bytes of text (or one text) that are counted, and scored, at a time.
+CHUNK_BYTES = 2 << 20
 #: Bytes hashed at a time (or one word).
 BLOCK = 1 << 19
-PASS_BYTES = 160 << 20
+#: Bytes of hashes that are put into a filter, or looked up, at a time.
+PASS_BYTES = 1 << 19
 #: Bits per inserted level, and probes for each.
 BITS, PROBES = 10, 4
+CODEC = "zstd"
 #: No word contains white space, so these stand for the end and the beginning.
 END, BEGIN = b"\n", b"\t"
 LEVELS = 64
-UNKNOWN = 255
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _S = [np.uint64(x) for x in (30, 27, 31)]
@@ -145,8 +149,8 @@ class Tokens:
         return pa.StringArray.from_buffers(len(which), buffers[1], buffers[2])
 
 
-def chunks(texts: pa.Array, size: int):
-    """First row and tokens of runs of texts with about ``size`` bytes, or one text; null is the empty text."""
+def runs(texts: pa.Array, size: int):
+    """First row, bytes and offsets of runs of texts with about ``size`` bytes, or one text; null is the empty text."""
     texts = texts.fill_null("")
     kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     _, places, content = texts.buffers()
@@ -158,13 +162,51 @@ def chunks(texts: pa.Array, size: int):
     while begin < len(texts):
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1)
         end = min(end, len(texts))
-        yield begin, Tokens(data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin])
+        yield begin, data[offsets[begin] : offsets[end]], offsets[begin : end + 1] - offsets[begin]
         begin = end
 
 
-def learned(batch: pa.RecordBatch) -> pa.Array:
-    """Texts of the batch's training documents."""
-    return batch.column(1).filter(pa.array([not is_held_out(i) for i in batch.column(0).to_pylist()], pa.bool_()))
+def chunks(texts: pa.Array, size: int):
+    """First row and tokens of runs of texts."""
+    for begin, data, offsets in runs(texts, size):
+        yield begin, Tokens(data, offsets)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """One row per chunk: uid of its first document, doc_ids, which are learned, sizes in bytes, and the texts."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def pack(batches):
+        uid = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            ids, texts = batch.columns
+            for begin, data, offsets in runs(texts, CHUNK_BYTES):
+                n = len(offsets) - 1
+                own = ids.slice(begin, n)
+                learned = bytes(not is_held_out(i) for i in own.to_pylist())
+                text = pa.compress(data.tobytes(), codec=CODEC, asbytes=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([uid]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), own),
+                     *(pa.array([x], pa.binary()) for x in (learned, np.diff(offsets).tobytes(), text))],
+                    ["chunk", "doc_ids", "learned", "sizes", "text"],
+                )
+                uid += n
+
+    return docs.select("doc_id", "text").mapInArrow(
+        pack, f"chunk long, doc_ids array<{kind}>, learned binary, sizes binary, text binary"
+    )
+
+
+def unpacked(learned: pa.Scalar, sizes: pa.Scalar, text: pa.Scalar, only_learned: bool = False) -> tuple[Tokens, np.ndarray]:
+    """Tokens of a chunk, or of its training documents, and whether each token is learned."""
+    learned, sizes = np.frombuffer(learned.as_py(), bool), np.frombuffer(sizes.as_py(), np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    data = np.frombuffer(pa.decompress(text.as_buffer(), int(offsets[-1]), codec=CODEC), np.uint8)
+    if only_learned and not learned.all():
+        data, sizes, learned = data[np.repeat(learned, sizes)], sizes[learned], learned[learned]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+    tokens = Tokens(data, offsets)
+    return tokens, np.repeat(learned, tokens.sizes)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -194,52 +236,93 @@ def single_of(hashes: np.ndarray) -> np.ndarray:
         return mix(hashes ^ _M3)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word and its count c in the training documents."""
+def word_counts(packs: DataFrame) -> DataFrame:
+    """word and its count c in the training documents of the chunks."""
 
     def count(batches):
         for batch in batches:
-            for _, tokens in chunks(learned(batch), WORD_BYTES):
+            for row in zip(*batch.columns):
+                tokens, _ = unpacked(*row, only_learned=True)
                 _, first, times = np.unique(tokens.hashes, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([tokens.written(first), pa.array(times, pa.int64())], ["word", "c"])
 
-    counted = docs.select("doc_id", "text").mapInArrow(count, "word string, c long")
+    counted = packs.select("learned", "sizes", "text").mapInArrow(count, "word string, c long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _blobs(docs: DataFrame, bits: int) -> DataFrame:
-    """Per chunk and segment the n-gram hashes met once, and those met more often."""
+def grams(hashes: np.ndarray, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, how often each is learned, and which of them each given one is."""
+    order = np.argsort(hashes)
+    ranked = hashes[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    first = np.flatnonzero(new)
+    which = np.empty(len(ranked), np.int64)
+    which[order] = np.cumsum(new) - 1
+    times = np.add.reduceat(learned[order].astype(np.int64), first) if len(first) else first
+    return ranked[first], times, which
+
+
+def chunk_grams(tokens: Tokens, learned: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``grams`` of the words, as n-grams of their own, and of the pairs of a chunk."""
+    words, times, at = grams(tokens.hashes, learned)
+    single = single_of(words)
+    order = np.argsort(single)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [(single[order], times[order], rank[at]), grams(pairs_of(tokens.hashes, tokens.starts), learned)]
+
+
+#: Binary columns of n-gram hashes by kind, learned once or otherwise, and counts of the latter.
+_HASHES, _TIMES = ["once1", "more1", "once2", "more2"], ["times1", "times2"]
+
+
+def _binaries(values: np.ndarray, edges: np.ndarray) -> pa.BinaryArray:
+    """Runs of values between edges, as binaries."""
+    places = (edges * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(edges) - 1, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(values))]
+    )
+
+
+def _joined(column: pa.ChunkedArray, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all binaries of a column, and their edges."""
+    array = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    if not len(array):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    _, places, content = array.buffers()
+    wide = np.int64 if pa.types.is_large_binary(array.type) else np.int32
+    edges = np.frombuffer(places, wide)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    size = np.dtype(kind).itemsize
+    if edges[0] == edges[-1]:
+        return np.zeros(0, kind), np.zeros(len(edges), np.int64)
+    return np.frombuffer(content, kind, (edges[-1] - edges[0]) // size, edges[0]), (edges - edges[0]) // size
+
+
+def _blobs(packs: DataFrame, bits: int) -> DataFrame:
+    """Per chunk and segment the n-gram hashes learned once, and the others with their counts, 0 if only held out."""
 
     def run(batches):
-        begin = np.uint64(64 - bits) if bits else None
+        count = 1 << bits
+        begins = np.arange(1, count, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
         for batch in batches:
-            for _, tokens in chunks(learned(batch), COUNT_BYTES):
-                met, often = np.unique(tokens.hashes, return_counts=True)
-                single = single_of(met)
-                order = np.argsort(single)
-                counted = (
-                    (2, *np.unique(pairs_of(tokens.hashes, tokens.starts), return_counts=True)),
-                    (1, single[order], often[order]),
-                )
-                rows = []
-                for kind, found, times in counted:
-                    where = found >> begin if bits else np.zeros(len(found), np.uint64)
-                    segments, edges = np.unique(where, return_index=True)
-                    for s, a, b in zip(segments.tolist(), edges, [*edges[1:], len(found)]):
-                        own = slice(a, b)
-                        once = times[own] == 1
-                        rows.append(
-                            (s, kind, found[own][once].tobytes(), found[own][~once].tobytes(),
-                             times[own][~once].astype("<u4").tobytes())
-                        )
-                kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                    ["segment", "kind", "once", "more", "times"],
-                )
-
-    schema = "segment int, kind int, once binary, more binary, times binary"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            for chunk, *row in zip(*batch.columns):
+                columns = [pa.array(np.arange(count), pa.int32()), pa.array(np.full(count, chunk.as_py()))]
+                some = np.zeros(count, bool)
+                counts = []
+                for found, times, _ in chunk_grams(*unpacked(*row)):
+                    for own in (times == 1, times != 1):
+                        hashes = found[own]
+                        edges = np.concatenate([[0], np.searchsorted(hashes, begins), [len(hashes)]])
+                        columns.append(_binaries(hashes, edges))
+                        some |= edges[1:] > edges[:-1]
+                    counts.append(_binaries(times[own].astype("<u4"), edges))
+                made = pa.RecordBatch.from_arrays(columns + counts, ["segment", "chunk", *_HASHES, *_TIMES])
+                yield made.filter(pa.array(some))
+
+    columns = ", ".join(f"{n} binary" for n in [*_HASHES, *_TIMES])
+    read = packs.select("chunk", "learned", "sizes", "text")
+    return read.mapInArrow(run, f"segment int, chunk long, {columns}")
 
 
 def positions(hashes: np.ndarray, level: int, size: np.ndarray | int) -> np.ndarray:
@@ -250,33 +333,72 @@ def positions(hashes: np.ndarray, level: int, size: np.ndarray | int) -> np.ndar
         return np.stack([(first + np.uint64(i) * step) % size for i in range(PROBES)])
 
 
-def _segment(rows: list[dict]) -> tuple[bytes, list[list[int]]]:
-    """Filter of one segment, and per kind the n-grams and counts on each level."""
+def _counted(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct n-grams, their counts, and which of them each given one is."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    first = np.flatnonzero(new)
+    which = np.empty(len(ranked), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ranked[first], np.add.reduceat(weights[order], first) if len(first) else weights, which
+
+
+def _runs(n: int) -> list[slice]:
+    """Slices of n hashes, of ``PASS_BYTES`` each."""
+    step = max(1, PASS_BYTES // 8)
+    return [slice(begin, begin + step) for begin in range(0, n, step)]
+
+
+def _segment(rows: list[dict], placed: list | None = None) -> tuple[bytes, list[list[int]]]:
+    """Filter of one segment, and per kind the n-grams and counts on each level.
+
+    ``placed`` gets per kind the distinct n-grams, and which of them each one in the rows
+    is: those met once before the others.
+    """
     tallies, counted = [], []
     for kind in (1, 2):
         own = [r for r in rows if r["kind"] == kind]
-        once = [np.frombuffer(r["once"], np.uint64) for r in own]
-        more = [np.frombuffer(r["more"], np.uint64) for r in own]
-        times = [np.frombuffer(r["times"], "<u4").astype(np.int64) for r in own]
-        hashes = np.concatenate([*once, *more]) if own else np.zeros(0, np.uint64)
-        weights = np.concatenate([np.ones(sum(map(len, once)), np.int64), *times]) if own else np.zeros(0, np.int64)
-        order = np.argsort(hashes, kind="stable")
-        hashes, weights = hashes[order], weights[order]
-        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
-        counts = np.add.reduceat(weights, first) if len(first) else weights
+        once, more = (np.frombuffer(b"".join(r[n] for r in own), np.uint64) for n in ("once", "more"))
+        times = np.frombuffer(b"".join(r["times"] for r in own), "<u4").astype(np.int64)
+        weights = np.concatenate([np.ones(len(once), np.int64), times])
+        found, counts, which = _counted(np.concatenate([once, more]), weights)
         levels = np.frexp(counts.astype(float))[1]
         tallies.append(np.bincount(levels, minlength=LEVELS)[:LEVELS].tolist())
         tallies.append(np.bincount(levels, weights=counts, minlength=LEVELS)[:LEVELS].astype(int).tolist())
-        counted.append((hashes[first], levels))
+        counted.append((found, levels))
+        if placed is not None:
+            placed.append((found, which))
     entries = int(sum(levels.sum() for _, levels in counted))
     size = 64 * max(1, -(-entries * BITS // 64))
     bits = np.zeros(size, bool)
     for hashes, levels in counted:
         for level in range(1, int(levels.max(initial=0)) + 1):
-            bits[positions(hashes[levels >= level], level, np.uint64(size)).ravel()] = True
+            own = hashes[levels >= level]
+            for run in _runs(len(own)):
+                bits[positions(own[run], level, np.uint64(size)).ravel()] = True
     return np.packbits(bits).tobytes(), tallies
 
 
+def answered(table: pa.Table) -> pa.Table:
+    """The levels of all n-grams that were sent to a segment, by chunk; the tallies stand in the first row."""
+    rows, edges, placed = [], [], []
+    for kind in (1, 2):
+        (once, a), (more, b) = (_joined(table[f"{n}{kind}"], np.uint64) for n in ("once", "more"))
+        rows.append({"kind": kind, "once": once, "more": more, "times": _joined(table[f"times{kind}"], "<u4")[0]})
+        edges.append((a, b))
+    data, tallies = _segment(rows, placed)
+    held = Filter(0, {0: data})
+    columns = [table["segment"], table["chunk"]]
+    for (found, which), (once, more) in zip(placed, edges):
+        levels = held.looked_up(0, found)[which]
+        columns += [_binaries(levels[: once[-1]], once), _binaries(levels[once[-1] :], more)]
+    rest = [None] * (len(table) - 1)
+    columns.append(pa.array([tallies, *rest], pa.list_(pa.list_(pa.int64()))))
+    return pa.Table.from_arrays(columns, ["segment", "chunk", *_HASHES, "tallies"])
+
+
 class Filter:
     """Some segments of the filter, probed for whole arrays of n-gram hashes."""
 
@@ -284,38 +406,39 @@ class Filter:
         self.bits = bits
         self.segments = {n: np.frombuffer(d, np.uint8) for n, d in segments.items()}
 
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        """Level of each n-gram, ``UNKNOWN`` where its segment is not held."""
-        found, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(found), UNKNOWN, np.uint8)
-        count = 1 << self.bits
-        if self.bits:
-            begins = np.arange(count, dtype=np.uint64) << np.uint64(64 - self.bits)
-            edges = [*np.searchsorted(found, begins).tolist(), len(found)]
-        else:
-            edges = [0, len(found)]
-        for number, data in self.segments.items():
-            begin, end = edges[number], edges[number + 1]
-            active = np.arange(begin, end)
-            out[begin:end] = 0
+    def looked_up(self, number: int, hashes: np.ndarray) -> np.ndarray:
+        """Level of each n-gram of one segment."""
+        data, out = self.segments[number], np.zeros(len(hashes), np.uint8)
+        for run in _runs(len(hashes)):
+            active = np.arange(run.start, min(run.stop, len(hashes)))
             for level in range(1, LEVELS):
                 if not len(active):
                     break
                 alive = np.ones(len(active), bool)
-                for row in positions(found[active], level, np.uint64(8 * len(data))):
+                for row in positions(hashes[active], level, np.uint64(8 * len(data))):
                     byte = data[(row >> np.uint64(3)).astype(np.int64)]
                     alive &= (byte >> (7 - (row & np.uint64(7))).astype(np.uint8)) & 1 == 1
                 active = active[alive]
                 out[active] = level
+        return out
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        """Level of each n-gram, 0 where its segment is not held."""
+        found, back = np.unique(hashes, return_inverse=True)
+        out = np.zeros(len(found), np.uint8)
+        where = found >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(found), np.uint64)
+        for number in self.segments:
+            begin, end = np.searchsorted(where, [number, number + 1])
+            out[begin:end] = self.looked_up(number, found[begin:end])
         return out[back]
 
 
 class LanguageModel:
-    """What scoring needs: the count table, its head, the segments and level means."""
+    """What scoring needs: the count table, its head, the levels of the chunks' n-grams and level means."""
 
-    def __init__(self, docs: DataFrame):
-        spark = docs.sparkSession
-        self.counts = stored(word_counts(docs), "words")
+    def __init__(self, packs: DataFrame):
+        spark = packs.sparkSession
+        self.counts = stored(word_counts(packs), "words")
         total = self.counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
         self.tokens, self.types = total["n"] or 0, total["v"]
         self.documents = self.counts.where(F.col("word") == END.decode()).select("c").first()
@@ -338,21 +461,14 @@ class LanguageModel:
         self.tail = self.counts.where(step < self.least_step)
         self.bits = max(0, math.ceil(math.log2(max(1, self.tokens) / SEGMENT_TOKENS)))
 
-        def build(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-            data, tallies = _segment(table.to_pylist())
-            return pa.Table.from_arrays(
-                [pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary()),
-                 pa.array([len(data)], pa.int64()), pa.array([tallies], pa.list_(pa.list_(pa.int64())))],
-                ["segment", "data", "size", "tallies"],
-            )
-
-        schema = "segment int, data binary, size long, tallies array<array<bigint>>"
-        built = _blobs(docs, self.bits).groupBy("segment").applyInArrow(build, schema)
-        self.segments = stored(built, "segments")
-        # hashes fill the segments evenly, so equal runs of segments are passes of equal size
-        size = self.segments.agg(F.sum("size").alias("b")).first()["b"] or 0
-        self.passes = min(1 << self.bits, max(1, -(-size // PASS_BYTES)))
-        tallies = self.segments.select(F.posexplode(F.flatten("tallies")).alias("at", "n"))
+        def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            return answered(table)
+
+        columns = ", ".join(f"{n} binary" for n in _HASHES)
+        schema = f"segment int, chunk long, {columns}, tallies array<array<bigint>>"
+        answers = _blobs(packs, self.bits).groupBy("segment").applyInArrow(answer, schema)
+        self.levels = stored(answers, "levels")
+        tallies = self.levels.select(F.posexplode(F.flatten("tallies")).alias("at", "n"))
         means = np.zeros(4 * LEVELS)
         for row in tallies.groupBy("at").agg(F.sum("n").alias("n")).collect():  # 4 * LEVELS rows
             means[row["at"]] = row["n"]
@@ -361,14 +477,6 @@ class LanguageModel:
             guess = np.r_[0.0, 2.0 ** np.arange(LEVELS - 1)]
             self.single = np.where(means[0] > 0, means[1] / means[0], guess)
             self.pair = np.where(means[2] > 0, means[3] / means[2], guess)
-        self.spark = spark
-
-    def filter_of(self, number: int) -> dict:
-        """Broadcast segments of one pass; the driver holds one segment at a time."""
-        begin, end = ((n << self.bits) // self.passes for n in (number, number + 1))
-        rows = self.segments.where(F.col("segment").between(begin, end - 1)).select("segment", "data")
-        context = self.spark.sparkContext
-        return {r["segment"]: context.broadcast(bytes(r["data"])) for r in rows.toLocalIterator()}
 
 
 def head_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +488,7 @@ def head_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(words, pa.ChunkedArray):
         words = pa.concat_arrays(words.chunks)
     # each word is a text of one word and an end; the end itself is a text without words
-    hashes = np.concatenate([tokens.hashes[tokens.starts] for _, tokens in chunks(words, COUNT_BYTES)])
+    hashes = np.concatenate([tokens.hashes[tokens.starts] for _, tokens in chunks(words, CHUNK_BYTES)])
     order = np.argsort(hashes)
     return hashes[order], counts[order]
 
@@ -416,63 +524,52 @@ def scored(docs: DataFrame) -> DataFrame:
     table gives none; with nothing to learn from, every probability is 1 / (V + 1).
     """
     docs = spread(docs.select("doc_id", "text"))
-    model = LanguageModel(docs)
+    packs = stored(packed(docs), "lm-chunks")
+    model = LanguageModel(packs)
     head = model.head
-    tokens, types, documents, bits = model.tokens, model.types, model.documents, model.bits
+    tokens, types, documents = model.tokens, model.types, model.documents
     means, share = (model.single, model.pair), ALPHA / (tokens + ALPHA * (types + 1))
     kind = docs.schema["doc_id"].dataType
-    rows = docs.withColumn("levels", F.lit(None).cast("binary"))
     out = (
         f"uid long, doc_id {kind.simpleString()}, n_tokens long, head_known long, head_base double,"
         " score double, tail array<struct<word:string,n:bigint>>"
     )
-    for number in range(model.passes):
-        last = number == model.passes - 1
-        segments = model.filter_of(number)
-
-        def run(batches, segments=segments, last=last):
-            held = Filter(bits, {n: data.value for n, data in segments.items()})
-            known = head_counts(head.value) if last else None
-            uid = TaskContext.get().partitionId() << 33
-            for batch in batches:
-                ids, texts, before = batch.columns
-                for begin, part in chunks(texts, SCORE_BYTES):
-                    n, starts, sizes = len(part.sizes), part.starts, part.sizes
-                    words, at = np.unique(part.hashes, return_inverse=True)
-                    pair, word = held.levels(pairs_of(part.hashes, starts)), held.levels(single_of(words))[at]
-                    if before[begin].is_valid:
-                        seen = np.frombuffer(b"".join(before.slice(begin, n).to_pylist()), np.uint8).reshape(-1, 2)
-                        pair = np.where(seen[:, 0] != UNKNOWN, seen[:, 0], pair)
-                        word = np.where(seen[:, 1] != UNKNOWN, seen[:, 1], word)
-                    if not last:
-                        both = np.stack([pair, word], 1)
-                        levels = [both[a : a + m].tobytes() for a, m in zip(starts, sizes)]
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.slice(begin, n), texts.slice(begin, n).cast(pa.string()), pa.array(levels, pa.binary())],
-                            ["doc_id", "text", "levels"],
-                        )
-                        continue
-                    # what belongs to no segment was never counted
-                    pair, word = (np.where(x == UNKNOWN, 0, x) for x in (pair, word))
-                    previous = np.empty(len(word))
-                    previous[1:] = means[0][word[:-1]]
-                    previous[starts] = documents
-                    logs = log_probabilities(pair, word, previous, means, tokens, types)
-                    counts = counts_of(words, known)[at]
-                    base = np.where(counts > 0, np.log10((counts / ALPHA + 1) * share), 0.0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(uid, uid + n)), ids.slice(begin, n), pa.array(sizes, pa.int64()),
-                         pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
-                         pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)),
-                         _tails(part, counts == 0)],
-                        ["uid", "doc_id", "n_tokens", "head_known", "head_base", "score", "tail"],
-                    )
-                    uid += n
-
-        middle = f"doc_id {kind.simpleString()}, text string, levels binary"
-        rows = stored(rows.mapInArrow(run, out if last else middle), "lm-pass")
-        for data in segments.values():
-            data.destroy()
+    known = []  # once per task
+
+    def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        if not known:
+            known.append(head_counts(head.value))
+        part, learned = unpacked(*(left[n][0] for n in ("learned", "sizes", "text")))
+        ids, uid = pa.concat_arrays([x.flatten() for x in left["doc_ids"].chunks]), key[0].as_py()
+        n, starts, sizes = len(part.sizes), part.starts, part.sizes
+        right = right.sort_by("segment")
+        both, kinds = [], chunk_grams(part, learned)
+        which_word = kinds[0][2]
+        for k, (found, times, which) in enumerate(kinds, 1):
+            levels = np.empty(len(found), np.uint8)
+            levels[times == 1], levels[times != 1] = (_joined(right[f"{x}{k}"], np.uint8)[0] for x in ("once", "more"))
+            both.append(levels[which])
+        word, pair = both
+        previous = np.empty(len(word))
+        previous[1:] = means[0][word[:-1]]
+        previous[starts] = documents
+        logs = log_probabilities(pair, word, previous, means, tokens, types)
+        # each distinct word is looked for once
+        one = np.empty(which_word.max() + 1, np.int64)
+        one[which_word] = np.arange(len(which_word))
+        counts = counts_of(part.hashes[one], known[0])
+        base = np.where(counts > 0, np.log10((counts / ALPHA + 1) * share), 0.0)[which_word]
+        counts = counts[which_word]
+        return pa.Table.from_arrays(
+            [pa.array(np.arange(uid, uid + n)), ids, pa.array(sizes, pa.int64()),
+             pa.array(np.add.reduceat((counts > 0).astype(np.int64), starts)),
+             pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(logs, starts)),
+             _tails(part, counts == 0)],
+            ["uid", "doc_id", "n_tokens", "head_known", "head_base", "score", "tail"],
+        )
+
+    answers = model.levels.drop("tallies").groupBy("chunk")
+    rows = stored(packs.groupBy("chunk").cogroup(answers).applyInArrow(score, out), "lm-scores")
     head.destroy()
     tail = rows.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.n")
     log = F.log10((F.coalesce(F.col("c"), F.lit(0)) / ALPHA + 1) * share)

@@ -267,6 +267,63 @@ def test_scores_equal_exact_counts_but_for_false_hits(spark):
     assert exact > 0.3 * len(docs) and off < 0.01 * tokens
 
 
+def test_steps_do_not_grow_with_the_filter(spark, monkeypatch):
+    """A filter of many segments takes no more passes over the texts, and the scores stay right."""
+    rng = random.Random(23)
+    words = lambda: " ".join(f"w{int(rng.expovariate(0.01))}" for _ in range(rng.randint(0, 60)))
+    docs = [(i, words()) for i in range(300)] + [(None, "w1 w2"), (500, None), (501, "unseen pair")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want, steps, kept = plain_scores(docs), [], lm_score.stored
+    monkeypatch.setattr(lm_score, "stored", lambda df, purpose: steps.append(purpose) or kept(df, purpose))
+    lm_score.scored(frame).count()
+    few = list(steps)
+    for name, value in (("SEGMENT_TOKENS", 1 << 8), ("PASS_BYTES", 1 << 9), ("CHUNK_BYTES", 1 << 11)):
+        monkeypatch.setattr(lm_score, name, value, raising=False)
+    steps.clear()
+    rows = lm_score.scored(frame).select("doc_id", "n_tokens", "score").collect()
+    assert steps == few
+    assert len(rows) == len(docs)
+    exact, off, tokens = 0, 0.0, 0
+    for row in rows:
+        ((n, score),) = want[row["doc_id"]]
+        assert row["n_tokens"] == n and abs(row["score"] - score) < 0.05 * n + 0.7, row
+        exact += abs(row["score"] - score) < 1e-6
+        off, tokens = off + abs(row["score"] - score), tokens + n
+    assert exact > 0.3 * len(docs) and off < 0.01 * tokens
+
+
+def test_segments_answer_like_the_whole_filter():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sent = []
+    for chunk in range(5):
+        row = {"segment": 0, "chunk": chunk}
+        for kind in (1, 2):
+            hashes = np.unique(rng.integers(0, 400, rng.integers(0, 300)).astype(np.uint64) * np.uint64(1 << 53))
+            once = rng.random(len(hashes)) < 0.5
+            row[f"once{kind}"], row[f"more{kind}"] = hashes[once].tobytes(), hashes[~once].tobytes()
+            # 0: in held-out documents only
+            row[f"times{kind}"] = rng.choice([0, 2, 9], int((~once).sum())).astype("<u4").tobytes()
+        sent.append(row)
+    schema = pa.schema(
+        [("segment", pa.int32()), ("chunk", pa.int64())]
+        + [(n, pa.binary()) for n in (*lm_score._HASHES, *lm_score._TIMES)]
+    )
+    got = lm_score.answered(pa.Table.from_pylist(sent, schema)).to_pylist()
+    rows = [
+        {"kind": k, "once": r[f"once{k}"], "more": r[f"more{k}"], "times": r[f"times{k}"]} for r in sent for k in (1, 2)
+    ]
+    data, tallies = lm_score._segment(rows)
+    whole = lm_score.Filter(0, {0: data})
+    assert [r["tallies"] for r in got] == [tallies, None, None, None, None]
+    for asked, answer in zip(sent, got):
+        assert asked["chunk"] == answer["chunk"]
+        for name in lm_score._HASHES:
+            assert answer[name] == whole.levels(np.frombuffer(asked[name], np.uint64)).tobytes()
+
+
 def test_tokens_as_arrays():
     import numpy as np
     import pyarrow as pa
