@@ -340,8 +340,8 @@ def _counted(hashes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nd
     new = np.ones(len(ranked), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     first = np.flatnonzero(new)
-    which = np.empty(len(ranked), np.int64)
-    which[order] = np.cumsum(new) - 1
+    which = np.empty(len(ranked), np.int32)
+    which[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     return ranked[first], np.add.reduceat(weights[order], first) if len(first) else weights, which
 
 
@@ -360,10 +360,10 @@ def _segment(rows: list[dict], placed: list | None = None) -> tuple[bytes, list[
     tallies, counted = [], []
     for kind in (1, 2):
         own = [r for r in rows if r["kind"] == kind]
-        once, more = (np.frombuffer(b"".join(r[n] for r in own), np.uint64) for n in ("once", "more"))
-        times = np.frombuffer(b"".join(r["times"] for r in own), "<u4").astype(np.int64)
-        weights = np.concatenate([np.ones(len(once), np.int64), times])
-        found, counts, which = _counted(np.concatenate([once, more]), weights)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r[n], np.uint64) for n in ("once", "more") for r in own)])
+        times = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["times"], "<u4") for r in own)])
+        weights = np.concatenate([np.ones(len(hashes) - len(times), np.int64), times])
+        found, counts, which = _counted(hashes, weights)
         levels = np.frexp(counts.astype(float))[1]
         tallies.append(np.bincount(levels, minlength=LEVELS)[:LEVELS].tolist())
         tallies.append(np.bincount(levels, weights=counts, minlength=LEVELS)[:LEVELS].astype(int).tolist())
